@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, secrets, sentencepiece_bpe
+from . import chat, licenses, minhash, secrets, sentencepiece_bpe, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -60,5 +64,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op5_chat_format, op6_secret_scan)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simhash.components(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op4_fingerprints, op5_chat_format, op6_secret_scan, op9_simhash)}
 SQL: dict[str, str] = {"op5_chat_format": OP5_SQL}
