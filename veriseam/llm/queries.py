@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, minhash, secrets, sentencepiece_bpe, simhash
+from . import chat, langid, licenses, minhash, secrets, sentencepiece_bpe, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,10 +64,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = simhash.components(table(spark, sf_dir, "documents"))
     return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op4_fingerprints, op5_chat_format, op6_secret_scan, op9_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op4_fingerprints, op5_chat_format, op6_secret_scan, op7_language_id, op8_toxicity, op9_simhash)}
 SQL: dict[str, str] = {"op5_chat_format": OP5_SQL}
