@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, minhash, secrets, sentencepiece_bpe, simhash, toxicity
+from . import chat, decontaminate, langid, licenses, minhash, secrets, sentencepiece_bpe, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,5 +77,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op4_fingerprints, op5_chat_format, op6_secret_scan, op7_language_id, op8_toxicity, op9_simhash)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op4_fingerprints, op5_chat_format, op6_secret_scan, op7_language_id, op8_toxicity, op9_simhash, op10_decontamination)}
 SQL: dict[str, str] = {"op5_chat_format": OP5_SQL}
