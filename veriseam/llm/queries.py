@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, minhash, secrets, sentencepiece_bpe, simhash, toxicity
+from . import chat, decontaminate, html_extract, langid, licenses, minhash, secrets, sentencepiece_bpe, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -81,5 +85,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op4_fingerprints, op5_chat_format, op6_secret_scan, op7_language_id, op8_toxicity, op9_simhash, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_html_text, op4_fingerprints, op5_chat_format, op6_secret_scan, op7_language_id, op8_toxicity, op9_simhash, op10_decontamination)}
 SQL: dict[str, str] = {"op5_chat_format": OP5_SQL}
