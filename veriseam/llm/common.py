@@ -58,6 +58,21 @@ def map_rows(df: DataFrame, columns: list[str], start: Callable[[], Callable[...
     return map_arrow(df.select(*columns), run, ddl)
 
 
+def keep_rows(docs: DataFrame, column: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of ``docs``, with all columns, for which a function of ``column`` is true; no shuffle."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        at = names.index(column)
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                part = batch.slice(i, ROWS_AT_A_TIME)
+                yield part.filter(pa.array(step(part.column(at).to_pylist()), type=pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 

@@ -17,14 +17,13 @@ in chunks of CHUNK items, each asked in a pass of its own, with statistics over
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_rows
+from .common import keep_rows, map_rows
 
 WORDS, OVERLAP, THRESHOLD = 5, 0.5, 0.5
 K1, B = 1.2, 0.75
@@ -161,21 +160,6 @@ def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     return made if made is not None else docs.sparkSession.createDataFrame([], ddl)
 
 
-def keep_rows(docs: DataFrame, column: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
-    """The rows of ``docs``, with all columns, for which a function of ``column`` is true; no shuffle."""
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = start()
-        at = names.index(column)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield part.filter(pa.array(step(part.column(at).to_pylist()), type=pa.bool_()))
-
-    return map_arrow(docs, run, docs.schema)
-
-
 def remove(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold an item."""
     for index in indexes(items, id_col=item_col, text_col=item_text_col):

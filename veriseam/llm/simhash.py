@@ -159,23 +159,30 @@ def spanning_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, distance: int = 3, *, partitions: int | None = None) -> DataFrame:
-    """(a, b): links among the distinct values of column fp that span their connected components."""
+def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
+    """(a, b): links among the distinct values of column fp that span their connected components.
+
+    Which of the possible spanning links are given is fixed by the fingerprints alone; every key starts its search from
+    another of them, so that a large group is joined through several of its members.
+    """
     spark = distinct.sparkSession
     rows = distinct.count()
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     groups, thresholds = allocate(sample, rows, distance)
     masks = _masks(groups, thresholds)
-    n = max(partitions or 1, int(spark.conf.get("spark.sql.shuffle.partitions")), rows * len(masks) // 2_000_000)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * len(masks) // 2_000_000)
     keyed = distinct.select("fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("mask", "keep")).select(F.col("mask").cast("short").alias("mask"), F.col("fp").bitwiseAND(F.col("keep")).alias("key"), "fp")
     dealt = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
 
+    def scattered(fps: np.ndarray, key: int) -> np.ndarray:
+        return fps[np.argsort((fps ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         of = None
 
         def flush() -> list[tuple[int, int]]:
-            return spanning_links(np.unique(np.concatenate(held)), distance) if held and sum(map(len, held)) > 1 else []
+            return spanning_links(scattered(np.concatenate(held), of[1]), distance) if held and sum(map(len, held)) > 1 else []
 
         for batch in batches:
             if not batch.num_rows:
@@ -185,11 +192,11 @@ def links(distinct: DataFrame, distance: int = 3, *, partitions: int | None = No
             starts = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
             ends = np.r_[starts[1:], len(key)]
             found: list[tuple[int, int]] = []
-            if (mask[0], key[0]) == of:
+            if (int(mask[0]), int(key[0])) == of:
                 held.append(fp[: ends[0]])
             else:
                 found += flush()
-                held, of = [fp[: ends[0]]], (mask[0], key[0])
+                held, of = [fp[: ends[0]]], (int(mask[0]), int(key[0]))
             if len(starts) > 1:
                 found += flush()
                 sizes = (ends - starts)[1:-1]
@@ -197,8 +204,8 @@ def links(distinct: DataFrame, distance: int = 3, *, partitions: int | None = No
                 near = _popcount(fp[two] ^ fp[two + 1]) <= distance
                 found += [(int(x), int(y)) for x, y in zip(fp[two][near], fp[two + 1][near], strict=True)]
                 for s, e in zip(starts[1:-1][sizes > 2], ends[1:-1][sizes > 2], strict=True):
-                    found += spanning_links(fp[s:e], distance)
-                held, of = [fp[starts[-1] :]], (mask[starts[-1]], key[starts[-1]])
+                    found += spanning_links(scattered(fp[s:e], int(key[s])), distance)
+                held, of = [fp[starts[-1] :]], (int(mask[starts[-1]]), int(key[starts[-1]]))
             if found:
                 yield _pairs(found)
         if last := flush() if held else []:
@@ -222,3 +229,55 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of = labelled.join(ids, "root").select("fp", "component_id")
     return prints.join(of, "fp").select(id_col, "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 12, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(``id_col``, group_id) of every row with an id: the smallest id that it reaches over verified links.
+
+    Links of at most ``distance`` bits are candidates; they are verified by the likeness of the texts' shingles of
+    ``words`` words, estimated from 128 MinHash components that were computed in the same pass over the texts, and
+    count from ``least`` on. Rows of equal fingerprint and components are one before anything is joined.
+    """
+    from . import minhash
+
+    def start() -> Callable:
+        def step(keys, texts):
+            made = [fingerprint(t) for t in texts]
+            sketches = (minhash.signatures([minhash.shingles(t, words) for t in texts]) & 0xFFFF).astype(np.uint16)
+            return [keys, [f - (1 << 64) if f >> 63 else f for f in made], [row.tobytes() for row in sketches]]
+
+        return step
+
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).filter("id is not null")
+    prints = cut_lineage(map_rows(rows, ["id", text_col], start, schema, "id long, fp long, sketch binary"))
+    nodes = cut_lineage(prints.groupBy("fp", "sketch").agg(F.min("id").alias("node")))
+    first = nodes.groupBy("fp").agg(F.min_by(F.struct("node", "sketch"), "node").alias("x")).select("fp", "x.node", "x.sketch")
+    between = cut_lineage(links(first.select("fp"), distance))
+    end = lambda n: first.select(F.col("fp").alias(n), F.col("node").alias(f"{n}_node"), F.col("sketch").alias(f"{n}_sketch"))
+    pairs = between.join(end("a"), "a").join(end("b"), "b").select("a_node", "b_node", "a_sketch", "b_sketch")
+    within = nodes.join(first.select("fp", F.col("node").alias("a_node"), F.col("sketch").alias("a_sketch")), "fp").filter("node <> a_node")
+    pairs = pairs.unionByName(within.select("a_node", F.col("node").alias("b_node"), "a_sketch", F.col("sketch").alias("b_sketch")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+                kept = batch.filter(pa.array(minhash.likeness(x, y) >= least))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    roots = connected(map_arrow(pairs, verify, "a long, b long"))
+    grouped = nodes.join(roots, "node", "left").select("fp", "sketch", F.coalesce("root", "node").alias("group_id"))
+    return prints.join(grouped, ["fp", "sketch"]).select(F.col("id").alias(id_col), "group_id")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, that of the smallest id.
+
+    Rows that repeat an id and its text become one. Rows without an id can't be told apart and stay as they are.
+    """
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    gone = groups.filter(F.col(id_col) != F.col("group_id")).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    named = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import keep_rows, map_rows
 from .sampling import held_out, labelled_sample
 
 PER_CLASS = 2048
@@ -141,6 +141,23 @@ class Model:
         return float(min(1.0, max(0.0, ((w * y).sum() + prior * self.prior) / (w.sum() + prior)))), ",".join(str(self.ids[r]) for r in rows[:3])
 
 
+    def scorer(self):
+        """A function from a whole text to its score and evidence."""
+        matcher = self._matcher()
+        memory: dict[tuple, tuple[float, str]] = {}
+
+        def score(text: str | None) -> tuple[float, str]:
+            counts = tuple(sorted(Counter(i for _, i in matcher.iter(text.lower())).items())) if text and self.terms else ()
+            got = memory.get(counts)
+            if got is None:
+                if len(memory) > REMEMBERED:
+                    memory.clear()
+                got = memory[counts] = self.score(counts)
+            return got
+
+        return score
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias(label_col))
     totals = {r[0]: r[1] for r in known.filter(~held_out(id_col)).groupBy(label_col).count().collect()}
@@ -152,19 +169,10 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
 
     def start():
-        matcher = model._matcher()
-        memory: dict[tuple, tuple[float, str]] = {}
+        scorer = model.scorer()
 
         def step(keys, out, texts):
-            made = []
-            for t in texts:
-                counts = tuple(sorted(Counter(i for _, i in matcher.iter(t.lower())).items())) if t and model.terms else ()
-                got = memory.get(counts)
-                if got is None:
-                    if len(memory) > REMEMBERED:
-                        memory.clear()
-                    got = memory[counts] = model.score(counts)
-                made.append(got)
+            made = [scorer(t) for t in texts]
             return [keys, out, [m[0] for m in made], [int(m[0] >= 0.5) for m in made], [m[1] for m in made]]
 
         return step
@@ -172,3 +180,14 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.string())])
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("held_out"), text_col)
     return map_rows(rows, [id_col, "held_out", text_col], start, schema, f"`{id_col}` long, held_out boolean, score double, predicted int, evidence string")
+
+
+def remove(docs: DataFrame, labelled: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", at: float = 0.5) -> DataFrame:
+    """``docs`` without the documents that score ``at`` or more; examples come from ``labelled``."""
+    model = fit(labelled, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+
+    def start():
+        scorer = model.scorer()
+        return lambda texts: [scorer(t)[0] < at for t in texts]
+
+    return keep_rows(docs, text_col, start)
