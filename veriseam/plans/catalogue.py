@@ -1,4 +1,13 @@
 """The registered queries and their SQL."""
 
+from __future__ import annotations
+
+from . import ranking
+
+_PARTS = (ranking,)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
+QUERIES = dict(sorted(QUERIES.items()))
