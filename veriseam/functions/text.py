@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The token pattern, function words, reference and modal patterns.
+# The token pattern, function words.
 TOKEN = r"[A-Za-z0-9]+(?:[-.][A-Za-z0-9]+)*"
 FUNCTION_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
-MODAL = r"\b(shall|should|may|must|can)\b"
 DASHES = "‐‑‒–—"
 
 
@@ -60,8 +59,8 @@ def number_list(text: Column) -> Column:
 
 def authority(text: Column) -> Column:
     """The heading that a sentence's verb implies."""
-    t = F.lower(text)
-    return F.when(t.rlike(r"\b(shall|must)\b"), "Standard").when(t.rlike(r"\bshould\b"), "Guidance").when(t.rlike(r"\bmay\b"), "Option").otherwise("Support")
+    has = lambda words: F.lower(text).rlike(f"(^|[^a-z])({words})([^a-z]|$)")
+    return F.when(has("shall|must"), "Standard").when(has("should"), "Guidance").when(has("may"), "Option").otherwise("Support")
 
 
 def slug(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ranking
+from . import ranking, texts
 
-_PARTS = (ranking,)
+_PARTS = (ranking, texts)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _part in _PARTS:
