@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-#: Rows that a Python worker turns into Python objects at a time; bounds memory, never drops rows.
-ROWS_AT_A_TIME = 256
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..session import map_arrow
+from ..sources.tables import table
 
+__all__ = ["ROWS_AT_A_TIME", "bounded", "cut_lineage", "keep_rows", "map_arrow", "map_rows", "table"]
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark context; they need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_veriseam_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="veriseam-"), "veriseam_package.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-    sc._veriseam_shipped = True
-
-
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    ship_package(df.sparkSession)
-    return df.mapInArrow(run, ddl)
+#: Rows that a Python worker turns into Python objects at a time; bounds memory, never drops rows.
+ROWS_AT_A_TIME = 256
 
 
 def map_rows(df: DataFrame, columns: list[str], start: Callable[[], Callable[..., list[list]]], out: pa.Schema, ddl: str) -> DataFrame:
