@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ranking, texts
+from . import ranking, structures, texts
 
-_PARTS = (ranking, texts)
+_PARTS = (ranking, texts, structures)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _part in _PARTS:
