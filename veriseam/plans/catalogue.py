@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ranking, structures, texts
+from . import evaluation, ranking, structures, texts
 
-_PARTS = (ranking, texts, structures)
+_PARTS = (ranking, texts, structures, evaluation)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _part in _PARTS:
