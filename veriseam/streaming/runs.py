@@ -17,7 +17,9 @@ def windowed_state(spark: SparkSession, path: str, *, watermark: str = "1 day",
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriseam-stream-")
     place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    # a pattern, as a stream can't take the path of a single file
+    path_pattern = f"{path[:-1]}[{path[-1]}]"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path_pattern).withColumn("ts", F.col("ts").cast("timestamp"))
     state = events.withWatermark("ts", watermark).groupBy("event_type", F.window("ts", window).alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("most"), F.max_by("value", "event_id").alias("latest"))
     flat = state.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("since"), "n", "most", "latest")
     query = flat.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/out")).start()
