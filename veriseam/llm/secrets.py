@@ -84,6 +84,14 @@ def _is_secret(candidate: Column) -> Column:
     return (F.char_length(candidate) >= 20) & F.when(F.char_length(candidate) < 20, False).otherwise(F.when(allowed, False).otherwise(window_entropy(candidate) >= least))
 
 
+def _free(docs: DataFrame) -> str:
+    """A name for the spans that no column of ``docs`` has."""
+    name = "_spans"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def with_spans(docs: DataFrame, *, text_col: str = "text", to: str = "_spans") -> DataFrame:
     """``docs`` and a column ``to``: array<struct<start, rank, kind, end>> by start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -122,16 +130,17 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def redact(docs: DataFrame, *, text_col: str = "text", by: str = "[SECRET]", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by ``by``; overlapping spans are one. ``chars_col`` gets the new length."""
     text = F.col(text_col)
-    found = with_spans(docs, text_col=text_col)
+    spans = _free(docs)
+    found = with_spans(docs, text_col=text_col, to=spans)
     kept = F.aggregate(
-        "_spans",
+        spans,
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
         lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
             F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.when(s["start"] >= a["at"], F.lit(by)).otherwise(F.lit("")))).alias("out"))
         ),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))),
     )
-    new = found.withColumn(text_col, F.when(F.size("_spans") > 0, kept).otherwise(text)).drop("_spans")
+    new = found.withColumn(text_col, F.when(F.size(spans) > 0, kept).otherwise(text)).drop(spans)
     if chars_col and chars_col in docs.columns:
         new = new.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
     return new.select(*docs.columns)
