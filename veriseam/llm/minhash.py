@@ -28,7 +28,7 @@ from .components import connected
 PERMUTATIONS, WORDS = 128, 5
 #: Bands times rows of the signature for candidates; at likeness 0.8 a pair meets in a band with probability 0.998.
 BANDS, BAND_ROWS = 21, 6
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -27,7 +27,7 @@ from .common import map_rows
 
 MARK = "▁"
 #: Remembered words and pairs in a worker; when full, the memory starts anew. Results don't depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 

@@ -35,6 +35,12 @@ from .components import connected
 BITS = 64
 #: Distinct fingerprints from which correlations and candidate counts are estimated.
 SAMPLE = 20_000
+#: MinHash components of a sketch, how far below the bar of likeness a sketch may be (four standard errors), and how
+#: many of its nearest under a key a fingerprint is linked to.
+SKETCH, SLACK = 64, 0.2
+NEAR = 3
+#: Bits that tell which documents are in links (2 MB).
+BITMAP = 1 << 24
 #: Seconds for a probe row and a candidate pair; only their ratio matters.
 ROW_COST, PAIR_COST = 1e-6, 5e-9
 
@@ -97,7 +103,7 @@ def _choose(n: int, k: int) -> int:
 
 def allocate(sample: np.ndarray, rows: int, distance: int) -> tuple[list[list[int]], list[int]]:
     """Partitions of bits and a threshold for each, of the least estimated cost for ``rows`` distinct fingerprints."""
-    bits = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64) if len(sample) else np.zeros((1, BITS))
+    bits = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1) if len(sample) else np.zeros((1, BITS), dtype=np.uint8)
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, len(bits), 200_000) for _ in range(2))
     a, b = a[a != b], b[a != b]
@@ -107,7 +113,7 @@ def allocate(sample: np.ndarray, rows: int, distance: int) -> tuple[list[list[in
         total = distance - m + 1
         cost = []  # of partition i with threshold t - 1
         for g in groups:
-            apart = (bits[a][:, g] != bits[b][:, g]).sum(axis=1)
+            apart = (bits[:, g][a] != bits[:, g][b]).sum(axis=1)
             share = [((apart <= t).sum() + 0.5) / (len(apart) + 1) for t in range(total + m)]
             # where the sample has no such pair, what independent bits would give bounds it from below
             share = [max(s if s * (len(apart) + 1) > 1 else 0, sum(_choose(len(g), j) for j in range(t + 1)) / 2 ** len(g)) for t, s in enumerate(share)]
@@ -159,11 +165,49 @@ def spanning_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
+def nearest_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Of the links of ``fps`` those of a shortest spanning forest, and for each member those to its NEAR nearest.
+
+    For links that are verified by something else: what is alike is near, so if a link is refused, others remain. The
+    number of links grows as that of the members, though all pairs are looked at, a block of rows at a time.
+    """
+    fps = np.sort(fps)
+    rows = max(1, 2_000_000 // len(fps))
+    linked = np.zeros(len(fps), dtype=bool)
+    for at in range(0, len(fps), rows):
+        near = _popcount(fps[at : at + rows, None] ^ fps[None, at:]) <= distance
+        near[np.arange(len(near)), np.arange(len(near))] = False
+        linked[at : at + rows] |= near.any(axis=1)
+        linked[at:] |= near.any(axis=0)
+    fps = fps[linked]
+    if len(fps) < 2:
+        return []
+    out = set()
+    rows = max(1, 2_000_000 // len(fps))
+    for at in range(0, len(fps), rows):
+        apart = _popcount(fps[at : at + rows, None] ^ fps[None, :]).astype(np.int16)
+        apart[np.arange(len(apart)), at + np.arange(len(apart))] = BITS + 1
+        order = np.argsort(apart, axis=1, kind="stable")[:, :NEAR]
+        for i, js in enumerate(order):
+            out |= {(int(fps[at + i]), int(fps[j])) for j in js if apart[i, j] <= distance}
+    x, left = fps[0], fps[1:]
+    best, of = np.full(len(left), BITS + 1, dtype=np.int16), np.zeros(len(left), dtype=np.uint64)
+    while len(left):
+        apart = _popcount(left ^ x).astype(np.int16)
+        closer = apart < best
+        best[closer], of[closer] = apart[closer], x
+        i = int(best.argmin())
+        x = left[i]
+        if best[i] <= distance:
+            out.add((int(of[i]), int(x)))
+        left, best, of = np.delete(left, i), np.delete(best, i), np.delete(of, i)
+    return list(out)
+
+
+def links(distinct: DataFrame, distance: int = 3, *, join: Callable[[np.ndarray, int], list[tuple[int, int]]] = spanning_links) -> DataFrame:
     """(a, b): links among the distinct values of column fp that span their connected components.
 
-    Which of the possible spanning links are given is fixed by the fingerprints alone; every key starts its search from
-    another of them, so that a large group is joined through several of its members.
+    ``join`` finds the links of the fingerprints under one key.
     """
     spark = distinct.sparkSession
     rows = distinct.count()
@@ -174,15 +218,12 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     keyed = distinct.select("fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("mask", "keep")).select(F.col("mask").cast("short").alias("mask"), F.col("fp").bitwiseAND(F.col("keep")).alias("key"), "fp")
     dealt = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
 
-    def scattered(fps: np.ndarray, key: int) -> np.ndarray:
-        return fps[np.argsort((fps ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         of = None
 
         def flush() -> list[tuple[int, int]]:
-            return spanning_links(scattered(np.concatenate(held), of[1]), distance) if held and sum(map(len, held)) > 1 else []
+            return join(np.unique(np.concatenate(held)), distance) if held and sum(map(len, held)) > 1 else []
 
         for batch in batches:
             if not batch.num_rows:
@@ -204,7 +245,7 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
                 near = _popcount(fp[two] ^ fp[two + 1]) <= distance
                 found += [(int(x), int(y)) for x, y in zip(fp[two][near], fp[two + 1][near], strict=True)]
                 for s, e in zip(starts[1:-1][sizes > 2], ends[1:-1][sizes > 2], strict=True):
-                    found += spanning_links(scattered(fp[s:e], int(key[s])), distance)
+                    found += join(fp[s:e], distance)
                 held, of = [fp[starts[-1] :]], (int(mask[starts[-1]]), int(key[starts[-1]]))
             if found:
                 yield _pairs(found)
@@ -234,43 +275,91 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 12, words: int = 5, least: float = 0.8) -> DataFrame:
     """(``id_col``, group_id) of every row with an id: the smallest id that it reaches over verified links.
 
-    Links of at most ``distance`` bits are candidates; they are verified by the likeness of the texts' shingles of
-    ``words`` words, estimated from 128 MinHash components that were computed in the same pass over the texts, and
-    count from ``least`` on. Rows of equal fingerprint and components are one before anything is joined.
+    Links of at most ``distance`` bits are candidates. Those whose texts are clearly unlike by SKETCH MinHash components,
+    computed in the same pass over the texts, go; of the rest the sets of shingles of ``words`` words are compared, and
+    a Jaccard likeness of ``least`` or more counts. Rows of equal fingerprint and components are one before anything
+    is joined. The sets are computed for documents in links only, which a bitmap of a fixed size tells (see ``_among``).
     """
     from . import minhash
 
     def start() -> Callable:
         def step(keys, texts):
             made = [fingerprint(t) for t in texts]
-            sketches = (minhash.signatures([minhash.shingles(t, words) for t in texts]) & 0xFFFF).astype(np.uint16)
+            sketches = (minhash.signatures([minhash.shingles(t, words) for t in texts], SKETCH) & 0xFFFF).astype(np.uint16)
             return [keys, [f - (1 << 64) if f >> 63 else f for f in made], [row.tobytes() for row in sketches]]
 
         return step
 
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).filter("id is not null")
-    prints = cut_lineage(map_rows(rows, ["id", text_col], start, schema, "id long, fp long, sketch binary"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    prints = cut_lineage(map_rows(rows, ["id", "text"], start, schema, "id long, fp long, sketch binary"))
     nodes = cut_lineage(prints.groupBy("fp", "sketch").agg(F.min("id").alias("node")))
     first = nodes.groupBy("fp").agg(F.min_by(F.struct("node", "sketch"), "node").alias("x")).select("fp", "x.node", "x.sketch")
-    between = cut_lineage(links(first.select("fp"), distance))
+    between = cut_lineage(links(first.select("fp"), distance, join=nearest_links))
     end = lambda n: first.select(F.col("fp").alias(n), F.col("node").alias(f"{n}_node"), F.col("sketch").alias(f"{n}_sketch"))
     pairs = between.join(end("a"), "a").join(end("b"), "b").select("a_node", "b_node", "a_sketch", "b_sketch")
     within = nodes.join(first.select("fp", F.col("node").alias("a_node"), F.col("sketch").alias("a_sketch")), "fp").filter("node <> a_node")
     pairs = pairs.unionByName(within.select("a_node", F.col("node").alias("b_node"), "a_sketch", F.col("sketch").alias("b_sketch")))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def not_unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-                kept = batch.filter(pa.array(minhash.likeness(x, y) >= least))
+                kept = batch.filter(pa.array(minhash.likeness(x, y) >= least - SLACK))
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    roots = connected(map_arrow(pairs, verify, "a long, b long"))
+    candidates = cut_lineage(map_arrow(pairs, not_unlike, "a long, b long"))
+    held = _among(candidates)
+
+    def sets_of() -> Callable:
+        def step(keys, texts):
+            own = [(k, np.unique(minhash.shingles(t, words)).astype(np.uint32).tobytes()) for k, t in zip(keys, texts, strict=True) if held(k)]
+            return [[k for k, _ in own], [s for _, s in own]]
+
+        return step
+
+    sets = map_rows(rows, ["id", "text"], sets_of, pa.schema([("id", pa.int64()), ("set", pa.binary())]), "id long, set binary")
+    sets = cut_lineage(sets.groupBy("id").agg(F.min("set").alias("set")))
+    both = candidates.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared))
+            kept = batch.filter(pa.array(keep, type=pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    roots = connected(map_arrow(both, alike, "a long, b long"))
     grouped = nodes.join(roots, "node", "left").select("fp", "sketch", F.coalesce("root", "node").alias("group_id"))
     return prints.join(grouped, ["fp", "sketch"]).select(F.col("id").alias(id_col), "group_id")
 
 
+def _among(links: DataFrame) -> Callable[[int], bool]:
+    """A test that all ends of ``links`` pass, and few other ids: a bitmap of BITMAP bits, whatever the number of links.
+
+    Where there are so many ends that it fills up, ids pass that needn't; that costs time and changes nothing.
+    """
+    at = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).select(at.alias("at"))
+    ends = ends.selectExpr("int(at div 64) as word", "shiftleft(1L, int(at % 64)) as bit")
+    bitmap = np.zeros(BITMAP // 64, dtype=np.int64)
+    for word, bits in ends.groupBy("word").agg(F.bit_or("bit")).toLocalIterator():
+        bitmap[word] = bits
+    packed = bitmap.tobytes()
+
+    def held(key: int) -> bool:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
+        place = (h - (1 << 64) if h >> 63 else h) % BITMAP
+        return bool(packed[place >> 3] >> (place & 7) & 1)
+
+    return held
+
+
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the smallest id.
 

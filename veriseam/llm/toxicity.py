@@ -30,7 +30,7 @@ from .sampling import held_out, labelled_sample
 PER_CLASS = 2048
 TERMS, SHORTEST, LONGEST = 600, 4, 7
 NEAREST, BLOCK, PRIOR = 15, 64, 0.25
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -42,17 +42,21 @@ def choose_terms(texts: list[str], toxic: list[int]) -> list[str]:
     """Letter sequences whose presence tells toxic from other examples best, by a smoothed log-odds ratio's z-score."""
     import ahocorasick
 
-    words = [set(_WORD.findall(t)) for t in texts]
-    clean = set().union(*(w for w, y in zip(words, toxic, strict=True) if not y))
+    clean: set[str] = set()
+    for t, y in zip(texts, toxic, strict=True):
+        if not y:
+            clean.update(_WORD.findall(t))
     known: dict[str, set[str]] = {}
     support: Counter[str] = Counter()
-    for w, y in zip(words, toxic, strict=True):
+    for t, y in zip(texts, toxic, strict=True):
         if y:
             seen: set[str] = set()
-            for word in w - clean:
+            for word in set(_WORD.findall(t)) - clean:
                 grams = known.get(word)
                 if grams is None:
-                    grams = known[word] = _grams(word) if len(word) <= 64 else set()
+                    grams = _grams(word) if len(word) <= 64 else set()
+                    if len(known) < REMEMBERED:
+                        known[word] = grams
                 seen |= grams
             support.update(seen)
     # a sequence must occur in three toxic examples; the index of all of them is one automaton over all examples
