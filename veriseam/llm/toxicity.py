@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-At most PER_CLASS training documents of each label are examples (see ``sampling``). Terms are letter sequences of 4 to
-7 characters inside words (so inflected and compound forms share them) that set toxic examples apart; one
-Aho-Corasick pass over the lower-cased whole text counts them. Examples are an inverted index in blocks: for each
+At most PER_CLASS training documents of each label are examples (see ``sampling``). Terms are words,
+beginnings of words (4 to 10 letters) and sequences inside words (4 to 7), so that inflected and compound forms share
+them; those that set toxic examples apart are chosen; one Aho-Corasick pass
+over the words of the lower-cased whole text counts them. Examples are an inverted index in blocks: for each
 term and block the largest weight is known, blocks are visited by their upper bounds, and those that can't reach the
 k-th best cosine are passed over, which leaves the k nearest exact.
 
@@ -28,18 +29,25 @@ from .common import keep_rows, map_rows
 from .sampling import held_out, labelled_sample
 
 PER_CLASS = 2048
-TERMS, SHORTEST, LONGEST = 600, 4, 7
+TERMS, SHORTEST, INNER, LONGEST = 1000, 4, 7, 10
 NEAREST, BLOCK, PRIOR = 15, 64, 0.25
 REMEMBERED = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def spaced(text: str) -> str:
+    """The lower-cased words of a text between single spaces, one at both ends."""
+    return f" {' '.join(_WORD.findall(text.lower()))} "
+
+
 def _grams(word: str) -> set[str]:
-    return {word[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(word) - n + 1)}
+    """A word, its beginnings, and sequences inside it; a space marks where a word starts and ends."""
+    inner = {word[i : i + n] for n in range(SHORTEST, INNER + 1) for i in range(min(len(word), 64) - n + 1)}
+    return inner | {f" {word[:n]}" for n in range(SHORTEST, min(LONGEST, len(word)) + 1)} | {f" {word} "}
 
 
 def choose_terms(texts: list[str], toxic: list[int]) -> list[str]:
-    """Letter sequences whose presence tells toxic from other examples best, by a smoothed log-odds ratio's z-score."""
+    """Words and beginnings of words whose presence tells toxic from other examples best, by a smoothed log-odds ratio's z-score."""
     import ahocorasick
 
     clean: set[str] = set()
@@ -54,13 +62,13 @@ def choose_terms(texts: list[str], toxic: list[int]) -> list[str]:
             for word in set(_WORD.findall(t)) - clean:
                 grams = known.get(word)
                 if grams is None:
-                    grams = _grams(word) if len(word) <= 64 else set()
+                    grams = _grams(word)
                     if len(known) < REMEMBERED:
                         known[word] = grams
                 seen |= grams
             support.update(seen)
-    # a sequence must occur in three toxic examples; the index of all of them is one automaton over all examples
-    candidates = [g for g, n in support.most_common(20_000) if n >= 3]
+    # a term must occur in three toxic examples, or one in 150; one automaton counts all of them in all examples
+    candidates = [g for g, n in support.most_common(20_000) if n >= max(3, sum(toxic) / 150)]
     if not candidates:
         return []
     matcher = ahocorasick.Automaton()
@@ -77,13 +85,23 @@ def choose_terms(texts: list[str], toxic: list[int]) -> list[str]:
         z = (np.log(a / (n[1] + 0.2 - a)) - np.log(b / (n[0] + 0.2 - b))) / np.sqrt(1 / (a + 0.9) + 1 / (b + 0.9))
         if z > 1.5 and a / n[1] > 3 * b / max(n[0], 1):
             score[g] = z
-    return sorted(sorted(score, key=lambda g: (-score[g], g))[:TERMS])
+    # of sequences that stand in each other and in as many examples, the one that tells most is enough
+    kept: dict[tuple[int, int], list[str]] = {}
+    out: list[str] = []
+    for g in sorted(score, key=lambda g: (-score[g], len(g), g)):
+        alike = kept.setdefault((found[1][g], found[0][g]), [])
+        if not any(g in k or k in g for k in alike):
+            alike.append(g)
+            out.append(g)
+            if len(out) == TERMS:
+                break
+    return sorted(out)
 
 
 class Model:
     def __init__(self, sample: list[tuple], totals: dict[int, int]):
         """sample: (toxic, text, id); totals: labelled training rows of each class."""
-        texts, toxic = [s[1].lower() for s in sample], [int(s[0]) for s in sample]
+        texts, toxic = [spaced(s[1]) for s in sample], [int(s[0]) for s in sample]
         n = [toxic.count(0), toxic.count(1)]
         self.terms = choose_terms(texts, toxic)
         self.share = [totals.get(c, 0) / max(n[c], 1) for c in (0, 1)]
@@ -151,7 +169,7 @@ class Model:
         memory: dict[tuple, tuple[float, str]] = {}
 
         def score(text: str | None) -> tuple[float, str]:
-            counts = tuple(sorted(Counter(i for _, i in matcher.iter(text.lower())).items())) if text and self.terms else ()
+            counts = tuple(sorted(Counter(i for _, i in matcher.iter(spaced(text))).items())) if text and self.terms else ()
             got = memory.get(counts)
             if got is None:
                 if len(memory) > REMEMBERED:
