@@ -82,10 +82,11 @@ def test_links_span_all_components(spark, distance):
 def test_allocation_keeps_the_principle():
     rng = np.random.default_rng(0)
     sample = rng.integers(0, 1 << 64, 500, dtype=np.uint64)
-    for rows in (100, 10**6, 10**9):
+    for rows in (0, 1, 100, 10**6, 10**9):
         for distance in (0, 2, 3, 8):
             groups, thresholds = simhash.allocate(sample, rows, distance)
             assert sorted(b for g in groups for b in g) == list(range(64))
+            assert sum(simhash._choose(len(g), t) for g, t in zip(groups, thresholds, strict=True) if t >= 0) < 100_000
             assert sum(thresholds) == distance - len(groups) + 1 and min(thresholds) >= -1
 
 

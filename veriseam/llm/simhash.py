@@ -104,6 +104,7 @@ def _choose(n: int, k: int) -> int:
 def allocate(sample: np.ndarray, rows: int, distance: int) -> tuple[list[list[int]], list[int]]:
     """Partitions of bits and a threshold for each, of the least estimated cost for ``rows`` distinct fingerprints."""
     bits = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1) if len(sample) else np.zeros((1, BITS), dtype=np.uint8)
+    rows = max(rows, 1)  # else nothing would cost anything, and a threshold over all bits be chosen
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, len(bits), 200_000) for _ in range(2))
     a, b = a[a != b], b[a != b]
@@ -211,6 +212,8 @@ def links(distinct: DataFrame, distance: int = 3, *, join: Callable[[np.ndarray,
     """
     spark = distinct.sparkSession
     rows = distinct.count()
+    if rows < 2:
+        return spark.createDataFrame([], "a long, b long")
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     groups, thresholds = allocate(sample, rows, distance)
     masks = _masks(groups, thresholds)
