@@ -26,7 +26,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, map_arrow, map_rows
@@ -41,6 +41,9 @@ SKETCH, SLACK = 64, 0.2
 NEAR = 3
 #: Bits that tell which documents are in links (2 MB).
 BITMAP = 1 << 24
+#: Documents whose shingles are counted, how many of the commonest are remembered, and pairs made at a time. They steer
+#: cost, never the result.
+COUNTED, COMMON, PAIRS = 8192, 1_000_000, 500_000
 #: Seconds for a probe row and a candidate pair; only their ratio matters.
 ROW_COST, PAIR_COST = 1e-6, 5e-9
 
@@ -278,9 +281,11 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 12, words: int = 5, least: float = 0.8) -> DataFrame:
     """(``id_col``, group_id) of every row with an id: the smallest id that it reaches over verified links.
 
-    Links of at most ``distance`` bits are candidates. Those whose texts are clearly unlike by SKETCH MinHash components,
-    computed in the same pass over the texts, go; of the rest the sets of shingles of ``words`` words are compared, and
-    a Jaccard likeness of ``least`` or more counts. Rows of equal fingerprint and components are one before anything
+    A link is a pair whose sets of shingles of ``words`` words have a Jaccard likeness of ``least`` or more; all such
+    pairs count, in two rounds. In the first, links of at most ``distance`` bits are candidates; those whose texts are
+    clearly unlike by SKETCH MinHash components, computed in the same pass over the texts, go, and of the rest the sets
+    are compared. That joins most groups cheaply and may miss pairs. The second compares all that can still be alike
+    across the groups of the first (see ``_across``). Rows of equal fingerprint and components are one before anything
     is joined. The sets are computed for documents in links only, which a bitmap of a fixed size tells (see ``_among``).
     """
     from . import minhash
@@ -312,6 +317,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     candidates = cut_lineage(map_arrow(pairs, not_unlike, "a long, b long"))
+    roots = connected(_alike(rows, candidates, words, least))
+    joined = cut_lineage(nodes.join(roots, "node", "left").select("fp", "sketch", "node", F.coalesce("root", "node").alias("group")))
+    of = joined.select("node", "group").distinct()
+    candidates = cut_lineage(_across(rows, of, words, least))
+    end = lambda n: of.select(F.col("node").alias(n), F.col("group").alias(f"{n}_group"))
+    more = _alike(rows, candidates, words, least).join(end("a"), "a").join(end("b"), "b")
+    roots = connected(more.select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))).withColumnRenamed("node", "group")
+    grouped = joined.join(roots, "group", "left").select("fp", "sketch", F.coalesce("root", "group").alias("group_id"))
+    return prints.join(grouped, ["fp", "sketch"]).select(F.col("id").alias(id_col), "group_id")
+
+
+def _alike(rows: DataFrame, candidates: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of ``candidates`` (a, b) whose sets of shingles have a Jaccard likeness of ``least`` or more."""
+    from . import minhash
+
     held = _among(candidates)
 
     def sets_of() -> Callable:
@@ -335,9 +355,101 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             kept = batch.filter(pa.array(keep, type=pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    roots = connected(map_arrow(both, alike, "a long, b long"))
-    grouped = nodes.join(roots, "node", "left").select("fp", "sketch", F.coalesce("root", "node").alias("group_id"))
-    return prints.join(grouped, ["fp", "sketch"]).select(F.col("id").alias(id_col), "group_id")
+    return map_arrow(both, alike, "a long, b long")
+
+
+def _counts(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several of some COUNTED documents, in order, and in how many they stand."""
+    from . import minhash
+
+    of = F.pmod(F.xxhash64("id"), F.lit(max(1, rows.count() // COUNTED))) == 0
+
+    def start() -> Callable:
+        def step(texts):
+            found, n = np.unique(np.concatenate([np.unique(minhash.shingles(t, words)) for t in texts]).astype(np.uint32).view(np.int32), return_counts=True)
+            return [found, n]
+
+        return step
+
+    made = map_rows(rows.filter(of), ["text"], start, pa.schema([("shingle", pa.int32()), ("n", pa.int64())]), "shingle int, n long")
+    table = made.groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    found, n = table.column("shingle").to_numpy(), table.column("n").to_numpy()
+    most = np.argsort(-n, kind="stable")[:COMMON]
+    most = most[np.argsort(found[most])]
+    return found[most], n[most]
+
+
+def _across(rows: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): pairs of nodes of different ``groups`` (node, group) that hold all whose likeness is ``least`` or more.
+
+    The shingles of all sets are put in one order, the rare ones by a sample first. Of two sets of n and m shingles that
+    are so alike, at least least / (1 + least) * (n + m) are shared. Hence the first n - ceil(least * n) + 1 of each have
+    one in common, and after the first that they share both have enough left. Only shingles that stand in several groups
+    meet, and only rows of different groups are paired under them.
+    """
+    from . import minhash
+
+    common, n_common = _counts(rows, words)
+
+    def start() -> Callable:
+        def step(keys, texts):
+            sizes, heads = [], []
+            for t in texts:
+                own = np.unique(minhash.shingles(t, words)).astype(np.uint32).view(np.int32)
+                n = np.zeros(len(own), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    n = np.where(common[at] == own, n_common[at], 0)
+                sizes.append(len(own))
+                heads.append(own[np.lexsort((own, n))][: len(own) - int(np.ceil(least * len(own) - 1e-6)) + 1])
+            return [keys, sizes, heads]
+
+        return step
+
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("head", pa.list_(pa.int32()))])
+    heads = map_rows(rows, ["id", "text"], start, schema, "node long, size int, head array<int>")
+    dealt = heads.join(groups, "node").select(F.posexplode("head").alias("at", "shingle"), "node", "group", "size")
+    under = Window.partitionBy("shingle")
+    several = dealt.withColumn("low", F.min("group").over(under)).withColumn("high", F.max("group").over(under)).filter("low <> high")
+    several = several.select("shingle", "group", "node", "size", "at").sortWithinPartitions("shingle", "group")
+
+    def pair(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        shingle, group, node, size, at = x
+        ends = np.searchsorted(shingle, shingle, side="right")
+        starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (group[1:] != group[:-1])])
+        after = np.repeat(np.r_[starts[1:], len(shingle)], np.diff(np.r_[starts, len(shingle)]))
+        n = ends - after  # rows of other groups that follow under the same shingle
+        total = np.cumsum(n)
+        lo = 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, side="right")))
+            part = n[lo:hi]
+            i = np.repeat(np.arange(lo, hi), part)
+            j = after[i] + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
+            left = np.minimum(size[i] - at[i], size[j] - at[j])  # ``at`` counts from 0
+            able = (left * (1 + least) >= least * (size[i] + size[j]) - 1e-6) & (node[i] != node[j])
+            i, j = node[i[able]], node[j[able]]
+            both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            lo = hi
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the rows under the last shingle so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = [np.asarray(c).astype(np.int64) for c in batch.columns]
+            if held and x[0][-1] == held[-1][0][-1]:
+                held.append(x)
+                continue
+            cut = int(np.searchsorted(x[0], x[0][-1]))
+            yield from pair([np.concatenate(c) for c in zip(*held, [c[:cut] for c in x], strict=True)])
+            held = [[c[cut:] for c in x]]
+        if held:
+            yield from pair([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return map_arrow(several, meet, "a long, b long").distinct()
 
 
 def _among(links: DataFrame) -> Callable[[int], bool]:
