@@ -33,3 +33,18 @@ def test_pairs_beyond_the_distance(spark):
     want = by_jaccard(texts)
     assert len(set(want.values())) <= 25
     assert found(spark, texts) == want
+
+
+def test_pairs_in_a_dense_group(spark):
+    rnd = random.Random(22)
+    line = words(12, rnd)
+    texts = {}
+    for _ in range(120):
+        own = words(40, rnd)
+        for more in (0, 6):
+            texts[len(texts)] = " ".join(line * 4 + own + words(more, rnd))
+    near = [sum(bits(texts[a], texts[b]) <= 12 for b in texts) for a in list(texts)[:20]]
+    assert min(near) > 10
+    want = by_jaccard(texts)
+    assert len(set(want.values())) == 120
+    assert found(spark, texts) == want
