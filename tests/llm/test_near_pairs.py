@@ -48,3 +48,16 @@ def test_pairs_in_a_dense_group(spark):
     want = by_jaccard(texts)
     assert len(set(want.values())) == 120
     assert found(spark, texts) == want
+
+
+def test_pairs_of_one_fingerprint(spark):
+    rnd = random.Random(23)
+    line = words(5, rnd)
+    texts = {0: " ".join(line * 60 + words(40, rnd))}
+    for _ in range(20):
+        own = words(40, rnd)
+        texts |= {len(texts): " ".join(line * 60 + own), len(texts) + 1: " ".join(line * 60 + own + words(3, rnd))}
+    assert len({simhash.fingerprint(t) for t in texts.values()}) == 1
+    want = by_jaccard(texts)
+    assert len(set(want.values())) == 21
+    assert found(spark, texts) == want
