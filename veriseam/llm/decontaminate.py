@@ -10,8 +10,8 @@ What is retrieved is verified on the words: of the item's question (its first tw
 least OVERLAP of the five-word shingles each must stand in the passage; a part of fewer words is one shingle.
 
 Letters are lower-cased; words are runs of a-z, 0-9 and all characters beyond ASCII. Null or empty texts hold nothing,
-null or empty items match nothing; of items that repeat, each id counts. The items are a stated query set: they are held
-in chunks of CHUNK items, each asked in a pass of its own, with statistics over all items.
+items of null or empty text match nothing; of items that repeat, each id counts, a null id too. The items are a stated
+query set: they are held in chunks of CHUNK items, each asked in a pass of its own, with statistics over all items.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ def _shingles(words: list[bytes]) -> set[bytes]:
 class Index:
     """BM25 weights of one chunk of items."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], df: dict[bytes, int], n_items: int, mean: float, longest: int):
-        items = sorted(items, key=lambda x: (x[1], x[0]))
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], df: dict[bytes, int], n_items: int, mean: float, longest: int):
+        items = sorted(items, key=lambda x: (x[1], x[0] is not None, x[0] or 0))
         self.ids = [i for i, _ in items]
         self.step = max(32, longest)
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
@@ -122,7 +122,7 @@ class Index:
 
 def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
     """The index of all items, CHUNK or so at a time; the driver reads the items twice, one chunk in memory."""
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null").distinct()
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
     n = rows.count()
     df: Counter[bytes] = Counter()
     full = total = longest = 0
