@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -151,3 +152,51 @@ def test_redact_keeps_columns_and_all_else(odd_docs):
     rows = {r["doc_id"]: r for r in got.collect()}
     assert rows[9]["text"] == "[SECRET] [SECRET] [SECRET]" and rows[9]["n_chars"] == 26
     assert rows[7]["text"] == TEXTS[7] and rows[8]["text"] == TEXTS[8]
+
+
+def test_prose_behind_a_tag_is_no_licence():
+    assert licenses.evaluate("mit for this file only") == ({"mit"}, "permissive")
+    assert licenses.evaluate("(mit or gpl-2.0-only) and apache-2.0 as stated in copying")[0] == {"mit", "gpl", "apache"}
+    assert licenses.evaluate("see the file")[0] == set()
+    assert licenses.evaluate("licenseref-own-1 or mit, see below") == ({"licenseref-own-1", "mit"}, "permissive")
+
+
+def test_expressions_of_notices():
+    scan = lambda t: licenses.scan_text(t, licenses.automaton())
+    assert scan("under the MIT License or the GNU General Public License, at your option")[-1] == "permissive"
+    assert scan("under the MIT License and the GNU General Public License")[-1] == "restricted"
+    assert scan("the MIT License. Another part has the Apache License")[-1] == ""
+    started = time.time()
+    made = scan("mit license " * 200_000)
+    assert made[1] == 200_000 and made[3] == 399_998 and time.time() - started < 20
+
+
+def test_long_candidates(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = ["x a1" + "/b" * 200_000, "a" + "-bc" * 150_000 + "-1", "".join(rnd.choices(letters, k=100_000)), "".join(rnd.choices("0123456789abcdef", k=50_000)), "a1" * 20_000, "q" * 300_000]
+    started = time.time()
+    rows = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in secrets.scan(rows).collect()}
+    assert time.time() - started < 60
+    assert {k: r["n_entropy"] for k, r in got.items()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+    for k, t in enumerate(long):
+        assert got[k]["base_sha256"] == sha(brute_secrets(t))
+
+    def brute(t, w=secrets.WINDOW):
+        from collections import Counter
+        from math import log2
+
+        return max(-sum(c / w * log2(c / w) for c in Counter(t[i : i + w]).values()) for i in range(len(t) - w + 1))
+
+    texts = ["".join(rnd.choices("abcdefgh01234567", k=n)) for n in (255, 256, 257, 275, 276, 700, 1024)]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.window_entropy(F.col("t")).alias("h")).collect():
+        assert abs(r["h"] - brute(r["t"])) < 1e-9
+
+
+def test_classes_of_candidates(spark):
+    texts = ["kQzVbNmWxYtRpLsDfGhJ", "qzvbnmwxytrplsdfghjk", "some_long_variable_name_of_code", "anotherverylongwordofletters", "deadbeefdeadbeefdeadbeef0", "sk-live/Zx9+Qw7vB2nM5kL8"]
+    got = {r["doc_id"]: r["n_entropy"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0, 5: 1}

@@ -5,7 +5,8 @@ bit. A text is decoded to the language whose codeword loses least: the losses ex
 weighted by how reliable the bit was in training. The score is the softmax share of the winner, and a text is flagged
 ambiguous where the runner-up is close.
 
-The classifiers are fitted on at most PER_LANGUAGE documents of each language (see ``sampling``); everything is
+The classifiers are ridge regressions fitted on at most PER_LANGUAGE documents of each language (see ``sampling``),
+solved over the examples or over the features, whichever are fewer; both give the same weights. Everything is
 predicted for whole texts. Null texts and texts without a letter are ``und`` with score 0; so are all texts if there
 is nothing to learn from. With one learned language all others are that.
 """
@@ -24,6 +25,8 @@ from .sampling import held_out, labelled_sample
 
 PER_LANGUAGE = 256
 DIMENSIONS = 8192
+#: Rows of features held at a time beyond the smaller system of equations.
+ROWS = 1024
 #: Training pieces of a document besides the whole of it, and their length in bytes.
 PIECES, PIECE = 2, 160
 RIDGE = 0.3
@@ -47,16 +50,19 @@ def features(data: bytes) -> np.ndarray:
 def codewords(n: int) -> np.ndarray:
     """n rows of +1 and -1, far from each other; every column has both signs."""
     bits = max(7, 4 * int(np.ceil(np.log2(max(n, 2)))) + 3)
+    if n < 2:
+        return np.ones((n, bits), dtype=np.int64)
     rng = np.random.default_rng(11)
-    best, most = None, -1
-    for _ in range(400):
+    best, most = None, (-1, 0)
+    for _ in range(400 if n <= 32 else 40):
         code = rng.choice([-1, 1], size=(n, bits))
-        flat = np.abs(code.sum(axis=1 - 1)) == n
+        flat = np.abs(code.sum(axis=0)) == n
         code[0, flat] *= -1
-        gap = min(((code[i] != code[j]).sum() for i in range(n) for j in range(i)), default=bits)
-        even = -np.abs(code.sum(axis=0)).sum()
-        if (gap, even) > (most, even) or gap > most:
-            best, most = code, gap
+        apart = (bits - code @ code.T) // 2
+        gap = int(apart[~np.eye(n, dtype=bool)].min())
+        even = -int(np.abs(code.sum(axis=0)).sum())
+        if (gap, even) > most:
+            best, most = code, (gap, even)
     return best
 
 
@@ -65,23 +71,31 @@ class Model:
         self.languages = sorted({s[0] for s in sample})
         self.code = codewords(len(self.languages)).astype(np.float32)
         rng = np.random.default_rng(5)
-        rows, of = [], []
+        pieces, of = [], []
         for row in sample:
             data = row[1].lower().encode("utf-8", "surrogatepass")
             cuts = [data] + [data[a : a + PIECE] for a in rng.integers(0, max(1, len(data) - PIECE), PIECES)]
-            for d in cuts:
-                if d.strip():
-                    rows.append(features(d))
-                    of.append(self.languages.index(row[0]))
-        if not rows:
+            pieces += (d for d in cuts if d.strip())
+            of += [self.languages.index(row[0])] * sum(1 for d in cuts if d.strip())
+        if not pieces:
             self.languages = []
             return
-        x, y = np.array(rows), self.code[of]
+        y = self.code[of]
         weight = 1 / np.sqrt(np.bincount(of, minlength=len(self.languages))[of]).astype(np.float32)
-        k = x @ x.T
-        a = np.linalg.solve(k + RIDGE * np.diag(weight / weight.mean()).astype(np.float32), y)
-        self.w = (x.T @ a).astype(np.float32)
-        margin = (x @ self.w) * y
+        weight /= weight.mean()
+        blocks = lambda: ((slice(at, at + ROWS), np.array([features(d) for d in pieces[at : at + ROWS]])) for at in range(0, len(pieces), ROWS))
+        if len(pieces) <= DIMENSIONS:
+            x = np.concatenate([b for _, b in blocks()])
+            a = np.linalg.solve(x @ x.T + RIDGE * np.diag(weight), y)
+            self.w = (x.T @ a).astype(np.float32)
+        else:  # the same weights from the normal equations, with a block of rows in memory
+            gram, right = RIDGE * np.eye(DIMENSIONS, dtype=np.float32), np.zeros((DIMENSIONS, y.shape[1]), dtype=np.float32)
+            for at, x in blocks():
+                scaled = x.T / weight[at]
+                gram += scaled @ x
+                right += scaled @ y[at]
+            self.w = np.linalg.solve(gram, right).astype(np.float32)
+        margin = np.concatenate([x @ self.w for _, x in blocks()]) * y
         self.reliable = np.clip((margin > 0).mean(axis=0) - 0.5, 0.01, None) / np.clip(margin.std(axis=0), 0.1, None)
         self.reliable = (self.reliable / self.reliable.sum()).astype(np.float32)
 

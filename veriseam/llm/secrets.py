@@ -1,10 +1,12 @@
 """Secret scans with DataFrame functions only.
 
 Three base kinds are found by their patterns, leftmost first and without overlap within a kind. A fourth, ``entropy``,
-looks at candidate strings (maximal runs of ``[A-Za-z0-9+/_=-]`` of 20 or more characters that hold a digit): a window
-slides over the candidate, the counts of its characters change by the one that enters and the one that leaves, and with
-them the Shannon entropy. A candidate is a secret if some window is at or over the threshold of its character class
-(hexadecimal digits, or all else) and no allow-list pattern suppresses it. The allow list never touches base kinds.
+looks at candidate strings (maximal runs of ``[A-Za-z0-9+/_=-]`` of 20 or more characters): a window slides over the
+candidate, the counts of the character that enters and of the one that leaves change, and with them the Shannon entropy.
+A candidate is a secret if some window is at or over the threshold of its character class (hexadecimal digits, letters
+of one case, letters of both, letters and digits, all else) and no allow-list pattern suppresses it. The allow list
+never touches base kinds. Work is proportional to the length of a candidate: it is cut into pieces that overlap by a
+window, and no pattern repeats a group, which Java would match by recursion.
 
 Places of matches come from the text split at the pattern: piece and match lengths, added up. Lengths and places are
 code points, ends are exclusive.
@@ -14,6 +16,8 @@ Null texts count as empty and have no spans; an empty table gives an empty resul
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +25,24 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
-#: Candidates that are no secrets: UUIDs, plain numbers and dates, paths, words with numbers, placeholders, one character again and again.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Candidates that are no secrets: UUIDs, plain numbers and dates, paths, words with numbers, words joined by strokes,
+#: placeholders, one character again and again.
 ALLOWED = (
-    r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
+    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"^[0-9_/=+-]+$",
-    r"^[a-z0-9]*(/[a-z0-9_-]*){2,}$",
-    r"^[A-Za-z]+([_-][A-Za-z]+)*[_=-]?[0-9]{1,6}$",
+    r"^[a-z0-9]*+/[a-z0-9_-]*+/[a-z0-9/_-]*+$",
+    r"^[A-Za-z](?!.*[_-][_=-])[A-Za-z_-]*+=?[0-9]{1,6}$",
+    r"^[A-Za-z](?=.{0,40}[_/-])(?!.*[_/=-][_=-])[A-Za-z/_-]*+$",
     r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|your[_-])",
     r"(.)\1{7}",
 )
 WINDOW = 20
-LEAST = {"hex": 2.75, "mixed": 3.6}
+#: Character classes, the first that fits a candidate, and their least entropy.
+CLASSES = {"^([0-9a-f]++|[0-9A-F]++)$": 2.75, "^([a-z]++|[A-Z]++)$": 4.05, "^[A-Za-z]++$": 3.9, "^[A-Za-z0-9]++$": 3.6}
+LEAST = 3.6
+#: Characters of a candidate looked at in one piece, besides the window that overlaps.
+PIECE = 256
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -56,32 +66,36 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
 
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy (bits) of the windows of an ASCII string, by incremental counts; whole if shorter."""
-    # S is the sum of c*log2(c) over the counts; entropy = log2(n) - S/n. A count that goes from c to c+1 adds
-    # (c+1)*log2(c+1) - c*log2(c).
-    term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    code = lambda i: F.ascii(F.substring(text, i, F.lit(1))) + 1  # noqa: E731  1-based place in the counts
-
-    def step(a: Column, i: Column) -> Column:
-        enters, leaves = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(0))
-        more = F.element_at(a["counts"], enters)
-        s = a["s"] + term(more + 1) - term(more)
-        less = F.when(leaves == 0, F.lit(0)).when(leaves == enters, more + 1).otherwise(F.element_at(a["counts"], F.greatest(leaves, F.lit(1))))
-        s = F.when(leaves == 0, s).otherwise(s - term(less) + term(less - 1))
-        counts = F.transform(a["counts"], lambda c, j: c + F.when(j + 1 == enters, 1).otherwise(0) - F.when(j + 1 == leaves, 1).otherwise(0))
-        n = F.least(i, F.lit(window)).cast("double")
-        full = (i >= window) | (i == F.char_length(text))
-        return F.struct(counts.alias("counts"), s.alias("s"), F.when(full, F.greatest(a["best"], F.log2(n) - s / n)).otherwise(a["best"]).alias("best"))
-
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(text)), start, step, lambda a: a["best"])
+    # S is the sum of c*log2(c) over the counts c; entropy = log2(n) - S/n. What two neighbouring windows share are the
+    # window - 1 characters between the one that leaves and the one that enters; each of them changes S by
+    # (c+1)*log2(c+1) - c*log2(c), where c is its count among the shared ones.
+    gain = F.array(*(F.lit(float((c + 1) * log2(c + 1) - (c * log2(c) if c else 0.0))) for c in range(window)))
+    wide = F.least(F.char_length(text), F.lit(window))
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{PIECE + window - 1}}})).{{1,{PIECE}}}"), F.lit(1)), lambda p: F.char_length(p) >= wide)
+
+    def changes(piece: Column) -> Column:
+        def change(i: Column) -> Column:
+            shared = F.substring(piece, F.greatest(F.lit(1), i - (window - 1)), F.least(F.lit(window - 1), i - 1))
+            by = lambda at: F.element_at(gain, F.char_length(shared) - F.char_length(F.replace(shared, F.substring(piece, at, F.lit(1)), F.lit(""))) + 1)
+            return by(i) - F.when(i > window, by(i - window)).otherwise(0.0)
+
+        return F.transform(F.sequence(F.lit(1), F.char_length(piece)), change)
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("s"), F.lit(float("inf")).alias("least"))
+    step = lambda a, d: F.struct((a["i"] + 1).alias("i"), (a["s"] + d).alias("s"), F.when(a["i"] + 1 >= wide, F.least(a["least"], a["s"] + d)).otherwise(a["least"]).alias("least"))
+    least = F.array_min(F.transform(pieces, lambda p: F.aggregate(changes(p), start, step, lambda a: a["least"])))
+    n = wide.cast("double")
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - least / n)).otherwise(0.0)
 
 
 def _is_secret(candidate: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | candidate.rlike(pattern)
-    least = F.when(candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$"), LEAST["hex"]).otherwise(LEAST["mixed"])
-    return (F.char_length(candidate) >= 20) & F.when(F.char_length(candidate) < 20, False).otherwise(F.when(allowed, False).otherwise(window_entropy(candidate) >= least))
+    least = F.lit(LEAST)
+    for pattern, bits in reversed(CLASSES.items()):
+        least = F.when(candidate.rlike(pattern), bits).otherwise(least)
+    return F.when(allowed, False).otherwise(window_entropy(candidate) >= least)
 
 
 def _free(docs: DataFrame) -> str:
