@@ -314,3 +314,29 @@ def test_nearest_examples_are_exact():
         all_ = model.examples @ model._vector(counts)
         best = np.sort(all_[all_ > 0])[::-1][: toxicity.NEAREST]
         assert np.allclose(cosines, best, atol=1e-5) and np.allclose(all_[rows], cosines, atol=1e-5)
+
+
+def edits_by_hand(rows):
+    """(id, edited sha256) of (id, text) rows by the definition; no id is before all."""
+    place = lambda i: -(2**63) if i is None else i
+    least = {}
+    for i, t in rows:
+        least[place(i)] = min(least.get(place(i), t or ""), t or "", key=lambda x: x.encode())
+    order = sorted(least)
+    after = {i: least[order[(k + 1) % len(order)]] for k, i in enumerate(order)}
+    out = []
+    for i, t in rows:
+        t, half = t or "", len(t or "") // 2
+        out.append((i, hashlib.sha256((t[: len(t) - half] + after[place(i)][:half]).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hot", [None, 500, 0, 999])
+def test_fingerprint_edits_of_a_hot_id(spark, hot):
+    rnd = random.Random(13)
+    rows = [(rnd.randrange(1000), " ".join(words(rnd.randint(0, 30), rnd))) for _ in range(400)]
+    rows += [(hot, " ".join(words(rnd.randint(0, 30), rnd))) for _ in range(600)]
+    got = minhash.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in got), key=repr) == edits_by_hand(rows)
+    dealt = minhash.dealt_in_order(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert dealt.groupBy("bucket").count().agg({"count": "max"}).first()[0] < 250

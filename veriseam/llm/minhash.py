@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,35 +103,40 @@ def _hex(s: np.ndarray) -> list[str]:
 
 
 def dealt_in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, ahead, id, text): rows dealt by ranges of ids, sorted in each; ahead rows show a range what comes after it.
+    """(bucket, ahead, id, no_id, text): rows dealt by ranges of ids, in each by descending id, then text.
 
-    Ranges come from approximate quantiles of all ids. The first id of each range (one number a range reaches the
-    driver) is also dealt to the range before it, that of the first to the last, so that the successor of every row is
-    in its own range, and texts are shuffled once.
+    Ranges come from approximate quantiles of all ids. An id that fills several quantiles is a range of its own, dealt
+    to as many buckets by a hash of the text. The smallest text that follows a range (of the next range's first id,
+    after the last that of the first) is dealt ahead of every bucket of it, so that the successor of each row comes
+    before the row, and texts are shuffled once.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 4 * n
+    ranges = min(4 * n, 4096)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]
     if cuts is None:
         return rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("ahead"), "id", "no_id", "text")
-    cuts = sorted(set(cuts))
+    often = {c: k for c, k in Counter(cuts).items() if k > 1}
+    cuts = sorted({*cuts, *(c - 1 for c in often if c > -(2**63))})  # range k holds the ids over cut k - 1 up to cut k
+    salts = [often.get(c, 1) for c in cuts] + [1]
     wide = max(1, int(len(cuts) ** 0.5))
     coarse = cuts[wide - 1 :: wide]
     fine = [cuts[i * wide : (i + 1) * wide] for i in range(len(coarse) + 1)]
     longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs)) if xs else F.expr("cast(array() as array<bigint>)")
-    first = F.size(F.filter(longs(coarse), lambda c: c < F.col("id")))
-    rows = rows.withColumn("_c", first)
-    bucket = F.col("_c") * (wide + 1) + F.size(F.filter(F.element_at(F.array(*map(longs, fine)), F.col("_c") + 1), lambda c: c < F.col("id")))
-    rows = rows.withColumn("bucket", bucket).drop("_c")
-    heads = sorted(tuple(r) for r in rows.groupBy("bucket").agg(F.min("id")).collect())
-    before = {heads[i][0]: (heads[i][1], heads[i - 1][0]) for i in range(len(heads))}
-    of = F.create_map(*(x for b, (i, p) in before.items() for x in (F.lit(b), F.struct(F.lit(i).cast("long").alias("id"), F.lit(p).alias("bucket")))))
-    rows = rows.withColumn("_h", of[F.col("bucket")])
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ahead"))
-    ahead = F.struct(F.col("_h.bucket").alias("bucket"), F.lit(1).alias("ahead"))
-    rows = rows.select("id", "no_id", "text", F.explode(F.when(F.col("_h.id") == F.col("id"), F.array(own, ahead)).otherwise(F.array(own))).alias("x")).select("x.*", "id", "no_id", "text")
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", "id", "text")
+    rows = rows.withColumn("_c", F.size(F.filter(longs(coarse), lambda c: c < F.col("id"))))
+    within = F.size(F.filter(F.element_at(F.array(*map(longs, fine)), F.col("_c") + 1), lambda c: c < F.col("id")))
+    rows = rows.withColumn("range", F.col("_c") * wide + within).drop("_c")
+    firsts = sorted(tuple(r) for r in rows.groupBy("range").agg(F.min("id")).collect())
+    ahead_of = {firsts[i][1]: firsts[i - 1][0] for i in range(len(firsts))}  # first id of a range: the range before it
+    heads = rows.filter(F.col("id").isin([i for _, i in firsts])).groupBy("id").agg(F.min("text").alias("text"))
+    before = F.create_map(*(F.lit(x) for p in ahead_of.items() for x in p))
+    room = F.array(*(F.lit(k) for k in salts))
+    most = max(salts)
+    heads = heads.withColumn("range", before[F.col("id")]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at(room, F.col("range") + 1) - 1)))
+    heads = heads.select((F.col("range") * most + F.col("salt")).cast("int").alias("bucket"), F.lit(1).alias("ahead"), "id", F.lit(False).alias("no_id"), "text")
+    salt = F.pmod(F.xxhash64("text"), F.element_at(room, F.col("range") + 1).cast("long")) if most > 1 else F.lit(0)
+    own = rows.select((F.col("range") * most + salt).cast("int").alias("bucket"), F.lit(0).alias("ahead"), "id", "no_id", "text")
+    return own.unionByName(heads).repartition(n, "bucket").sortWithinPartitions("bucket", F.col("ahead").desc(), F.col("id").desc(), "text")
 
 
 def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,42 +144,47 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     The edited text has its last floor(n/2) code points replaced by the first as many (or all) of the next text, that
     of the next larger id, after the largest that of the smallest; of rows with one id the smallest text is the next.
-    Rows without an id come before all others.
+    Rows without an id come before all others. A worker holds the rows of one answer and two texts besides.
     """
     out = pa.schema([(id_col, pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
         texts = [t for _, t, _ in rows]
         edited = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for _, t, after in rows]
-        other = [i for i in range(len(rows)) if i + 1 == len(rows) or rows[i + 1][1] is not rows[i][2]]
-        s = signatures([shingles(t) for t in (*texts, *edited, *(rows[i][2] for i in other))])
+        # most successors are the row before, whose signature is made anyway; the others once for each text
+        other = [i for i in range(len(rows)) if not i or rows[i - 1][1] is not rows[i][2]]
+        fresh = [i for k, i in enumerate(other) if not k or rows[other[k - 1]][2] is not rows[i][2]]
+        s = signatures([shingles(t) for t in (*texts, *edited, *(rows[i][2] for i in fresh))])
         k = len(rows)
         own, changed = s[:k], s[k : 2 * k]
         after = np.empty_like(own)
-        after[:-1] = own[1:]
-        after[other] = s[2 * k :]
+        after[1:] = own[:-1]
+        at = -1
+        for i in other:
+            at += at + 1 < len(fresh) and fresh[at + 1] == i
+            after[i] = s[2 * k + at]
         sha = [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited]
         columns = [[i for i, _, _ in rows], [len(t) for t in texts], sha, _hex(own), _hex(changed), likeness(own, changed), likeness(own, after)]
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # rows whose successor isn't known yet: those of one id
         ready: list[tuple] = []
-        of = None
+        chars, of = 0, None
+        after = first = ""  # the text that follows the id at hand, and that id's own smallest
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 for bucket, ahead, key, no_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
-                    if held and (key != of[1] or ahead != of[2]) and bucket == of[0]:
-                        ready += [(i, t, text) for i, t in held]
-                        held = []
-                    elif of is not None and bucket != of[0]:
-                        held = []
-                    of = (bucket, key, ahead)
+                    if of is None or of[0] != bucket:
+                        after = first = text
+                    elif of != (bucket, ahead, key):
+                        after, first = first, text
+                    of = (bucket, ahead, key)
                     if not ahead:
-                        held.append((None if no_id else key, text))
-                if len(ready) >= 128 or sum(len(t) for _, t, _ in ready) > 2_000_000:
+                        ready.append((None if no_id else key, text, after))
+                        chars += len(text) + len(after)
+                if len(ready) >= 128 or chars > 2_000_000:
                     yield finish(ready)
-                    ready = []
+                    ready, chars = [], 0
         if ready:
             yield finish(ready)
 
