@@ -1,7 +1,10 @@
 """Near-duplicates of the pipeline against plain Jaccard likeness, whatever the fingerprints."""
 
+import hashlib
 import random
 
+import numpy as np
+
 from veriseam.llm import minhash, simhash
 
 from .test_documents import groups_of, words
@@ -61,3 +64,58 @@ def test_pairs_of_one_fingerprint(spark):
     want = by_jaccard(texts)
     assert len(set(want.values())) == 21
     assert found(spark, texts) == want
+
+
+def test_rows_that_share_an_id(spark):
+    rnd = random.Random(24)
+    a, b, c = (" ".join(words(80, rnd)) for _ in range(3))
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 3), (7, c, 4), (7, c + " more", 5), (None, a, 6), (None, a, 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _id int")
+    kept = simhash.deduplicate(table)
+    assert kept.columns == table.columns
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in kept.collect())) == sorted([(False, 1, a), (False, 5, b), (False, 7, min((c, c + " more"), key=lambda t: hashlib.md5(t.encode()).digest())), (True, 0, a), (True, 0, a)])
+
+
+def test_profiles_bound_what_is_shared():
+    rng = np.random.default_rng(25)
+    for n, m in ((0, 5), (1, 1), (10, 300), (300, 310), (5000, 4500), (20, 40_000)):
+        pool = rng.choice(1 << 32, size=n + m, replace=False).astype(np.uint32)
+        x, y = np.unique(pool[:n]), np.unique(np.r_[pool[n // 2 : n], pool[n:]][:m])
+        assert simhash.shared_at_most(simhash._profile(x), simhash._profile(y)) >= len(np.intersect1d(x, y))
+    crowd = (np.arange(300, dtype=np.uint32) << np.uint32(16)) + np.uint32(3)
+    assert simhash._profile(crowd) == b"" and simhash.shared_at_most(b"", simhash._profile(crowd[:8])) >= 300
+
+
+def test_numbers_of_keys_that_collide(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    keys = [bytes([k]) * 16 for k in range(6)]
+    table = spark.createDataFrame([(k,) for k in keys] * 2, "key binary")
+    column, again = simhash._numbered(table)
+    assert not again and table.select(column.alias("n")).distinct().count() == 6
+    monkeypatch.setattr(F, "xxhash64", lambda c: F.length(c).cast("long"))
+    column, again = simhash._numbered(table)
+    monkeypatch.undo()
+    assert set(again) == set(keys[1:]) and table.select(column.alias("n")).distinct().count() == 6
+
+
+def test_recall_of_planted_pairs(spark):
+    rnd = random.Random(26)
+    texts = {}
+    for _ in range(60):
+        own = words(rnd.randint(40, 300), rnd)
+        texts[len(texts)] = " ".join(own)
+        for kind in rnd.sample(["append", "cut", "block", "scatter"], 2):
+            near, k = own[:], max(1, int(len(own) * rnd.uniform(0.02, 0.12)))
+            if kind == "append":
+                near += words(k, rnd)
+            elif kind == "cut":
+                near = near[k:]
+            elif kind == "block":
+                at = rnd.randrange(len(near) - k)
+                near[at : at + k] = words(k, rnd)
+            else:
+                for at in rnd.sample(range(len(near)), max(1, k // 5)):
+                    near[at] = "changed"
+            texts[len(texts)] = " ".join(near)
+    assert found(spark, texts) == by_jaccard(texts)
