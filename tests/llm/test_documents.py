@@ -303,17 +303,69 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert all(r["score"] == 0 for r in toxicity.score(odd_docs, lab.limit(0)).collect())
 
 
+def plain_scores(sample, totals, texts):
+    """Scores by the definition: dense TF-IDF vectors over all words, all cosines, sorted."""
+    import re
+    from collections import Counter
+    from math import log
+
+    bag = lambda t: Counter(re.findall(r"[^\W\d_]+", t.lower()))
+    bags = [bag(t) for _, t, _ in sample]
+    n = [sum(y == c for y, _, _ in sample) for c in (0, 1)]
+    df = [Counter(w for (y, _, _), b in zip(sample, bags, strict=True) if y == c for w in b) for c in (0, 1)]
+    term = lambda k, m, p: (k * log(k / (m * p)) if k else 0) + ((m - k) * log((m - k) / (m * (1 - p))) if m - k else 0)
+
+    def weight(w):
+        p = (df[0][w] + df[1][w]) / sum(n)
+        return (log((1 + len(sample)) / (1 + df[0][w] + df[1][w])) + 1) * (1 + 2 * max(0.0, term(df[1][w], n[1], p) + term(df[0][w], n[0], p)))
+
+    weights = {w: weight(w) for w in {*df[0], *df[1]}}
+
+    def vector(b):
+        v = {w: (1 + log(c)) * weights[w] for w, c in b.items() if w in weights}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    examples = [vector(b) for b in bags]
+    share = [totals[c] / max(n[c], 1) for c in (0, 1)]
+    prior = totals[1] / sum(totals.values())
+    out = []
+    for t in texts:
+        v = vector(bag(t))
+        near = sorted(((sum(x * e.get(w, 0) for w, x in v.items()), y) for e, (y, _, _) in zip(examples, sample, strict=True)), reverse=True)[: toxicity.NEAREST]
+        votes = [(c * c * share[y], y) for c, y in near if c > 0]
+        p = toxicity.PRIOR * max(share)
+        out.append((sum(w * y for w, y in votes) + p * prior) / (sum(w for w, _ in votes) + p) if v else prior)
+    return out
+
+
+def test_toxicity_by_its_definition():
+    docs, labels = toxic_docs(420)
+    sample = [(y, t, i) for (i, t), (_, y) in zip(docs[:340], labels, strict=False)]
+    totals = {0: 500, 1: 100}
+    score = toxicity.Model(sample, totals).scorer()
+    texts = [t for _, t in docs[340:]] + [docs[0][1], "idiot", "idiot idiot w1", "unknownword", "", docs[1][1] * 3]
+    assert np.allclose([score(t)[0] for t in texts], plain_scores(sample, totals, texts), atol=1e-9)
+    assert score(None) == score("")
+
+
 def test_nearest_examples_are_exact():
     docs, labels = toxic_docs(600)
-    sample = [(y, t, i) for (i, t), (_, y) in zip(docs, labels, strict=True)]
-    model = toxicity.Model(sample, {0: 500, 1: 100})
+    model = toxicity.Model([(y, t, i) for (i, t), (_, y) in zip(docs, labels, strict=True)], {0: 500, 1: 100})
+    place = {w: k for k, w in enumerate(model.terms)}
+    dense = np.zeros((len(model.y), len(model.terms)))
+    often = np.flatnonzero(model.common >= 0)
+    dense[:, often] = model.matrix[model.common[often]].reshape(len(often), -1)[:, : len(model.y)].T
+    for t, (s, e) in enumerate(zip(model.term_starts[:-1], model.term_starts[1:], strict=True)):
+        for r in range(s, e):
+            dense[model.rows[model.run_starts[r] : model.run_ends[r]], t] = model.values[model.run_starts[r] : model.run_ends[r]]
     rnd = random.Random(11)
     for _ in range(60):
-        counts = tuple((i, rnd.randint(1, 4)) for i in sorted(rnd.sample(range(len(model.terms)), rnd.randint(1, 5))))
-        rows, cosines = model.nearest(counts)
-        all_ = model.examples @ model._vector(counts)
+        at, v = model.vector({w: rnd.randint(1, 4) for w in rnd.sample(sorted(model.terms), rnd.randint(1, min(40, len(model.terms))))}, place)
+        rows, cosines = model.nearest(at, v)
+        all_ = dense[:, at] @ v
         best = np.sort(all_[all_ > 0])[::-1][: toxicity.NEAREST]
-        assert np.allclose(cosines, best, atol=1e-5) and np.allclose(all_[rows], cosines, atol=1e-5)
+        assert np.allclose(cosines, best, atol=1e-9) and np.allclose(all_[rows], cosines, atol=1e-9)
 
 
 def edits_by_hand(rows):

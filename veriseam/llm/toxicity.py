@@ -1,18 +1,18 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-At most PER_CLASS training documents of each label are examples (see ``sampling``). Terms are words,
-beginnings of words (4 to 10 letters) and sequences inside words (4 to 7), so that inflected and compound forms share
-them; those that set toxic examples apart are chosen; one Aho-Corasick pass
-over the words of the lower-cased whole text counts them. Examples are an inverted index in blocks: for each
-term and block the largest weight is known, blocks are visited by their upper bounds, and those that can't reach the
-k-th best cosine are passed over, which leaves the k nearest exact.
+At most PER_CLASS training documents of each label are examples (see ``sampling``). Terms are all words (runs of
+letters, lower-cased) of all examples; a vector holds (1 + log count) * idf * (1 + G) for each, where G is the
+log-likelihood ratio of the term's document counts in toxic and other examples (supervised term weighting), which is
+small for words that say nothing. Examples are an inverted index in blocks: for each term and block the largest weight
+is known, blocks are visited by their upper bounds, a few at a time, and those that can't reach the k-th best cosine are
+passed over, which leaves the k nearest exact.
 
 Votes of the k nearest are weighted by the square of the cosine and by how many labelled rows each example stands for,
-with a prior of PRIOR votes from the examples that have no term at all; that makes the score an estimate of the share of
-toxic rows among rows like this one. The ids of the nearest examples are the evidence.
+with a prior of PRIOR votes by the share of toxic labels; that makes the score an estimate of the share of toxic rows
+among rows like this one. The ids of the nearest examples are the evidence.
 
-Null and empty texts have no terms and get the prior; without labels every score is 0. Repeated rows stay, other
-columns are ignored.
+Null and empty texts and those without a known word get the prior; without labels every score is 0. Repeated rows stay,
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,155 +29,137 @@ from .common import keep_rows, map_rows
 from .sampling import held_out, labelled_sample
 
 PER_CLASS = 2048
-TERMS, SHORTEST, INNER, LONGEST = 1000, 4, 7, 10
 NEAREST, BLOCK, PRIOR = 15, 64, 0.25
-REMEMBERED = 50_000
+#: Terms of at least this share of the examples are kept as rows of a matrix, not as postings.
+COMMON = 1 / 24
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def spaced(text: str) -> str:
-    """The lower-cased words of a text between single spaces, one at both ends."""
-    return f" {' '.join(_WORD.findall(text.lower()))} "
-
-
-def _grams(word: str) -> set[str]:
-    """A word, its beginnings, and sequences inside it; a space marks where a word starts and ends."""
-    inner = {word[i : i + n] for n in range(SHORTEST, INNER + 1) for i in range(min(len(word), 64) - n + 1)}
-    return inner | {f" {word[:n]}" for n in range(SHORTEST, min(LONGEST, len(word)) + 1)} | {f" {word} "}
-
-
-def choose_terms(texts: list[str], toxic: list[int]) -> list[str]:
-    """Words and beginnings of words whose presence tells toxic from other examples best, by a smoothed log-odds ratio's z-score."""
-    import ahocorasick
-
-    clean: set[str] = set()
-    for t, y in zip(texts, toxic, strict=True):
-        if not y:
-            clean.update(_WORD.findall(t))
-    known: dict[str, set[str]] = {}
-    support: Counter[str] = Counter()
-    for t, y in zip(texts, toxic, strict=True):
-        if y:
-            seen: set[str] = set()
-            for word in set(_WORD.findall(t)) - clean:
-                grams = known.get(word)
-                if grams is None:
-                    grams = _grams(word)
-                    if len(known) < REMEMBERED:
-                        known[word] = grams
-                seen |= grams
-            support.update(seen)
-    # a term must occur in three toxic examples, or one in 150; one automaton counts all of them in all examples
-    candidates = [g for g, n in support.most_common(20_000) if n >= max(3, sum(toxic) / 150)]
-    if not candidates:
-        return []
-    matcher = ahocorasick.Automaton()
-    for g in candidates:
-        matcher.add_word(g, g)
-    matcher.make_automaton()
-    found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    for t, y in zip(texts, toxic, strict=True):
-        found[y].update({g for _, g in matcher.iter(t)})
-    n = [toxic.count(0), toxic.count(1)]
-    score = {}
-    for g in candidates:
-        a, b = found[1][g] + 0.1, found[0][g] + 0.1
-        z = (np.log(a / (n[1] + 0.2 - a)) - np.log(b / (n[0] + 0.2 - b))) / np.sqrt(1 / (a + 0.9) + 1 / (b + 0.9))
-        if z > 1.5 and a / n[1] > 3 * b / max(n[0], 1):
-            score[g] = z
-    # of sequences that stand in each other and in as many examples, the one that tells most is enough
-    kept: dict[tuple[int, int], list[str]] = {}
-    out: list[str] = []
-    for g in sorted(score, key=lambda g: (-score[g], len(g), g)):
-        alike = kept.setdefault((found[1][g], found[0][g]), [])
-        if not any(g in k or k in g for k in alike):
-            alike.append(g)
-            out.append(g)
-            if len(out) == TERMS:
-                break
-    return sorted(out)
+def counted(text: str | None) -> Counter[str]:
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
+
+
+def log_likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """Dunning's G of terms that stand in a of n_a and b of n_b documents."""
+
+    def part(k: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(k / (n * p)), 0.0) + np.where(n - k > 0, (n - k) * np.log((n - k) / (n * (1 - p))), 0.0)
+
+    if not n_a or not n_b:
+        return np.zeros(len(a))
+    p = (a + b) / (n_a + n_b)
+    return 2 * np.maximum(0.0, part(a, n_a, p) + part(b, n_b, p))
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of several ranges, one after the other."""
+    sizes = ends - starts
+    return np.arange(sizes.sum(), dtype=np.int32) + np.repeat((starts - np.cumsum(sizes) + sizes).astype(np.int32), sizes)
 
 
 class Model:
     def __init__(self, sample: list[tuple], totals: dict[int, int]):
         """sample: (toxic, text, id); totals: labelled training rows of each class."""
-        texts, toxic = [spaced(s[1]) for s in sample], [int(s[0]) for s in sample]
-        n = [toxic.count(0), toxic.count(1)]
-        self.terms = choose_terms(texts, toxic)
+        toxic = np.array([int(s[0]) for s in sample], dtype=np.int64)
+        n = [int((toxic == 0).sum()), int((toxic == 1).sum())]
         self.share = [totals.get(c, 0) / max(n[c], 1) for c in (0, 1)]
-        matcher = self._matcher()
-        counts = [Counter(i for _, i in matcher.iter(t)) if self.terms else Counter() for t in texts]
-        bare = [sum(self.share[y] for c, y in zip(counts, toxic, strict=True) if not c and y == v) for v in (0, 1)]
-        self.prior = bare[1] / (bare[0] + bare[1]) if sum(bare) else totals.get(1, 0) / max(1, sum(totals.values()))
-        df = Counter(i for c in counts for i in c)
-        self.idf = np.array([np.log((1 + len(texts)) / (1 + df[i])) + 1 for i in range(len(self.terms))])
-        kept = [i for i, c in enumerate(counts) if c]
-        vectors = np.zeros((len(kept), len(self.terms)), dtype=np.float32)
-        for r, i in enumerate(kept):
-            vectors[r] = self._vector(tuple(counts[i].items()))
-        order = np.lexsort((np.arange(len(kept)), vectors.argmax(axis=1))) if len(kept) else np.empty(0, dtype=int)  # like ones share blocks
-        self.examples = vectors[order]
-        self.y = np.array([toxic[kept[i]] for i in order], dtype=np.int64)
-        self.ids = [sample[kept[i]][2] for i in order]
-        starts = np.arange(0, len(order), BLOCK)
-        self.most = np.array([self.examples[s : s + BLOCK].max(axis=0) for s in starts]).reshape(len(starts), len(self.terms)).T.copy()
-
-    def _matcher(self):
-        import ahocorasick
-
-        matcher = ahocorasick.Automaton()
-        for i, t in enumerate(self.terms):
-            matcher.add_word(t, i)
-        matcher.make_automaton()
-        return matcher
-
-    def _vector(self, counts: tuple[tuple[int, int], ...]) -> np.ndarray:
-        v = np.zeros(len(self.terms), dtype=np.float32)
-        for i, c in counts:
-            v[i] = (1 + np.log(c)) * self.idf[i]
-        return v / np.linalg.norm(v)
-
-    def nearest(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+        self.prior = totals.get(1, 0) / max(1, sum(totals.values()))
+        place: dict[str, int] = {}
+        terms, times, of = [], [], []
+        for r, (_, text, _) in enumerate(sample):
+            found = counted(text)
+            terms += [place.setdefault(w, len(place)) for w in found]
+            times += found.values()
+            of += [r] * len(found)
+        self.terms = list(place)
+        term, row = np.array(terms, dtype=np.int64), np.array(of, dtype=np.int64)
+        df = [np.bincount(term[toxic[row] == c], minlength=len(place)) for c in (0, 1)]
+        self.weight = (np.log((1 + len(sample)) / (1 + df[0] + df[1])) + 1) * (1 + log_likelihood_ratio(df[1], df[0], n[1], n[0]))
+        value = (1 + np.log(np.array(times, dtype=np.float64))) * self.weight[term]
+        value /= np.sqrt(np.bincount(row, value**2, minlength=len(sample)))[row]
+        # like examples share blocks: they are ordered by the term that weighs most in them
+        heaviest = np.zeros(len(sample), dtype=np.int64)
+        by = np.lexsort((value, row))
+        heaviest[row[by]] = term[by]
+        has = np.zeros(len(sample), dtype=bool)
+        has[row] = True
+        order = np.lexsort((np.arange(len(sample)), heaviest, ~has))[: int(has.sum())]
+        rank = np.zeros(len(sample), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.y, self.ids = toxic[order], [sample[i][2] for i in order]
+        self.blocks = -(-len(order) // BLOCK)
+        # common terms: a matrix by term, block and place in the block
+        often = np.flatnonzero(df[0] + df[1] >= max(1, COMMON * len(order)))
+        self.common = np.full(len(place), -1, dtype=np.int32)
+        self.common[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.blocks, BLOCK))
+        of, at = self.common[term], rank[row]
+        self.matrix[of[of >= 0], at[of >= 0] // BLOCK, at[of >= 0] % BLOCK] = value[of >= 0]
+        self.matrix_most = self.matrix.max(axis=2) if len(often) else np.zeros((0, self.blocks))
+        # postings of the others by term and example; runs of one term and block, each with its largest value
+        rare = np.flatnonzero(of < 0)
+        by = rare[np.lexsort((at[rare], term[rare]))]
+        self.rows, self.values, term = at[by].astype(np.int32), value[by], term[by]
+        run = term * max(1, self.blocks) + self.rows // BLOCK
+        self.run_starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, dtype=np.int64)
+        self.run_ends = np.r_[self.run_starts[1:], len(run)] if len(run) else self.run_starts
+        self.run_block = (run[self.run_starts] % max(1, self.blocks)).astype(np.int32)
+        self.run_most = np.maximum.reduceat(self.values, self.run_starts) if len(run) else self.values
+        self.term_starts = np.searchsorted(term[self.run_starts], np.arange(len(place) + 1))
+
+    def vector(self, counts: dict[str, int], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their values, of unit length."""
+        known = [(place[w], c) for w, c in counts.items() if w in place]
+        at = np.array([k for k, _ in known], dtype=np.int64)
+        v = (1 + np.log(np.array([c for _, c in known], dtype=np.float64))) * self.weight[at]
+        return at, v / max(float(np.sqrt((v**2).sum())), 1e-300)
+
+    def nearest(self, at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the NEAREST examples, best first, ties by row; exact."""
-        v = self._vector(counts)
-        at = np.flatnonzero(v)
-        bound = v[at] @ self.most[at]
-        rows, cosines, least = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] < least - 1e-6 or bound[block] <= 0:
-                break
-            part = self.examples[block * BLOCK : (block + 1) * BLOCK, at] @ v[at]
-            rows, cosines = np.r_[rows, block * BLOCK + np.arange(len(part))], np.r_[cosines, part]
+        common = self.common[at]
+        heavy, heavy_v = common[common >= 0], v[common >= 0]
+        at, v = at[common < 0], v[common < 0]
+        first, last = self.term_starts[at], self.term_starts[at + 1]
+        runs, weight = _ranges(first, last), np.repeat(v, last - first)
+        block = self.run_block[runs]
+        bound = np.bincount(block, weight * self.run_most[runs], minlength=self.blocks) + heavy_v @ self.matrix_most[heavy]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        rows, cosines, least, done, step = np.empty(0, dtype=np.int64), np.empty(0), 0.0, 0, 2
+        while done < len(order) and bound[order[done]] >= least - 1e-9:
+            part = order[done : done + step]
+            part = part[bound[part] >= least - 1e-9]
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[part] = True
+            done, step = done + step, step * 2
+            of = chosen[block]
+            starts, ends = self.run_starts[runs[of]], self.run_ends[runs[of]]
+            places = _ranges(starts, ends)
+            dots = np.bincount(self.rows[places], self.values[places] * np.repeat(weight[of], ends - starts), minlength=self.blocks * BLOCK).astype(np.float64, copy=False)
+            if len(heavy):
+                dots.reshape(-1, BLOCK)[part] += np.tensordot(heavy_v, self.matrix[np.ix_(heavy, part)], axes=1)
+            hit = np.flatnonzero(dots)
+            rows, cosines = np.r_[rows, hit], np.r_[cosines, dots[hit]]
             best = np.lexsort((rows, -cosines))[:NEAREST]
             rows, cosines = rows[best], cosines[best]
             least = cosines[-1] if len(cosines) == NEAREST else 0.0
-        return rows[cosines > 0], cosines[cosines > 0]
+        return rows, cosines
 
-    def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, str]:
-        if not counts:
+    def score(self, counts: dict[str, int], place: dict[str, int]) -> tuple[float, str]:
+        at, v = self.vector(counts, place)
+        if not len(at):
             return float(self.prior), ""
-        rows, cosines = self.nearest(counts)
+        rows, cosines = self.nearest(at, v)
         y = self.y[rows]
-        w = cosines.astype(np.float64) ** 2 * np.where(y == 1, self.share[1], self.share[0])
+        w = cosines**2 * np.where(y == 1, self.share[1], self.share[0])
         prior = PRIOR * max(self.share)
         return float(min(1.0, max(0.0, ((w * y).sum() + prior * self.prior) / (w.sum() + prior)))), ",".join(str(self.ids[r]) for r in rows[:3])
 
-
     def scorer(self):
         """A function from a whole text to its score and evidence."""
-        matcher = self._matcher()
-        memory: dict[tuple, tuple[float, str]] = {}
-
-        def score(text: str | None) -> tuple[float, str]:
-            counts = tuple(sorted(Counter(i for _, i in matcher.iter(spaced(text))).items())) if text and self.terms else ()
-            got = memory.get(counts)
-            if got is None:
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-                got = memory[counts] = self.score(counts)
-            return got
-
-        return score
+        place = {w: i for i, w in enumerate(self.terms)}
+        return lambda text: self.score(counted(text), place)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
