@@ -392,3 +392,30 @@ def test_fingerprint_edits_of_a_hot_id(spark, hot):
     assert sorted(((r["doc_id"], r["edited_sha256"]) for r in got), key=repr) == edits_by_hand(rows)
     dealt = minhash.dealt_in_order(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
     assert dealt.groupBy("bucket").count().agg({"count": "max"}).first()[0] < 250
+
+
+def test_search_retrieves_what_scores_at_the_bar():
+    """Whatever lies at the bar by BM25 is retrieved, whether lists are sought or walked; all else is not."""
+    from collections import Counter
+
+    rnd = random.Random(14)
+    for vocabulary, longest in ((60, 20), (2000, 60)):
+        texts = [words(rnd.randint(1, longest), rnd, vocabulary) for _ in range(300)]
+        items = [(k, [w.encode() for w in t]) for k, t in enumerate(texts)]
+        df = Counter(w for _, ws in items for w in set(ws))
+        mean = sum(len(ws) for _, ws in items) / len(items)
+        index = decontaminate.Index(items, df, len(items), mean, longest)
+        windows = [sorted({w.encode() for w in words(2 * longest, rnd, vocabulary)} | set(rnd.choice(items)[1])) for _ in range(40)]
+        known = [[index.vocabulary[w] for w in ws if w in index.vocabulary] for ws in windows]
+        window = np.repeat(np.arange(len(known)), [len(k) for k in known])
+        term = np.array([t for k in known for t in sorted(k)])
+        got = {(i, index.ids[k]): s for shard in index.shards for i, k, s in shard.retrieve(window, term)}
+        want = {}
+        for i, ws in enumerate(windows):
+            for k, own in items:
+                w = {t: np.log(1 + (300 - df[t] + 0.5) / (df[t] + 0.5)) * c * (decontaminate.K1 + 1) / (c + decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(own) / mean)) for t, c in Counter(own).items()}
+                score = sum(x for t, x in w.items() if t in set(ws)) / (decontaminate.THRESHOLD * sum(w.values()))
+                if score >= 1 - 1e-4:
+                    want[i, k] = score
+        sure = {x for x, s in want.items() if abs(s - 1) > 1e-3}
+        assert sure <= set(got) and all(abs(got[x] - want.get(x, 1)) < 1e-3 for x in got)
