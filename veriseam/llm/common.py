@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import map_arrow
+from ..session import cut_lineage, map_arrow
 from ..sources.tables import table
 
 __all__ = ["ROWS_AT_A_TIME", "bounded", "cut_lineage", "keep_rows", "map_arrow", "map_rows", "table"]
@@ -50,19 +49,6 @@ def keep_rows(docs: DataFrame, column: str, start: Callable[[], Callable[[list],
     return map_arrow(docs, run, docs.schema)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a local test session) a folder of
-    this machine is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veriseam-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def bounded(df: DataFrame, limit_bytes: int, size_of) -> bool:
     """Whether the rows of ``df`` measure at most ``limit_bytes`` by the expression ``size_of``; scans ``df`` once."""
     from pyspark.sql import functions as F
