@@ -355,7 +355,7 @@ def test_nearest_examples_are_exact():
     place = {w: k for k, w in enumerate(model.terms)}
     dense = np.zeros((len(model.y), len(model.terms)))
     often = np.flatnonzero(model.common >= 0)
-    dense[:, often] = model.matrix[model.common[often]].reshape(len(often), -1)[:, : len(model.y)].T
+    dense[:, often] = model.matrix[model.common[often], : len(model.y)].T
     for t, (s, e) in enumerate(zip(model.term_starts[:-1], model.term_starts[1:], strict=True)):
         for r in range(s, e):
             dense[model.rows[model.run_starts[r] : model.run_ends[r]], t] = model.values[model.run_starts[r] : model.run_ends[r]]

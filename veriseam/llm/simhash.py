@@ -38,6 +38,8 @@ BITS = 64
 SAMPLE = 20_000
 #: How many of its nearest under a key a fingerprint is linked to in the first round.
 NEAR = 3
+#: Rows to drop (an id and a digest of 16 bytes each) that are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 #: Bits that tell which documents are in links.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 #: Documents whose shingles are counted, how many of the commonest are remembered, and pairs made at a time. They steer
@@ -539,8 +541,8 @@ def _among(links: DataFrame) -> Callable[[int], bool]:
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).select(at.alias("at"))
     ends = ends.selectExpr("int(at div 64) as word", "shiftleft(1L, int(at % 64)) as bit")
     bitmap = np.zeros(size // 64, dtype=np.int64)
-    for word, bits in ends.groupBy("word").agg(F.bit_or("bit")).toLocalIterator():
-        bitmap[word] = bits
+    words = ends.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MOST_BITS / 64 rows
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     packed = bitmap.tobytes()
 
     def held(key: int) -> bool:
@@ -565,11 +567,12 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     key, mark = _free(docs, "_id"), _free(docs, "_mark")
     gone = cut_lineage(rows.join(kept, "root").select(F.col("id").alias(key), F.col("mark").alias(mark), stays.alias("stays"), "n").filter("not stays or n > 1"))
     own = (F.col(key) == docs[id_col].cast("long")) & (F.col(mark) == _mark(text_col))
-    once = docs.join(gone.select(key, mark), own, "left_anti").select(*docs.columns)
-    again = gone.filter("stays")
-    if again.isEmpty():
+    n, repeated = gone.agg(F.count("*"), F.count_if("stays")).first()
+    small = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+    once = docs.join(small(gone.select(key, mark)), own, "left_anti").select(*docs.columns)
+    if not repeated:
         return once
-    several = docs.join(again.select(key, mark), own, "left_semi").withColumn(mark, _mark(text_col))
+    several = docs.join(small(gone.filter("stays").select(key, mark)), own, "left_semi").withColumn(mark, _mark(text_col))
     return once.unionByName(several.dropDuplicates([id_col, mark]).select(*docs.columns))
 
 

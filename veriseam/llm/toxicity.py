@@ -89,14 +89,13 @@ class Model:
         rank[order] = np.arange(len(order))
         self.y, self.ids = toxic[order], [sample[i][2] for i in order]
         self.blocks = -(-len(order) // BLOCK)
-        # common terms: a matrix by term, block and place in the block
+        # common terms: a matrix by term and example, whose dot product is made in one go and bounds a block exactly
         often = np.flatnonzero(df[0] + df[1] >= max(1, COMMON * len(order)))
         self.common = np.full(len(place), -1, dtype=np.int32)
         self.common[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), self.blocks, BLOCK))
+        self.matrix = np.zeros((len(often), self.blocks * BLOCK))
         of, at = self.common[term], rank[row]
-        self.matrix[of[of >= 0], at[of >= 0] // BLOCK, at[of >= 0] % BLOCK] = value[of >= 0]
-        self.matrix_most = self.matrix.max(axis=2) if len(often) else np.zeros((0, self.blocks))
+        self.matrix[of[of >= 0], at[of >= 0]] = value[of >= 0]
         # postings of the others by term and example; runs of one term and block, each with its largest value
         rare = np.flatnonzero(of < 0)
         by = rare[np.lexsort((at[rare], term[rare]))]
@@ -123,7 +122,8 @@ class Model:
         first, last = self.term_starts[at], self.term_starts[at + 1]
         runs, weight = _ranges(first, last), np.repeat(v, last - first)
         block = self.run_block[runs]
-        bound = np.bincount(block, weight * self.run_most[runs], minlength=self.blocks) + heavy_v @ self.matrix_most[heavy]
+        dense = heavy_v @ self.matrix[heavy] if len(heavy) else np.zeros(self.blocks * BLOCK)
+        bound = np.bincount(block, weight * self.run_most[runs], minlength=self.blocks) + dense.reshape(-1, BLOCK).max(axis=1, initial=0.0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         rows, cosines, least, done, step = np.empty(0, dtype=np.int64), np.empty(0), 0.0, 0, 2
@@ -137,8 +137,7 @@ class Model:
             starts, ends = self.run_starts[runs[of]], self.run_ends[runs[of]]
             places = _ranges(starts, ends)
             dots = np.bincount(self.rows[places], self.values[places] * np.repeat(weight[of], ends - starts), minlength=self.blocks * BLOCK).astype(np.float64, copy=False)
-            if len(heavy):
-                dots.reshape(-1, BLOCK)[part] += np.tensordot(heavy_v, self.matrix[np.ix_(heavy, part)], axes=1)
+            dots.reshape(-1, BLOCK)[part] += dense.reshape(-1, BLOCK)[part]
             hit = np.flatnonzero(dots)
             rows, cosines = np.r_[rows, hit], np.r_[cosines, dots[hit]]
             best = np.lexsort((rows, -cosines))[:NEAREST]
