@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -419,3 +420,44 @@ def test_search_retrieves_what_scores_at_the_bar():
                     want[i, k] = score
         sure = {x for x, s in want.items() if abs(s - 1) > 1e-3}
         assert sure <= set(got) and all(abs(got[x] - want.get(x, 1)) < 1e-3 for x in got)
+
+
+def test_templates_decide_without_names(spark):
+    """Elements, classes and roles say nothing here: what varies over a host's pages is content, what recurs isn't."""
+    rnd = random.Random(15)
+    rows, want = [], {}
+    for i in range(120):
+        h = i % 2
+        menus = [[f"menu{h}{k}" for k in range(j, j + 4)] for j in range(3)]
+        adverts = [" ".join(words(9, random.Random(100 * h + k))) for k in range(4)]
+        blocks = [" ".join(words(rnd.randint(8, 40), rnd)) for _ in range(rnd.randint(2, 6))]
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        menu = "".join(f"<p>{m}</p>" for m in rnd.choice(menus))
+        rows.append((i, f"http://h{h}.example/{i}", f"<div class='z1'>{menu}</div><div class='z2'>{rnd.choice(adverts)}</div><div class='z3'><h2>Title {' '.join(words(5, rnd))}</h2>{body}<p>Subscribe to our letter</p></div><div class='z4'>{rnd.choice(adverts)} (c)</div>"))
+        want[i] = [b for b in blocks]
+    rows += [(1000 + k, "http://h0.example/copy", rows[0][2]) for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_extract.extract_pages(pages).collect()}
+    assert all(got[i][0].startswith("Title ") and got[i][1:] == want[i] for i in want)
+    renamed = spark.createDataFrame([(i, u, h.replace("z1", "article").replace("z2", "content").replace("z3", "sidebar ad").replace("z4", "main")) for i, u, h in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"].split("\n\n") for r in html_extract.extract_pages(renamed).collect()} == got
+    alone = html_extract.extract(rows[0][2]).split("\n\n")
+    assert "Subscribe to our letter" in alone and alone != got[0]
+
+
+def test_markup_that_breaks_scanners():
+    text = lambda h: html_extract.extract(h).split("\n\n")
+    assert text("<article><p>one<script>var s = '<!-- x';</script><p>two</article>") == ["one", "two"]
+    assert text("<article><p>one <label>no end<p>two</article>") == ["one no end", "two"]
+    assert text("<article><p>one</article><article><p>two longer text</article>") == ["one", "two longer text"]
+    assert text("<div class=content><p>one</div><div class=content><p>two longer</div>") == ["one", "two longer"]
+    assert text("<article><p>if <math><mi>x</mi></math> then</article>") == ["if x then"]
+    assert text("<article><div class='side-by-side'>a b</div><p class='read-more-text'>c d</p><div class='legal-section'>e f</div></article>") == ["a b", "c d", "e f"]
+    assert text("<article><p title=it's>one</p><p title='a > b'>two</p></article>") == ["one", "two"]
+    assert text("<article><div class='share-buttons'>no</div><div class='ad'>no</div><p>yes</article>") == ["yes"]
+    started = time.time()
+    assert text("<div>" * 50_000 + "deep") == ["deep"]
+    page_ = html_extract.generalise(html_extract.parse("<div><p>x</p>" * 3_000))
+    assert html_extract.match(page_, page_)[0] > 3_000
+    assert text("</p>" * 100_000 + "<label>" * 20_000 + "x") == ["x"]
+    assert time.time() - started < 60

@@ -1,19 +1,26 @@
 """HTML extraction by wrapper induction.
 
-Every host has a reference page (of its pages the one whose length is nearest to TYPICAL code points). Each page's tree
-of block elements is aligned with the reference's by simple tree matching: nodes match only under matched parents and
-in order, and the alignment with most matched nodes wins. Over all pages of a host it is counted how often an aligned
-node has the reference's text: nodes that are constant in most pages are template, the others are slots. A page's text
-is what stands in the slots of its main region, without the parts whose element, role or class says that they are
-menus, headers, footers, sidebars, notices, adverts, forms or comments.
-
-The main region is the largest ``article``, ``main`` or the like; where there is none, the smallest node that holds
-most of the page's slot text. Constant nodes inside it are kept where they make up most of it (a page that stands in
-many copies is no template), and hosts with fewer than LEAST_PAGES pages have no template.
+Every host has up to REFERENCES reference pages. Each page's tree of block elements is generalised (repeated siblings of
+one label and like children become one node) and aligned with the references' by simple tree matching: nodes match only
+under matched parents and in order, and the alignment with most matched nodes wins. An aligned node belongs to a slot,
+the reference's path to it; pages unlike all references take their own paths. Over all pages of a host it is counted in
+how many different articles each text of a slot stands (pages that share the blocks of their largest slot are one
+article, so a page that stands in many copies is no template):
+
+- a text that stands in CONSTANT of a host's articles is template wherever it is in the slot;
+- a slot of which the share RECURS or more of the other texts stand in several articles is template as a whole: menus,
+  adverts and footers that alternate;
+- a slot with at least ENOUGH texts of which hardly any recur (VARIES) is content, whatever its names are;
+- of all other nodes, on hosts with few pages, elements, roles and class names decide.
+
+A page's text is its content slots, and of the undecided nodes those that stand in its main regions (all outermost
+``article``, ``main`` or the like; where there is none, the smallest node that holds most of the text) and whose
+element, role or class doesn't say menu, header, footer, sidebar, notice, advert, form or comment.
 
 Null or empty pages give an empty text; a null or malformed url has the empty host, like all such pages. Repeated rows
-stay, other columns are ignored. References and templates are broadcast if they measure at most BROADCAST_BYTES, which
-is checked; beyond that pages are joined with them by host, salted, so that a host with many pages isn't one task.
+stay, other columns are ignored. Trees may be of any depth. References and templates are broadcast if they measure at
+most BROADCAST_BYTES, which is checked; beyond that pages are joined with them by host, salted, so that a host with
+many pages isn't one task.
 """
 
 from __future__ import annotations
@@ -27,76 +34,78 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, map_arrow
+from .common import bounded, cut_lineage, map_arrow
 
-TYPICAL, LEAST_PAGES, CONSTANT = 3000, 5, 0.6
+TYPICAL, REFERENCES = 3000, 4
+CONSTANT, RECURS, VARIES, ENOUGH = 0.3, 0.4, 0.08, 20
 BROADCAST_BYTES, SALTS = 32 << 20, 32
 
 # Element and class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object title head".split())
+RAW = frozenset("script style noscript template iframe textarea svg title".split())
 BLOCK = frozenset("html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption pre blockquote article main section header footer nav aside form fieldset figure figcaption address details summary dialog center hr menu search".split())
 BOILERPLATE = frozenset("nav footer aside form button select dialog menu search label option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 CLASSES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist respond reply replies disqus discussion sidebar side aside rail related recommended recommendations recirculation more teaser menu menus nav navbar navigation topbar breadcrumb breadcrumbs crumbs footer foot footnav masthead toolbar pagination pager paging search searchbox widget widgets copyright legal disclaimer tags tagcloud byline skip hidden".split()
 )
+#: Words that may stand beside a telling one in a class name, and telling words that say little inside an article.
+BESIDE = frozenset("block box wrap wrapper wrapping container section list area bar links link buttons button form item items unit slot top bottom left right site page inner outer main primary secondary js col column panel zone region group row icon icons icn btn btns nav header footer".split())
+VAGUE = frozenset("legal notice notices notification alert side more tags skip rail hidden paging search banner pager menu menus teaser popup modal overlay reply replies respond aside consent login signup toolbar copyright disclaimer widget widgets".split())
 HEADS = frozenset(("header", "head", "heading"))
 MAIN = frozenset("article post entry content story main articlebody maincontent posting".split())
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 STOPS = frozenset("html body div ul ol dl table td th article main section header footer nav aside form blockquote figure fieldset details".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]|=)*+)>", re.DOTALL)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def _telling(value: str, inside: bool) -> bool:
+    """Whether a class or id says boilerplate: each of its words is in CLASSES or beside such a word; in an article
+    not by a VAGUE word."""
+    words = [w.lower() for w in _NAMES.findall(value)]
+    return any(w in CLASSES and not (inside and w in VAGUE) for w in words) and all(w in CLASSES or w in BESIDE for w in words)
+
+
 class Node:
-    __slots__ = ("tag", "label", "names", "flagged", "parent", "children", "parts", "links", "index", "at")
+    __slots__ = ("tag", "label", "names", "flagged", "inside", "main", "parent", "children", "parts", "links", "index", "at")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.parts: list[tuple[int, str]] = []  # own text and where it stands among the children
         self.links, self.index, self.at = 0, -1, 0
-        self.names: frozenset[str] = frozenset()
-        self.label = tag
-        role = ""
-        hidden = False
+        names: list[str] = []
+        values: list[str] = []
+        role, hidden = "", False
         if attributes and ("=" in attributes or "hidden" in attributes):
-            names: list[str] = []
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if key in ("class", "id", "itemprop"):
+                    values += value.split()
                     names += (w.lower() for w in _NAMES.findall(value))
                     names.append(value.lower())
                 elif key == "role":
                     role = value.lower()
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                     hidden = True
-            self.names = frozenset(names)
-            self.label = f"{tag}.{'.'.join(sorted(set(n for n in names if n.isalpha())))}"
-        inside = parent is not None and _in_main(parent)
+        self.names = frozenset(names)
+        self.label = f"{tag}.{'.'.join(sorted(set(n for n in names if n.isalpha())))}" if names else tag
+        self.main = tag in ("article", "main") or bool(self.names & MAIN)
+        above = parent is not None and parent.inside
+        self.inside = above or self.main  # in a main region
         head = tag == "header" or bool(self.names & HEADS) or role == "banner"
-        self.flagged = (parent is not None and parent.flagged) or hidden or tag in BOILERPLATE or role in ROLES or (tag not in ("html", "body", "article", "main") and bool(self.names & CLASSES) and not (self.names & MAIN and not self.names & {"comment", "comments", "related", "sidebar", "ad", "ads"})) or (head and not inside)
-
-
-def _is_main(node: Node) -> bool:
-    return node.tag in ("article", "main") or bool(node.names & MAIN)
-
-
-def _in_main(node: Node | None) -> bool:
-    while node is not None:
-        if _is_main(node):
-            return True
-        node = node.parent
-    return False
+        named = tag not in ("html", "body", "article", "main") and not (self.names & MAIN and not self.names & {"comment", "comments", "related", "sidebar", "ad", "ads"}) and any(_telling(v, above) for v in values)
+        self.flagged = (parent is not None and parent.flagged) or hidden or tag in BOILERPLATE or role in ROLES or named or (head and not above)
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; inline elements are part of their block's text."""
     root = Node("root", "", None)
     open_: list[Node] = [root]
-    at, skip, anchor = 0, "", 0
+    count: Counter[str] = Counter()  # of open elements
+    at, anchor = 0, 0
 
     def text(piece: str) -> None:
         if piece:
@@ -105,13 +114,18 @@ def parse(page: str) -> Node:
             if anchor:
                 node.links += len(piece)
 
-    for m in _TOKEN.finditer(page):
-        if skip:
-            if m[2] and m[1] and m[2].lower() == skip:
-                skip, at = "", m.end()
-            continue
-        if m.start() > at:
-            text(page[at : m.start()])
+    def close(i: int) -> None:
+        count.subtract(n.tag for n in open_[i:])
+        del open_[i:]
+
+    def end_of(tag: str, start: int) -> int | None:
+        """Where the element of a tag that starts before ``start`` has ended."""
+        found = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, start)
+        return found.end() if found else None
+
+    missing: set[str] = set()  # tags without an end in the rest of the page
+    while (m := _TOKEN.search(page, at)) is not None:
+        text(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -120,46 +134,47 @@ def parse(page: str) -> Node:
             if tag == "a":
                 anchor = 0
             if tag in BLOCK:
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i].tag == tag:
-                        del open_[i:]
-                        break
-                    if tag == "p" and open_[i].tag in STOPS:
-                        break
+                if count[tag] > 0:
+                    for i in range(len(open_) - 1, 0, -1):
+                        if open_[i].tag == tag:
+                            close(i)
+                            break
+                        if tag == "p" and open_[i].tag in STOPS:
+                            break
             elif tag in ("td", "th"):
                 text(" ")
             continue
-        if tag in RAW:
-            if not m[0].endswith("/>"):
-                if tag == "head":  # what it holds is no text, but an unclosed one ends with the body's start
-                    end = re.compile(r"</head\s*>|<body\b", re.IGNORECASE).search(page, at)
-                    at = end.start() if end else len(page)
-                    skip = "" if not end else ("head" if page[at + 1] == "/" else "")
-                    if not end:
-                        break
+        if tag == "head":  # what it holds is no text, but an unclosed one ends with the body's start
+            end = re.compile(r"</head\s*>|<body\b", re.IGNORECASE).search(page, at)
+            at = len(page) if end is None else end.end() if page[end.start() + 1] == "/" else end.start()
+        elif tag in RAW or tag in BOILERPLATE and tag not in BLOCK:
+            if not m[0].endswith("/>") or tag in ("script", "style"):
+                end = None if tag in missing else end_of(tag, at)
+                if end is not None:
+                    at = end
                 else:
-                    skip = tag
-            continue
-        if tag == "a":
+                    missing.add(tag)
+                    if tag in ("script", "style"):
+                        at = len(page)
+        elif tag == "a":
             anchor = 1
         elif tag in BLOCK:
             closes = CLOSES.get(tag, ("p",))
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in closes:
-                    del open_[i:]
-                elif open_[i].tag in STOPS:
-                    break
+            if any(count[c] > 0 for c in closes):
+                for i in range(len(open_) - 1, 0, -1):
+                    if open_[i].tag in closes:
+                        close(i)
+                    elif open_[i].tag in STOPS:
+                        break
             node = Node(tag, m[3], open_[-1])
             node.at = len(open_[-1].children)
             open_[-1].children.append(node)
             if tag not in VOID:
                 open_.append(node)
+                count[tag] += 1
         elif tag in VOID or tag in ("td", "th"):
             text(" ")
-        elif tag in BOILERPLATE:
-            skip = tag
-    if not skip and at < len(page):
-        text(page[at:])
+    text(page[at:])
     return root
 
 
@@ -178,112 +193,191 @@ def number(root: Node) -> list[Node]:
     return out
 
 
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching of two nodes with equal labels: the number of matched nodes and their pairs."""
-    x, y = a.children, b.children
-    pairs = [(a, b)]
-    if not x or not y:
-        return 1, pairs
-    rows = len(x) + 1
-    best = [[0] * (len(y) + 1) for _ in range(rows)]
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, u in enumerate(x):
-        row, up, label = best[i + 1], best[i], u.label
-        leaf = not u.children
-        for j, v in enumerate(y):
-            w = row[j] if row[j] >= up[j + 1] else up[j + 1]
-            if label == v.label:
-                if leaf or not v.children:
-                    n = 1
+def match(a, b) -> tuple[int, list[tuple]]:
+    """Simple tree matching of two trees with equal labels at the root: the number of matched nodes and their pairs.
+
+    All pairs of nodes that can match (under pairs that can) are listed from the top, and solved from the bottom.
+    """
+    pairs, at = [(a, b)], {(id(a), id(b)): 0}
+    k = 0
+    while k < len(pairs):
+        x, y = pairs[k]
+        for u in x.children:
+            for v in y.children:
+                if u.label == v.label:
+                    at[id(u), id(v)] = len(pairs)
+                    pairs.append((u, v))
+        k += 1
+    weight = [1] * len(pairs)
+    tables: list[list[list[int]] | None] = [None] * len(pairs)
+    for k in range(len(pairs) - 1, -1, -1):
+        x, y = pairs[k][0].children, pairs[k][1].children
+        if not x or not y:
+            continue
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, u in enumerate(x):
+            row, up = best[i + 1], best[i]
+            for j, v in enumerate(y):
+                w = max(row[j], up[j + 1])
+                if u.label == v.label:
+                    w = max(w, up[j] + weight[at[id(u), id(v)]])
+                row[j + 1] = w
+        tables[k] = best
+        weight[k] = best[-1][-1] + 1
+    out, todo = [], [0]
+    while todo:
+        k = todo.pop()
+        out.append(pairs[k])
+        if (best := tables[k]) is not None:
+            x, y = pairs[k][0].children, pairs[k][1].children
+            i, j = len(x), len(y)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
                 else:
-                    inner[i, j] = got = match(u, v)
-                    n = got[0]
-                if up[j] + n > w:
-                    w = up[j] + n
-            row[j + 1] = w
-    i, j = len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += inner[i, j][1] if (i, j) in inner else [(x[i], y[j])]
-    return best[len(x)][len(y)] + 1, pairs
-
-
-class Reference:
-    """A host's reference page."""
-
-    def __init__(self, page: str):
-        self.root = parse(page)
-        self.texts = [own_text(n) for n in number(self.root)]
-
-    def aligned(self, page: Node) -> list[tuple[Node, int, bool]]:
-        """Nodes of a page with the index of the reference node and whether the texts are equal and not empty."""
-        out = []
-        for mine, ours in match(page, self.root)[1]:
-            t = self.texts[ours.index]
-            if t:
-                out.append((mine, ours.index, t == own_text(mine)))
-        return out
-
-
-def extract(page: str | None, reference: Reference | None = None, template: frozenset[int] = frozenset()) -> str:
-    """The main text of a page; ``template`` holds the reference's constant nodes."""
+                    i, j = i - 1, j - 1
+                    todo.append(at[id(x[i]), id(y[j])])
+    return weight[0], out
+
+
+class General:
+    """A node of a generalised tree: a run of siblings with one label and like children."""
+
+    __slots__ = ("label", "nodes", "children", "path")
+
+    def __init__(self, label: str, path: int):
+        self.label, self.nodes, self.children, self.path = label, [], [], path
+
+
+def _hash(*parts) -> int:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def generalise(root: Node) -> General:
+    """The generalised tree of a page; the path of a node is a hash of the labels and runs that lead to it."""
+    top = General("root", _hash("root"))
+    top.nodes.append(root)
+    todo = [top]
+    while todo:
+        g = todo.pop()
+        known: dict[tuple, General] = {}
+        for node in g.nodes:
+            run, before = -1, None
+            for child in node.children:
+                kind = (child.label, tuple(sorted({c.tag for c in child.children})))
+                if kind != before:
+                    run, before = run + 1, kind
+                    found = known.get((kind, run))
+                    if found is None:
+                        ordinal = sum(1 for k, _ in known if k == kind)
+                        found = known[kind, run] = General(f"{kind[0]}({','.join(kind[1])})", _hash(g.path, kind, ordinal))
+                        g.children.append(found)
+                found.nodes.append(child)
+        todo += g.children
+    return top
+
+
+def slots_of(root: Node, references: list[General]) -> list[tuple[Node, int]]:
+    """The nodes of a page that hold text, and the slot of each: by the reference that aligns best, else the own path."""
+    mine = generalise(root)
+    all_, todo = [], [mine]
+    while todo:
+        g = todo.pop()
+        all_.append(g)
+        todo += g.children
+    best: tuple[int, list] = (0, [])
+    for reference in references:
+        got = match(mine, reference)
+        if got[0] > best[0]:
+            best = got
+        if got[0] == len(all_):
+            break
+    path = {id(g): g.path for g in all_} if 2 * best[0] < len(all_) else {id(g): r.path for g, r in best[1]}
+    return [(n, path.get(id(g), g.path)) for g in all_ for n in g.nodes if n.parts]
+
+
+class Template:
+    """What is known of a host's slots: template slots, content slots, and template texts (hashes of slot and text)."""
+
+    def __init__(self, fixed=(), varying=(), texts=()):
+        self.fixed, self.varying, self.texts = frozenset(fixed), frozenset(varying), frozenset(texts)
+
+
+def observed(page: str, references: list[General]) -> list[tuple[int, int]]:
+    """(slot, hash of slot and text), each once, and first (0, a number of the page's article).
+
+    The number is the least hash of the texts in the slot with most text: pages that share most blocks of it share the
+    number as a rule, so that a page's edited copies count as one article, too.
+    """
+    found: set[tuple[int, int]] = set()
+    size: Counter[int] = Counter()
+    least: dict[int, int] = {}
+    for node, slot in slots_of(parse(page), references):
+        t = own_text(node)
+        if t:
+            h = _hash(slot, t)
+            found.add((slot, h))
+            size[slot] += len(t)
+            least[slot] = min(least.get(slot, h), h)
+    article = least[max(size, key=lambda k: (size[k], k))] if size else 0
+    return [(0, article), *sorted(found)]
+
+
+def extract(page: str | None, references: list[General] | None = None, template: Template | None = None) -> str:
+    """The main text of a page, by the template of its host where that decides."""
     if not page:
         return ""
     root = parse(page)
     nodes = number(root)
-    fixed: set[int] = set()
-    if reference is not None and template:
-        fixed = {mine.index for mine, ours, same in reference.aligned(root) if same and ours in template}
-    own = [0 if n.flagged else sum(len(t) for _, t in n.parts) for n in nodes]
-    slot = [0 if n.index in fixed else o for n, o in zip(nodes, own, strict=True)]
-    whole, whole_slot = own[:], slot[:]
+    verdict: dict[int, bool] = {}  # whether the template says that a node is content
+    if template is not None and (template.fixed or template.varying or template.texts):
+        for node, slot in slots_of(root, references or []):
+            if slot in template.fixed or template.texts and _hash(slot, own_text(node)) in template.texts:
+                verdict[node.index] = False
+            elif slot in template.varying:
+                verdict[node.index] = True
+    undecided = [n for n in nodes if n.index not in verdict and not n.flagged]
+    size = [0] * len(nodes)
+    for n in nodes:
+        if verdict.get(n.index, not n.flagged):
+            size[n.index] = sum(len(t) for _, t in n.parts)
     for n in reversed(nodes):
         if n.parent is not None:
-            whole[n.parent.index] += whole[n.index]
-            whole_slot[n.parent.index] += whole_slot[n.index]
-    mains = [n for n in nodes if not n.flagged and _is_main(n) and whole[n.index]]
-    strong = [n for n in mains if n.tag == "article"] or [n for n in mains if n.tag == "main"] or mains
-    if strong:
-        region = max(strong, key=lambda n: (whole[n.index], -n.index))
-    else:
-        weight = whole_slot if whole_slot[0] * 2 >= whole[0] else whole
+            size[n.parent.index] += size[n.index]
+    mains = [n for n in undecided if n.main and size[n.index]]
+    strong = bool(mains)
+    regions = {n.index for n in mains if n.tag == "article"} or {n.index for n in mains if n.tag == "main"} or {n.index for n in mains}
+    if not regions:
         region = root
-        while True:
-            inner = max(region.children, key=lambda n: weight[n.index], default=None)
-            if inner is None or inner.tag not in STOPS or weight[inner.index] < 0.7 * weight[region.index] or not weight[inner.index]:
+        while (inner := max(region.children, key=lambda n: size[n.index], default=None)) is not None:
+            if inner.tag not in STOPS or size[inner.index] < 0.7 * size[region.index] or not size[inner.index]:
                 break
             region = inner
-    keep_fixed = whole_slot[region.index] * 2 < whole[region.index]
+        regions = {region.index}
     blocks: list[str] = []
-
-    def walk(node: Node) -> None:
-        if node.flagged and not region.flagged:
-            return
-        loose = not strong and node.links and node.tag == "li"
-        if keep_fixed or node.index not in fixed:
-            parts, k = node.parts, 0
-            for child in [*node.children, None]:
-                limit = child.at if child is not None else len(node.children)
-                run = []
-                while k < len(parts) and parts[k][0] <= limit:
-                    run.append(parts[k][1])
-                    k += 1
-                if run and not (loose and node.links * 10 >= 9 * sum(len(t) for _, t in parts)):
-                    block = " ".join(_html.unescape("".join(run)).split())
-                    if block:
-                        blocks.append(block)
-                if child is not None:
-                    walk(child)
-        else:
-            for child in node.children:
-                walk(child)
-
-    walk(region)
+    todo: list[tuple[Node, bool, int, int]] = [(root, root.index in regions, 0, 0)]  # node, in a region, next child, next part
+    while todo:
+        node, within, child, part = todo.pop()
+        says = verdict.get(node.index)
+        keep = says if says is not None else within and not node.flagged
+        loose = says is None and not strong and node.links and node.tag == "li" and node.links * 10 >= 9 * sum(len(t) for _, t in node.parts)
+        run = []
+        while part < len(node.parts) and node.parts[part][0] <= child:
+            run.append(node.parts[part][1])
+            part += 1
+        if run and keep and not loose:
+            block = " ".join(_html.unescape("".join(run)).split())
+            if block:
+                blocks.append(block)
+        if child < len(node.children):
+            todo.append((node, within, child + 1, part))
+            c = node.children[child]
+            todo.append((c, within or c.index in regions, 0, 0))
     return "\n\n".join(blocks)
 
 
@@ -292,95 +386,98 @@ def host(url: Column) -> Column:
 
 
 def _chosen(pages: DataFrame) -> DataFrame:
-    """(host, reference): one row for each host."""
+    """(host, reference): up to REFERENCES pages of each host, of each share of its pages one of typical length."""
+    share = F.pmod(F.xxhash64("page_id", "html"), F.lit(REFERENCES))
     rank = F.struct(F.abs(F.char_length("html") - TYPICAL), F.col("page_id"), F.xxhash64("html"))
-    return pages.filter("html is not null").groupBy("host").agg(F.min_by("html", rank).alias("reference"))
+    best = pages.filter("html is not null").groupBy("host", share.alias("share")).agg(F.min_by("html", rank).alias("html"))
+    return best.groupBy("host").agg(F.array_sort(F.collect_list("html")).alias("reference"))
 
 
 class _Wrappers:
     """References by host, parsed once in a worker."""
 
-    def __init__(self, references: dict[str, str]):
+    def __init__(self, references: dict[str, list[str]]):
         self.pages, self.parsed = references, {}
 
-    def __call__(self, of: str) -> Reference | None:
+    def __call__(self, of: str, given: list[str] | None) -> list[General]:
         if of not in self.parsed:
-            if len(self.parsed) > 2000:
+            if len(self.parsed) > 500:
                 self.parsed.clear()
-            self.parsed[of] = Reference(self.pages[of]) if of in self.pages else None
+            self.parsed[of] = [generalise(parse(p)) for p in (given if given is not None else self.pages.get(of, []))]
         return self.parsed[of]
 
 
+def templates(observations: DataFrame) -> DataFrame:
+    """(host, fixed, varying, texts) from (host, slot, text, article), a row for each text of a page's slot."""
+    by_text = observations.groupBy("host", "slot", "text").agg(F.count_distinct("article").alias("articles"), F.count("*").alias("n"))
+    all_ = by_text.filter("slot = 0").groupBy("host").agg(F.count("*").alias("all"))
+    is_constant = (F.col("articles") > 2) & (F.col("articles") >= CONSTANT * F.col("all"))
+    by_text = by_text.filter("slot <> 0").join(all_, "host").withColumn("constant", is_constant)
+    by_slot = by_text.filter("not constant").groupBy("host", "slot").agg(F.max("all").alias("all"), F.sum("n").alias("n"), F.sum(F.when(F.col("articles") > 1, F.col("n")).otherwise(0)).alias("again"))
+    share = F.col("again") / F.col("n")
+    kinds = by_slot.filter("all > 2").groupBy("host").agg(
+        F.array_sort(F.collect_list(F.when((share >= RECURS) & (F.col("n") >= 4), F.col("slot")))).alias("fixed"),
+        F.array_sort(F.collect_list(F.when((share <= VARIES) & (F.col("n") >= ENOUGH), F.col("slot")))).alias("varying"),
+    )
+    constant = by_text.filter("constant").groupBy("host").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    none = F.array().cast("array<bigint>")
+    return kinds.join(constant, "host", "full").select("host", *(F.coalesce(c, none).alias(c) for c in ("fixed", "varying", "texts")))
+
+
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host(F.col("url")))
-    references = _chosen(rows)
+    references = cut_lineage(_chosen(rows))
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    counted = pa.schema([("host", pa.string()), ("node", pa.int32()), ("same", pa.int64()), ("pages", pa.int64())])
-    small = bounded(references, BROADCAST_BYTES, F.octet_length("reference").cast("long"))
+    seen = pa.schema([("host", pa.string()), ("slot", pa.int64()), ("text", pa.int64()), ("article", pa.int64())])
+    small = bounded(references, BROADCAST_BYTES, F.aggregate("reference", F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r)))
     if small:
-        known = {r["host"]: r["reference"] for r in references.collect()}
-        with_reference = rows.select("page_id", "url", "html", "host", F.lit(None).cast("string").alias("reference"))
+        known = {r["host"]: list(r["reference"]) for r in references.collect()}
+        with_reference = rows.select("page_id", "url", "html", "host", F.lit(None).cast("array<string>").alias("reference"))
     else:
         known = {}
-        salt = F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS))
-        salted = references.select("host", "reference", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
-        with_reference = rows.withColumn("salt", salt).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "reference")
-
-    def wrapper_of(wrappers: _Wrappers, of: str, given: str | None) -> Reference | None:
-        if given is not None and of not in wrappers.pages:
-            if len(wrappers.pages) > 2000:
-                wrappers.pages.clear()
-                wrappers.parsed.clear()
-            wrappers.pages[of] = given
-        return wrappers(of)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrappers = _Wrappers(dict(known))
-        seen: dict[tuple[str, int], list[int]] = {}
-
-        def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(([h for h, _ in seen], [n for _, n in seen], [v[0] for v in seen.values()], [v[1] for v in seen.values()]), counted, strict=True)], schema=counted)
-            seen.clear()
-            return made
+        salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+        salted = references.select("host", "reference", F.explode(salts).alias("salt"))
+        with_reference = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS).cast("long"))).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "reference")
 
+    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrappers = _Wrappers(known)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
+                made: list[tuple] = []
                 for page, of, given in zip(*(batch.slice(at, 256).column(c).to_pylist() for c in ("html", "host", "reference")), strict=True):
-                    reference = wrapper_of(wrappers, of, given) if page else None
-                    if reference is not None:
-                        for _, node, same in reference.aligned(parse(page)):
-                            n = seen.setdefault((of, node), [0, 0])
-                            n[0] += same
-                            n[1] += 1
-                        n = seen.setdefault((of, -1), [0, 0])
-                        n[1] += 1
-                if len(seen) > 100_000:
-                    yield flush()
-        if seen:
-            yield flush()
-
-    counts = map_arrow(with_reference, count, "host string, node int, same long, pages long").groupBy("host", "node").agg(F.sum("same").alias("same"), F.sum("pages").alias("pages"))
-    totals = counts.filter("node = -1").select("host", F.col("pages").alias("total"))
-    # template: nodes that have the reference's text in most pages of the host (the reference itself counts for nothing)
-    constant = counts.filter("node >= 0").join(totals, "host").filter((F.col("total") >= LEAST_PAGES) & (F.col("same") - 1 >= CONSTANT * (F.col("total") - 1)))
-    templates = constant.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+                    if page:
+                        (_, article), *found = observed(page, wrappers(of, given))
+                        made += [(of, 0, article, article), *((of, slot, text, article) for slot, text in found)]
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True), seen, strict=True)], schema=seen)
+
+    found = templates(map_arrow(with_reference, observe, "host string, slot long, text long, article long"))
     if small:
-        fixed = {r["host"]: frozenset(r["nodes"]) for r in templates.collect()}
-        full = with_reference.withColumn("nodes", F.lit(None).cast("array<int>"))
+        found = cut_lineage(found)
+        small_too = bounded(found, BROADCAST_BYTES, F.lit(8) * (F.size("fixed") + F.size("varying") + F.size("texts")))
+    if small and small_too:
+        by_host = {r["host"]: Template(r["fixed"], r["varying"], r["texts"]) for r in found.collect()}
+        full = with_reference.select("*", *(F.lit(None).cast("array<bigint>").alias(c) for c in ("fixed", "varying", "texts")))
     else:
-        fixed = {}
-        full = with_reference.join(templates, "host", "left")
+        by_host = {}
+        salted = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        full = with_reference.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS).cast("long"))).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "reference", "fixed", "varying", "texts")
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrappers = _Wrappers(dict(known))
+        wrappers = _Wrappers(known)
+        held: dict[str, Template] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                keys, urls, htmls, hosts, given, nodes = (batch.slice(at, 256).column(c).to_pylist() for c in ("page_id", "url", "html", "host", "reference", "nodes"))
+                columns = [batch.slice(at, 256).column(c).to_pylist() for c in ("page_id", "url", "html", "host", "reference", "fixed", "varying", "texts")]
                 texts = []
-                for page, of, ref, own in zip(htmls, hosts, given, nodes, strict=True):
-                    template = fixed.get(of, frozenset()) if own is None else frozenset(own)
-                    texts.append(extract(page, wrapper_of(wrappers, of, ref) if template else None, template))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((keys, urls, texts, [len(t) for t in texts]), out, strict=True)], schema=out)
+                for _, _, page, of, given, fixed, varying, constant in zip(*columns, strict=True):
+                    template = by_host.get(of)
+                    if fixed is not None:
+                        if len(held) > 500:
+                            held.clear()
+                        template = held.setdefault(of, Template(fixed, varying, constant))
+                    texts.append(extract(page, wrappers(of, given) if template else None, template))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((*columns[:2], texts, [len(t) for t in texts]), out, strict=True)], schema=out)
 
     return map_arrow(full, text_of, "page_id long, url string, text string, n_chars long")
