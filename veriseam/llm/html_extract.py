@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,25 +76,30 @@ class Node:
         self.tag, self.parent, self.children = tag, parent, []
         self.parts: list[tuple[int, str]] = []  # own text and where it stands among the children
         self.links, self.index, self.at = 0, -1, 0
+        above = parent is not None and parent.inside
+        if "=" not in attributes and "hidden" not in attributes:
+            self.names, self.label = frozenset(), tag
+            self.main = tag in ("article", "main")
+            self.inside = above or self.main  # in a main region
+            self.flagged = (parent is not None and parent.flagged) or tag in BOILERPLATE or (tag == "header" and not above)
+            return
         names: list[str] = []
         values: list[str] = []
         role, hidden = "", False
-        if attributes and ("=" in attributes or "hidden" in attributes):
-            for m in _ATTRIBUTE.finditer(attributes):
-                key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if key in ("class", "id", "itemprop"):
-                    values += value.split()
-                    names += (w.lower() for w in _NAMES.findall(value))
-                    names.append(value.lower())
-                elif key == "role":
-                    role = value.lower()
-                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                    hidden = True
+        for m in _ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key in ("class", "id", "itemprop"):
+                values += value.split()
+                names += (w.lower() for w in _NAMES.findall(value))
+                names.append(value.lower())
+            elif key == "role":
+                role = value.lower()
+            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+                hidden = True
         self.names = frozenset(names)
         self.label = f"{tag}.{'.'.join(sorted(set(n for n in names if n.isalpha())))}" if names else tag
         self.main = tag in ("article", "main") or bool(self.names & MAIN)
-        above = parent is not None and parent.inside
-        self.inside = above or self.main  # in a main region
+        self.inside = above or self.main
         head = tag == "header" or bool(self.names & HEADS) or role == "banner"
         named = tag not in ("html", "body", "article", "main") and not (self.names & MAIN and not self.names & {"comment", "comments", "related", "sidebar", "ad", "ads"}) and any(_telling(v, above) for v in values)
         self.flagged = (parent is not None and parent.flagged) or hidden or tag in BOILERPLATE or role in ROLES or named or (head and not above)
@@ -104,7 +109,7 @@ def parse(page: str) -> Node:
     """The tree of block elements; inline elements are part of their block's text."""
     root = Node("root", "", None)
     open_: list[Node] = [root]
-    count: Counter[str] = Counter()  # of open elements
+    count: dict[str, int] = defaultdict(int)  # of open elements
     at, anchor = 0, 0
 
     def text(piece: str) -> None:
@@ -115,7 +120,8 @@ def parse(page: str) -> Node:
                 node.links += len(piece)
 
     def close(i: int) -> None:
-        count.subtract(n.tag for n in open_[i:])
+        for n in open_[i:]:
+            count[n.tag] -= 1
         del open_[i:]
 
     def end_of(tag: str, start: int) -> int | None:
@@ -160,7 +166,7 @@ def parse(page: str) -> Node:
             anchor = 1
         elif tag in BLOCK:
             closes = CLOSES.get(tag, ("p",))
-            if any(count[c] > 0 for c in closes):
+            if count["p"] > 0 or len(closes) > 1 and any(count[c] > 0 for c in closes) or count[tag] > 0:
                 for i in range(len(open_) - 1, 0, -1):
                     if open_[i].tag in closes:
                         close(i)
@@ -251,10 +257,10 @@ class General:
         self.label, self.nodes, self.children, self.path = label, [], [], path
 
 
-def _hash(*parts) -> int:
+def _hash(text: str, seed: int = 0) -> int:
     import xxhash
 
-    h = xxhash.xxh64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"))
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed % (1 << 64))
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -269,13 +275,14 @@ def generalise(root: Node) -> General:
         for node in g.nodes:
             run, before = -1, None
             for child in node.children:
-                kind = (child.label, tuple(sorted({c.tag for c in child.children})))
+                kind = (child.label, tuple(sorted({c.tag for c in child.children})) if child.children else ())
                 if kind != before:
                     run, before = run + 1, kind
                     found = known.get((kind, run))
                     if found is None:
                         ordinal = sum(1 for k, _ in known if k == kind)
-                        found = known[kind, run] = General(f"{kind[0]}({','.join(kind[1])})", _hash(g.path, kind, ordinal))
+                        label = f"{kind[0]}({','.join(kind[1])})"
+                        found = known[kind, run] = General(label, _hash(f"{label}{ordinal}", g.path))
                         g.children.append(found)
                 found.nodes.append(child)
         todo += g.children
@@ -302,10 +309,13 @@ def slots_of(root: Node, references: list[General]) -> list[tuple[Node, int]]:
 
 
 class Template:
-    """What is known of a host's slots: template slots, content slots, and template texts (hashes of slot and text)."""
+    """What is known of a host's slots: template slots, content slots, and template texts by slot (hashes)."""
 
-    def __init__(self, fixed=(), varying=(), texts=()):
-        self.fixed, self.varying, self.texts = frozenset(fixed), frozenset(varying), frozenset(texts)
+    def __init__(self, fixed=(), varying=(), texts=(), slots=()):
+        self.fixed, self.varying = frozenset(fixed), frozenset(varying)
+        self.texts: dict[int, set[int]] = defaultdict(set)
+        for slot, text in zip(slots, texts, strict=True):
+            self.texts[slot].add(text)
 
 
 def observed(page: str, references: list[General]) -> list[tuple[int, int]]:
@@ -320,7 +330,7 @@ def observed(page: str, references: list[General]) -> list[tuple[int, int]]:
     for node, slot in slots_of(parse(page), references):
         t = own_text(node)
         if t:
-            h = _hash(slot, t)
+            h = _hash(t, slot)
             found.add((slot, h))
             size[slot] += len(t)
             least[slot] = min(least.get(slot, h), h)
@@ -337,7 +347,7 @@ def extract(page: str | None, references: list[General] | None = None, template:
     verdict: dict[int, bool] = {}  # whether the template says that a node is content
     if template is not None and (template.fixed or template.varying or template.texts):
         for node, slot in slots_of(root, references or []):
-            if slot in template.fixed or template.texts and _hash(slot, own_text(node)) in template.texts:
+            if slot in template.fixed or slot in template.texts and _hash(own_text(node), slot) in template.texts[slot]:
                 verdict[node.index] = False
             elif slot in template.varying:
                 verdict[node.index] = True
@@ -408,20 +418,23 @@ class _Wrappers:
 
 
 def templates(observations: DataFrame) -> DataFrame:
-    """(host, fixed, varying, texts) from (host, slot, text, article), a row for each text of a page's slot."""
+    """(host, fixed, varying, texts, slots) from (host, slot, text, article), a row for each text of a page's slot."""
     by_text = observations.groupBy("host", "slot", "text").agg(F.count_distinct("article").alias("articles"), F.count("*").alias("n"))
     all_ = by_text.filter("slot = 0").groupBy("host").agg(F.count("*").alias("all"))
     is_constant = (F.col("articles") > 2) & (F.col("articles") >= CONSTANT * F.col("all"))
-    by_text = by_text.filter("slot <> 0").join(all_, "host").withColumn("constant", is_constant)
+    # a host's number of articles is joined salted, as one host may have most texts
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    salted = all_.withColumn("salt", F.explode(salts))
+    by_text = by_text.filter("slot <> 0").withColumn("salt", F.pmod("text", F.lit(SALTS).cast("long"))).join(salted, ["host", "salt"]).withColumn("constant", is_constant)
     by_slot = by_text.filter("not constant").groupBy("host", "slot").agg(F.max("all").alias("all"), F.sum("n").alias("n"), F.sum(F.when(F.col("articles") > 1, F.col("n")).otherwise(0)).alias("again"))
     share = F.col("again") / F.col("n")
     kinds = by_slot.filter("all > 2").groupBy("host").agg(
         F.array_sort(F.collect_list(F.when((share >= RECURS) & (F.col("n") >= 4), F.col("slot")))).alias("fixed"),
         F.array_sort(F.collect_list(F.when((share <= VARIES) & (F.col("n") >= ENOUGH), F.col("slot")))).alias("varying"),
     )
-    constant = by_text.filter("constant").groupBy("host").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    constant = by_text.filter("constant").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("text", "slot"))).alias("x")).select("host", F.col("x.text").alias("texts"), F.col("x.slot").alias("slots"))
     none = F.array().cast("array<bigint>")
-    return kinds.join(constant, "host", "full").select("host", *(F.coalesce(c, none).alias(c) for c in ("fixed", "varying", "texts")))
+    return kinds.join(constant, "host", "full").select("host", *(F.coalesce(c, none).alias(c) for c in ("fixed", "varying", "texts", "slots")))
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -455,28 +468,28 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     found = templates(map_arrow(with_reference, observe, "host string, slot long, text long, article long"))
     if small:
         found = cut_lineage(found)
-        small_too = bounded(found, BROADCAST_BYTES, F.lit(8) * (F.size("fixed") + F.size("varying") + F.size("texts")))
+        small_too = bounded(found, BROADCAST_BYTES, F.lit(8) * (F.size("fixed") + F.size("varying") + 2 * F.size("texts")))
     if small and small_too:
-        by_host = {r["host"]: Template(r["fixed"], r["varying"], r["texts"]) for r in found.collect()}
-        full = with_reference.select("*", *(F.lit(None).cast("array<bigint>").alias(c) for c in ("fixed", "varying", "texts")))
+        by_host = {r["host"]: Template(r["fixed"], r["varying"], r["texts"], r["slots"]) for r in found.collect()}
+        full = with_reference.select("*", *(F.lit(None).cast("array<bigint>").alias(c) for c in ("fixed", "varying", "texts", "slots")))
     else:
         by_host = {}
         salted = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        full = with_reference.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS).cast("long"))).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "reference", "fixed", "varying", "texts")
+        full = with_reference.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS).cast("long"))).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "reference", "fixed", "varying", "texts", "slots")
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers = _Wrappers(known)
         held: dict[str, Template] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                columns = [batch.slice(at, 256).column(c).to_pylist() for c in ("page_id", "url", "html", "host", "reference", "fixed", "varying", "texts")]
+                columns = [batch.slice(at, 256).column(c).to_pylist() for c in ("page_id", "url", "html", "host", "reference", "fixed", "varying", "texts", "slots")]
                 texts = []
-                for _, _, page, of, given, fixed, varying, constant in zip(*columns, strict=True):
+                for _, _, page, of, given, fixed, varying, constant, slots in zip(*columns, strict=True):
                     template = by_host.get(of)
                     if fixed is not None:
                         if len(held) > 500:
                             held.clear()
-                        template = held.setdefault(of, Template(fixed, varying, constant))
+                        template = held.setdefault(of, Template(fixed, varying, constant, slots))
                     texts.append(extract(page, wrappers(of, given) if template else None, template))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((*columns[:2], texts, [len(t) for t in texts]), out, strict=True)], schema=out)
 
