@@ -211,3 +211,25 @@ def test_run_merge_prefers_valid_primary(spark):
     ddl = "k int, ok boolean, v int"
     got = runs.merge_runs(spark.createDataFrame([(1, True, 1), (2, False, 2), (3, False, 3)], ddl), spark.createDataFrame([(1, True, 10), (2, True, 20), (4, True, 40)], ddl), key="k", valid="ok", value="v").collect()
     assert {r["k"]: (r["v"], r["source"]) for r in got} == {1: (1, "primary"), 2: (20, "retry"), 3: (3, "primary"), 4: (40, "retry")}
+
+
+def test_contains_wherever_an_item_stands(spark):
+    docs = spark.createDataFrame([(1, "ab cd"), (2, "lone word here"), (3, "wordy"), (4, None), (5, ""), (6, "x ab cd y ab cd")], "d int, t string")
+    items = spark.createDataFrame([("i", "b c"), ("j", "word"), ("k", ""), ("l", None), ("m", "word"), ("n", "."), ("o", "lone word here")], "q string, t string")
+    got = metrics.contains_qrels(docs, items, did="d", dtext=F.col("t"), qid="q", qtext=F.col("t")).collect()
+    assert sorted(tuple(r) for r in got) == [("i", 1), ("i", 6), ("j", 2), ("j", 3), ("m", 2), ("m", 3), ("o", 2)]
+    assert metrics.contains_qrels(docs, items.limit(0), did="d", dtext=F.col("t"), qid="q", qtext=F.col("t")).count() == 0
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choices(["the", "a-b", "x.1", "Word", "rare", "other"], [9, 3, 2, 2, 1, 1], k=n))
+    docs = spark.createDataFrame([(i, text(rnd.randint(0, 9))) for i in range(600)] + [(1000, None)], "d long, t string").repartition(3)
+    items = spark.createDataFrame([(str(i), text(3)) for i in range(9)] + [("none", ""), ("null", None)], "q string, t string")
+    run = lambda: sorted((r["q"], r["rank"], r["d"], round(r["score"], 9)) for r in rank.bm25(docs, items, did="d", dtext=F.col("t"), qid="q", qtext=F.col("t"), k=7).collect())
+    whole = run()
+    assert {q for q, *_ in whole} == {str(i) for i in range(9)} and all(r <= 7 for _, r, *_ in whole)
+    monkeypatch.setattr(rank, "QUERY_BLOCK", 2)
+    assert run() == whole

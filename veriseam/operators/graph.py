@@ -74,12 +74,10 @@ def levels(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> DataFrame:
     raise ValueError("the graph has a cycle, or more levels than the limit")
 
 
-def slice_back(edges: DataFrame, terminal: DataFrame, limit: int = 200) -> DataFrame:
-    """Nodes that feed ``terminal`` (itself included), over edges (node, needs)."""
+def slice_back(edges: DataFrame, terminal: DataFrame) -> DataFrame:
+    """Nodes that feed ``terminal`` (itself included), over edges (node, needs); as many rounds as the graph is deep."""
     seen = frontier = cut_lineage(terminal.select("node").distinct())
-    for _ in range(limit):
+    while not frontier.isEmpty():
         frontier = cut_lineage(edges.join(frontier, "node").select(F.col("needs").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
     return seen

@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..session import map_arrow
+
+
+#: Items whose texts one pass over the documents looks for.
+ITEM_BLOCK = 20_000
 
 
 def contains_qrels(docs: DataFrame, items: DataFrame, *, did: str, dtext: Column, qid: str, qtext: Column) -> DataFrame:
-    """(qid, did): documents that hold an item's text verbatim.
+    """(qid, did): documents that hold an item's text verbatim, wherever it starts or ends, once each.
 
-    Texts meet on six tokens in a row, the item's second to seventh (its first may be cut by what stands before it);
-    items of fewer than eight tokens meet on their second token alone. Only then is the text compared.
+    The items are a stated set: one automaton holds the texts of a block of them, and a pass over the documents finds
+    all at once, so that no text is shuffled. Null and empty texts hold nothing and stand nowhere.
     """
-    inner = F.slice(tokens(qtext), 2, 6)
-    length = F.when(F.size(tokens(qtext)) >= 8, 6).otherwise(1)
-    anchors = items.select(qid, qtext.alias("qtext"), length.alias("len"), F.array_join(F.slice(inner, F.lit(1), length), " ").alias("anchor")).filter("qtext <> ''")
-    words = docs.select(did, dtext.alias("dtext"), tokens(dtext).alias("ws"))
-    places = words.select(did, "dtext", "ws", F.explode(F.sequence(F.lit(1), F.greatest(F.size("ws"), F.lit(1)))).alias("i"))
-    keyed = places.select(did, "dtext", F.explode(F.array(F.struct(F.lit(6).alias("len"), F.array_join(F.slice("ws", F.col("i"), F.lit(6)), " ").alias("anchor")), F.struct(F.lit(1).alias("len"), F.array_join(F.slice("ws", F.col("i"), F.lit(1)), " ").alias("anchor")))).alias("x"))
-    met = keyed.select(did, "dtext", "x.*").join(anchors, ["len", "anchor"])
-    return met.filter(F.instr(F.col("dtext"), F.col("qtext")) > 0).select(qid, did).distinct()
+    stated = items.select(qid, qtext.alias("text")).filter("text <> ''").distinct()
+    blocks = max(1, -(-stated.count() // ITEM_BLOCK))
+    ddl = f"`{qid}` {items.schema[qid].dataType.simpleString()}, `{did}` {docs.schema[did].dataType.simpleString()}"
+    out = None
+    for block in range(blocks):
+        held = (stated if blocks == 1 else stated.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)).toArrow()
+        keys: dict[str, list] = {}
+        for key, text in zip(held.column(0).to_pylist(), held.column(1).to_pylist(), strict=True):
+            keys.setdefault(text, []).append(key)
+
+        def run(batches: Iterator[pa.RecordBatch], keys=keys, kind=held.schema.field(0).type) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            matcher = ahocorasick.Automaton()
+            for text in keys:
+                matcher.add_word(text, text)
+            matcher.make_automaton()
+            for batch in batches:
+                rows, found = [], []
+                for i, text in enumerate(batch.column(1)):
+                    for own in {x for _, x in matcher.iter(text.as_py())} if len(keys) else ():
+                        rows += [i] * len(keys[own])
+                        found += keys[own]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, type=kind), batch.column(0).take(pa.array(rows))], names=[qid, did])
+
+        part = map_arrow(docs.select(did, dtext.alias("text")).filter("text <> ''"), run, ddl)
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
 
 
 def at_rank(ranked: DataFrame, qrels: DataFrame, questions: DataFrame, *, qid: str, item: str, k: int) -> DataFrame:

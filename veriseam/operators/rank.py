@@ -5,6 +5,8 @@ Ranked lists are rows (query, item, rank, score); ranks start at 1, every order
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 from ..session import map_arrow
 
-#: Query vectors that one pass over the stored vectors answers.
+#: Queries that one pass over the stored rows answers.
 QUERY_BLOCK = 4096
+_TOKEN = re.compile(TOKEN)
 
 
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int, *, rank: str = "rank") -> DataFrame:
@@ -33,20 +36,86 @@ def query_terms(queries: DataFrame, qid: str, text: Column) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, *, did: str, dtext: Column, qid: str, qtext: Column, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, did, score, rank): the k best documents of each query; ties by id descending, zero scores dropped.
 
-    Only terms of some query leave the scan: the documents' tokens meet the query vocabulary before they are counted.
+    The queries are a stated set: their terms go to the executors, in blocks of QUERY_BLOCK queries with a pass over the
+    documents each, after one pass that counts document frequencies and lengths over all documents. A batch of documents
+    is scored against a block at once; a task passes on only what is at or above the k-th best score it has seen for a
+    query, so what is shuffled grows with tasks, not with documents, and no pair of a common word leaves the scan.
     """
-    qt = query_terms(queries, qid, qtext)
-    words = docs.select(did, tokens(dtext).alias("words")).withColumn("dl", F.size("words"))
-    stats = words.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = words.select(did, "dl", F.explode("words").alias("term")).join(qt.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy(did, "term").agg(F.count("*").cast("double").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = qt.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = weighted.select(qid, "term", "avgdl", (F.col("qtf") * idf).alias("w"))
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(weighted, "term").groupBy(qid, did).agg(F.sum(part).alias("score")).filter("score > 0")
-    return top(scored, [qid], [F.round("score", 9).desc(), F.col(did).desc()], k)
+    stored = docs.select(did, F.coalesce(dtext, F.lit("")).alias("text"))
+    qt = query_terms(queries, qid, qtext).toArrow()
+    terms, weight_of = qt.column("term").to_pylist(), qt.column("qtf").to_numpy()
+    vocabulary = {t: i for i, t in enumerate(sorted(set(terms)))}
+    n, avgdl, df = _document_frequencies(stored.select("text"), vocabulary)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    keys, ids = qt.column(qid).to_pylist(), list(dict.fromkeys(qt.column(qid).to_pylist()))
+    place = {q: i for i, q in enumerate(ids)}
+    ddl = f"`{qid}` {queries.schema[qid].dataType.simpleString()}, `{did}` {docs.schema[did].dataType.simpleString()}, score double"
+    out = None
+    for at in range(0, len(ids), QUERY_BLOCK):
+        block = range(at, min(len(ids), at + QUERY_BLOCK))
+        own = [i for i, q in enumerate(keys) if place[q] in block]
+        term, query = np.array([vocabulary[terms[i]] for i in own]), np.array([place[keys[i]] - at for i in own])
+        order = np.argsort(term, kind="stable")
+        term, query, weight = term[order], query[order], (weight_of[own] * idf[term])[order]
+        starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+        names = qt.schema.field(qid).type, ids[at : at + QUERY_BLOCK]
+
+        def run(batches: Iterator[pa.RecordBatch], query=query, weight=weight, starts=starts, names=names) -> Iterator[pa.RecordBatch]:
+            size = len(names[1])
+            best = np.zeros((size, k))  # the scores of the k best so far
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    rows = part.num_rows
+                    doc, t, tf, dl = _counted(part.column(1).to_pylist(), vocabulary)
+                    value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl)) if len(doc) else tf
+                    size_of = starts[t + 1] - starts[t]
+                    at_ = np.arange(size_of.sum()) + np.repeat(starts[t] - np.cumsum(size_of) + size_of, size_of)
+                    cell = query[at_] * rows + np.repeat(doc, size_of)
+                    scores = np.bincount(cell, weight[at_] * np.repeat(value, size_of), minlength=size * rows).reshape(size, rows)
+                    rounded = np.round(scores, 9)
+                    best = np.partition(np.concatenate([best, rounded], axis=1), rows, axis=1)[:, rows:]
+                    q, d = np.nonzero((scores > 0) & (rounded >= best.min(axis=1)[:, None]))
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array([names[1][i] for i in q], type=names[0]), part.column(0).take(pa.array(d)), pa.array(scores[q, d])], names=[qid, did, "score"])
+
+        part = map_arrow(stored, run, ddl)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], ddl)
+    return top(out, [qid], [F.round("score", 9).desc(), F.col(did).desc()], k)
+
+
+def _counted(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of the vocabulary's terms, and the number of tokens of every text."""
+    doc, term, count, length = [], [], [], []
+    for i, text in enumerate(texts):
+        words = _TOKEN.findall(text)
+        length.append(len(words))
+        for w, c in Counter(words_ for words_ in map(str.lower, words) if words_ in vocabulary).items():
+            doc.append(i)
+            term.append(vocabulary[w])
+            count.append(c)
+    return np.array(doc, dtype=np.int64), np.array(term, dtype=np.int64), np.array(count, dtype=np.float64), np.array(length, dtype=np.float64)
+
+
+def _document_frequencies(texts: DataFrame, vocabulary: dict[str, int]) -> tuple[float, float, np.ndarray]:
+    """The number of texts, their mean length in tokens, and in how many each term of the vocabulary stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(vocabulary) + 2, dtype=np.int64)  # the last two: texts, tokens
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                _, term, _, length = _counted(batch.slice(lo, 256).column(0).to_pylist(), vocabulary)
+                df[:-2] += np.bincount(term, minlength=len(vocabulary))
+                df[-2:] += len(length), int(length.sum())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "n"])
+
+    df = np.zeros(len(vocabulary) + 2, dtype=np.int64)
+    counts = map_arrow(texts, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    return float(df[-2]), max(float(df[-1]), 1.0) / max(float(df[-2]), 1.0), df[:-2]
 
 
 def sparse_weights(rows: DataFrame, key: str, text: Column, stretch: int = 64) -> DataFrame:

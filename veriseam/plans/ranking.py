@@ -342,7 +342,7 @@ def q53_figure_filter(spark, sf_dir):
     """Hits whose words overlap with the question's; those without overlap go only where some hit has one. Named ones stay."""
     docs, items = _inputs(spark, sf_dir)
     hits = _bm25(spark, sf_dir).select("item_id", "doc_id", "rank")
-    head = docs.select("doc_id", F.slice(F.array_distinct(X.content_words(X.tokens(F.col("text")))), 1, 40).alias("d"))
+    head = docs.select("doc_id", F.array_distinct(X.content_words(X.tokens(F.col("text")))).alias("d"))
     q = items.select("item_id", F.array_distinct(X.content_words(X.tokens(F.col("text")))).alias("q"))
     both = hits.join(head, "doc_id").join(q, "item_id")
     scored = both.select("item_id", "doc_id", "rank", F.size(F.array_intersect("d", "q")).alias("overlap"), F.size("d").alias("n"))
@@ -355,7 +355,7 @@ _WORDS = ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS)
 _CONTENT = f"list_filter({TOKENS}, lambda w: len(w) > 1 and w not in ({_WORDS}))"
 _FIRSTS = "list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: list_position(ws, z[1]) = z[2]), lambda z: z[1])"
 SQL["q53_figure_filter"] = f"""with {BM25.format(k=10)},
-dw as (select doc_id, ({_FIRSTS})[1:40] as d from (select doc_id, {_CONTENT.format("text")} as ws from documents where doc_id in (select doc_id from bm25))),
+dw as (select doc_id, list_distinct(ws) as d from (select doc_id, {_CONTENT.format("text")} as ws from documents where doc_id in (select doc_id from bm25))),
 qq as (select item_id, list_distinct({_CONTENT.format("text")}) as q from benchmark),
 s as (select item_id, doc_id, rank, len(list_intersect(d, q)) as overlap, len(d) as n from bm25 join dw using (doc_id) join qq using (item_id)),
 k as (select *, max(overlap) over (partition by item_id) as most from s)

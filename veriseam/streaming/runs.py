@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def windowed_state(spark: SparkSession, path: str, *, watermark: str = "1 day", window: str = "1 hour") -> DataFrame:
     """Counts and latest values by type and tumbling window of an event stream, once it has run through all there is.
@@ -15,8 +16,7 @@ def windowed_state(spark: SparkSession, path: str, *, watermark: str = "1 day",
     The stream reads files as they come, keeps state up to the watermark, and writes the whole state after each batch;
     the last writing is returned. Its checkpoint and output are in the shared folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriseam-stream-")
-    place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     # a pattern, as a stream can't take the path of a single file
     path_pattern = f"{path[:-1]}[{path[-1]}]"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path_pattern).withColumn("ts", F.col("ts").cast("timestamp"))
