@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, ranking, structures, texts
+from . import evaluation, passages, ranking, structures, texts
 
-_PARTS = (ranking, texts, structures, evaluation)
+_PARTS = (ranking, texts, structures, evaluation, passages)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _part in _PARTS:
