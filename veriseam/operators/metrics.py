@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import map_arrow
+from ..session import map_arrow, spread
 
 
 #: Items whose texts one pass over the documents looks for.
@@ -48,7 +48,7 @@ def contains_qrels(docs: DataFrame, items: DataFrame, *, did: str, dtext: Column
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(found, type=kind), batch.column(0).take(pa.array(rows))], names=[qid, did])
 
-        part = map_arrow(docs.select(did, dtext.alias("text")).filter("text <> ''"), run, ddl)
+        part = map_arrow(spread(docs.select(did, dtext.alias("text")).filter("text <> ''")), run, ddl)
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

@@ -16,11 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, tokens
-from ..session import map_arrow
+from ..session import map_arrow, spread
 
 #: Queries that one pass over the stored rows answers.
 QUERY_BLOCK = 4096
-_TOKEN = re.compile(TOKEN)
+_TOKEN = re.compile(TOKEN.encode())
 
 
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int, *, rank: str = "rank") -> DataFrame:
@@ -41,9 +41,9 @@ def bm25(docs: DataFrame, queries: DataFrame, *, did: str, dtext: Column, qid: s
     is scored against a block at once; a task passes on only what is at or above the k-th best score it has seen for a
     query, so what is shuffled grows with tasks, not with documents, and no pair of a common word leaves the scan.
     """
-    stored = docs.select(did, F.coalesce(dtext, F.lit("")).alias("text"))
+    stored = spread(docs.select(did, F.coalesce(dtext, F.lit("")).alias("text")))
     qt = query_terms(queries, qid, qtext).toArrow()
-    terms, weight_of = qt.column("term").to_pylist(), qt.column("qtf").to_numpy()
+    terms, weight_of = [t.encode() for t in qt.column("term").to_pylist()], qt.column("qtf").to_numpy()
     vocabulary = {t: i for i, t in enumerate(sorted(set(terms)))}
     n, avgdl, df = _document_frequencies(stored.select("text"), vocabulary)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -86,20 +86,21 @@ def bm25(docs: DataFrame, queries: DataFrame, *, did: str, dtext: Column, qid: s
     return top(out, [qid], [F.round("score", 9).desc(), F.col(did).desc()], k)
 
 
-def _counted(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counted(texts: list[str], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count) of the vocabulary's terms, and the number of tokens of every text."""
-    doc, term, count, length = [], [], [], []
-    for i, text in enumerate(texts):
-        words = _TOKEN.findall(text)
+    size, term, count, length = [], [], [], []
+    for text in texts:
+        words = _TOKEN.findall(text.encode("utf-8", "surrogatepass").lower())  # bytes.lower changes A-Z only
         length.append(len(words))
-        for w, c in Counter(words_ for words_ in map(str.lower, words) if words_ in vocabulary).items():
-            doc.append(i)
-            term.append(vocabulary[w])
-            count.append(c)
-    return np.array(doc, dtype=np.int64), np.array(term, dtype=np.int64), np.array(count, dtype=np.float64), np.array(length, dtype=np.float64)
+        found = Counter(filter(vocabulary.__contains__, words))
+        size.append(len(found))
+        term += map(vocabulary.__getitem__, found)
+        count += found.values()
+    doc = np.repeat(np.arange(len(size)), size) if size else np.empty(0, dtype=np.int64)
+    return doc, np.array(term, dtype=np.int64), np.array(count, dtype=np.float64), np.array(length, dtype=np.float64)
 
 
-def _document_frequencies(texts: DataFrame, vocabulary: dict[str, int]) -> tuple[float, float, np.ndarray]:
+def _document_frequencies(texts: DataFrame, vocabulary: dict[bytes, int]) -> tuple[float, float, np.ndarray]:
     """The number of texts, their mean length in tokens, and in how many each term of the vocabulary stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
