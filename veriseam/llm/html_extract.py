@@ -29,6 +29,9 @@ import html as _html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +42,8 @@ from .common import bounded, cut_lineage, map_arrow
 TYPICAL, REFERENCES = 3000, 4
 CONSTANT, RECURS, VARIES, ENOUGH = 0.3, 0.4, 0.08, 20
 BROADCAST_BYTES, SALTS = 32 << 20, 32
+#: What a worker remembers, for speed alone: start tags of up to so many characters, and alignments of so many nodes.
+REMEMBERED, ALIGNED = 500, 200_000
 
 # Element and class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,9 +62,10 @@ MAIN = frozenset("article post entry content story main articlebody maincontent
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 STOPS = frozenset("html body div ul ol dl table td th article main section header footer nav aside form blockquote figure fieldset details".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]|=)*+)>", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_NONE_OPEN = dict.fromkeys((*BLOCK, *(tag for tags in CLOSES.values() for tag in tags)), 0)
 
 
 def _telling(value: str, inside: bool) -> bool:
@@ -69,55 +75,61 @@ def _telling(value: str, inside: bool) -> bool:
     return any(w in CLASSES and not (inside and w in VAGUE) for w in words) and all(w in CLASSES or w in BESIDE for w in words)
 
 
+@lru_cache(maxsize=1 << 14)
+def _said(tag: str, attributes: str, above: bool, flagged: bool) -> tuple[str, bool, bool, bool]:
+    """What a start tag says of its element: label, whether it is main, in a main region, and boilerplate.
+
+    ``above`` and ``flagged`` say whether its parent is in a main region and boilerplate.
+    """
+    if "=" not in attributes and "hidden" not in attributes:
+        main = tag in ("article", "main")
+        return tag, main, above or main, flagged or tag in BOILERPLATE or (tag == "header" and not above)
+    names: list[str] = []
+    values: list[str] = []
+    role, hidden = "", False
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id", "itemprop"):
+            values += value.split()
+            names += (w.lower() for w in _NAMES.findall(value))
+            names.append(value.lower())
+        elif key == "role":
+            role = value.lower()
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            hidden = True
+    own = frozenset(names)
+    label = f"{tag}.{'.'.join(sorted(set(n for n in names if n.isalpha())))}" if names else tag
+    main = tag in ("article", "main") or bool(own & MAIN)
+    head = tag == "header" or bool(own & HEADS) or role == "banner"
+    named = tag not in ("html", "body", "article", "main") and not (own & MAIN and not own & {"comment", "comments", "related", "sidebar", "ad", "ads"}) and any(_telling(v, above) for v in values)
+    return label, main, above or main, flagged or hidden or tag in BOILERPLATE or role in ROLES or named or (head and not above)
+
+
 class Node:
-    __slots__ = ("tag", "label", "names", "flagged", "inside", "main", "parent", "children", "parts", "links", "index", "at")
+    __slots__ = ("tag", "label", "flagged", "inside", "main", "parent", "children", "parts", "links", "index")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.parts: list[tuple[int, str]] = []  # own text and where it stands among the children
-        self.links, self.index, self.at = 0, -1, 0
-        above = parent is not None and parent.inside
-        if "=" not in attributes and "hidden" not in attributes:
-            self.names, self.label = frozenset(), tag
-            self.main = tag in ("article", "main")
-            self.inside = above or self.main  # in a main region
-            self.flagged = (parent is not None and parent.flagged) or tag in BOILERPLATE or (tag == "header" and not above)
-            return
-        names: list[str] = []
-        values: list[str] = []
-        role, hidden = "", False
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id", "itemprop"):
-                values += value.split()
-                names += (w.lower() for w in _NAMES.findall(value))
-                names.append(value.lower())
-            elif key == "role":
-                role = value.lower()
-            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                hidden = True
-        self.names = frozenset(names)
-        self.label = f"{tag}.{'.'.join(sorted(set(n for n in names if n.isalpha())))}" if names else tag
-        self.main = tag in ("article", "main") or bool(self.names & MAIN)
-        self.inside = above or self.main
-        head = tag == "header" or bool(self.names & HEADS) or role == "banner"
-        named = tag not in ("html", "body", "article", "main") and not (self.names & MAIN and not self.names & {"comment", "comments", "related", "sidebar", "ad", "ads"}) and any(_telling(v, above) for v in values)
-        self.flagged = (parent is not None and parent.flagged) or hidden or tag in BOILERPLATE or role in ROLES or named or (head and not above)
+        self.links, self.index = 0, -1
+        above, flagged = (parent.inside, parent.flagged) if parent is not None else (False, False)
+        said = _said if len(attributes) <= REMEMBERED else _said.__wrapped__
+        self.label, self.main, self.inside, self.flagged = said(tag, attributes, above, flagged)
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; inline elements are part of their block's text."""
     root = Node("root", "", None)
     open_: list[Node] = [root]
-    count: dict[str, int] = defaultdict(int)  # of open elements
+    count = _NONE_OPEN.copy()
     at, anchor = 0, 0
+    search = _TOKEN.search
 
     def text(piece: str) -> None:
-        if piece:
-            node = open_[-1]
-            node.parts.append((len(node.children), piece))
-            if anchor:
-                node.links += len(piece)
+        node = open_[-1]
+        node.parts.append((len(node.children), piece))
+        if anchor:
+            node.links += len(piece)
 
     def close(i: int) -> None:
         for n in open_[i:]:
@@ -130,17 +142,20 @@ def parse(page: str) -> Node:
         return found.end() if found else None
 
     missing: set[str] = set()  # tags without an end in the rest of the page
-    while (m := _TOKEN.search(page, at)) is not None:
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    while (m := search(page, at)) is not None:
+        start, end = m.span()
+        if start > at:
+            text(page[at:start])
+        at = end
+        ends, tag, attributes = m.groups()
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = tag.lower()
+        if ends:
             if tag == "a":
                 anchor = 0
             if tag in BLOCK:
-                if count[tag] > 0:
+                if count[tag]:
                     for i in range(len(open_) - 1, 0, -1):
                         if open_[i].tag == tag:
                             close(i)
@@ -166,21 +181,21 @@ def parse(page: str) -> Node:
             anchor = 1
         elif tag in BLOCK:
             closes = CLOSES.get(tag, ("p",))
-            if count["p"] > 0 or len(closes) > 1 and any(count[c] > 0 for c in closes) or count[tag] > 0:
+            if count["p"] or count[tag] or count[closes[0]] or len(closes) > 1 and any([count[c] for c in closes]):
                 for i in range(len(open_) - 1, 0, -1):
                     if open_[i].tag in closes:
                         close(i)
                     elif open_[i].tag in STOPS:
                         break
-            node = Node(tag, m[3], open_[-1])
-            node.at = len(open_[-1].children)
+            node = Node(tag, attributes, open_[-1])
             open_[-1].children.append(node)
             if tag not in VOID:
                 open_.append(node)
                 count[tag] += 1
         elif tag in VOID or tag in ("td", "th"):
             text(" ")
-    text(page[at:])
+    if at < len(page):
+        text(page[at:])
     return root
 
 
@@ -264,6 +279,9 @@ def _hash(text: str, seed: int = 0) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+_path = lru_cache(maxsize=1 << 14)(_hash)
+
+
 def generalise(root: Node) -> General:
     """The generalised tree of a page; the path of a node is a hash of the labels and runs that lead to it."""
     top = General("root", _hash("root"))
@@ -280,32 +298,56 @@ def generalise(root: Node) -> General:
                     run, before = run + 1, kind
                     found = known.get((kind, run))
                     if found is None:
-                        ordinal = sum(1 for k, _ in known if k == kind)
+                        ordinal = sum([k == kind for k, _ in known])
                         label = f"{kind[0]}({','.join(kind[1])})"
-                        found = known[kind, run] = General(label, _hash(f"{label}{ordinal}", g.path))
+                        found = known[kind, run] = General(label, (_path if len(label) <= REMEMBERED else _hash)(f"{label}{ordinal}", g.path))
                         g.children.append(found)
                 found.nodes.append(child)
         todo += g.children
     return top
 
 
-def slots_of(root: Node, references: list[General]) -> list[tuple[Node, int]]:
-    """The nodes of a page that hold text, and the slot of each: by the reference that aligns best, else the own path."""
-    mine = generalise(root)
-    all_, todo = [], [mine]
+class Wrapper:
+    """The reference pages of a host, and the alignments with them of trees seen before.
+
+    Pages of one host often have one generalised tree; the paths of its nodes, in the order of a walk, tell it.
+    """
+
+    def __init__(self, pages: list[str]):
+        self.references = [generalise(parse(p)) for p in pages]
+        self.known: dict[tuple[int, ...], list[int]] = {}
+        self.held = 0
+
+    def slots(self, trees: list[General]) -> list[int]:
+        """The slot of each node of a page's generalised tree: by the reference that aligns best, else the own path."""
+        key = tuple([g.path for g in trees])
+        if (slots := self.known.get(key)) is None:
+            best: tuple[int, list] = (0, [])
+            for reference in self.references:
+                got = match(trees[0], reference)
+                if got[0] > best[0]:
+                    best = got
+                if got[0] == len(trees):
+                    break
+            path = {} if 2 * best[0] < len(trees) else {id(g): r.path for g, r in best[1]}
+            slots = [path.get(id(g), g.path) for g in trees]
+            self.held += len(trees)
+            if self.held > ALIGNED:
+                self.known.clear()
+                self.held = len(trees)
+            if len(trees) <= ALIGNED:
+                self.known[key] = slots
+        return slots
+
+
+def slots_of(root: Node, wrapper: Wrapper) -> list[tuple[Node, int]]:
+    """The nodes of a page that hold text, and the slot of each."""
+    all_, todo = [], [generalise(root)]
     while todo:
         g = todo.pop()
         all_.append(g)
         todo += g.children
-    best: tuple[int, list] = (0, [])
-    for reference in references:
-        got = match(mine, reference)
-        if got[0] > best[0]:
-            best = got
-        if got[0] == len(all_):
-            break
-    path = {id(g): g.path for g in all_} if 2 * best[0] < len(all_) else {id(g): r.path for g, r in best[1]}
-    return [(n, path.get(id(g), g.path)) for g in all_ for n in g.nodes if n.parts]
+    return [(n, slot) for g, slot in zip(all_, wrapper.slots(all_), strict=True) for n in g.nodes if n.parts]
 
 
 class Template:
@@ -318,7 +360,7 @@ class Template:
             self.texts[slot].add(text)
 
 
-def observed(page: str, references: list[General]) -> list[tuple[int, int]]:
+def observed(page: str, wrapper: Wrapper) -> list[tuple[int, int]]:
     """(slot, hash of slot and text), each once, and first (0, a number of the page's article).
 
     The number is the least hash of the texts in the slot with most text: pages that share most blocks of it share the
@@ -327,7 +369,7 @@ def observed(page: str, references: list[General]) -> list[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     size: Counter[int] = Counter()
     least: dict[int, int] = {}
-    for node, slot in slots_of(parse(page), references):
+    for node, slot in slots_of(parse(page), wrapper):
         t = own_text(node)
         if t:
             h = _hash(t, slot)
@@ -338,7 +380,7 @@ def observed(page: str, references: list[General]) -> list[tuple[int, int]]:
     return [(0, article), *sorted(found)]
 
 
-def extract(page: str | None, references: list[General] | None = None, template: Template | None = None) -> str:
+def extract(page: str | None, wrapper: Wrapper | None = None, template: Template | None = None) -> str:
     """The main text of a page, by the template of its host where that decides."""
     if not page:
         return ""
@@ -346,7 +388,7 @@ def extract(page: str | None, references: list[General] | None = None, template:
     nodes = number(root)
     verdict: dict[int, bool] = {}  # whether the template says that a node is content
     if template is not None and (template.fixed or template.varying or template.texts):
-        for node, slot in slots_of(root, references or []):
+        for node, slot in slots_of(root, wrapper or Wrapper([])):
             if slot in template.fixed or slot in template.texts and _hash(own_text(node), slot) in template.texts[slot]:
                 verdict[node.index] = False
             elif slot in template.varying:
@@ -354,11 +396,14 @@ def extract(page: str | None, references: list[General] | None = None, template:
     undecided = [n for n in nodes if n.index not in verdict and not n.flagged]
     size = [0] * len(nodes)
     for n in nodes:
-        if verdict.get(n.index, not n.flagged):
-            size[n.index] = sum(len(t) for _, t in n.parts)
+        if n.parts and verdict.get(n.index, not n.flagged):
+            size[n.index] = sum([len(t) for _, t in n.parts])
+    end = list(range(1, len(nodes) + 1))  # the index after a node's last descendant
     for n in reversed(nodes):
         if n.parent is not None:
-            size[n.parent.index] += size[n.index]
+            above = n.parent.index
+            size[above] += size[n.index]
+            end[above] = max(end[above], end[n.index])
     mains = [n for n in undecided if n.main and size[n.index]]
     strong = bool(mains)
     regions = {n.index for n in mains if n.tag == "article"} or {n.index for n in mains if n.tag == "main"} or {n.index for n in mains}
@@ -369,26 +414,24 @@ def extract(page: str | None, references: list[General] | None = None, template:
                 break
             region = inner
         regions = {region.index}
-    blocks: list[str] = []
-    todo: list[tuple[Node, bool, int, int]] = [(root, root.index in regions, 0, 0)]  # node, in a region, next child, next part
-    while todo:
-        node, within, child, part = todo.pop()
-        says = verdict.get(node.index)
-        keep = says if says is not None else within and not node.flagged
-        loose = says is None and not strong and node.links and node.tag == "li" and node.links * 10 >= 9 * sum(len(t) for _, t in node.parts)
-        run = []
-        while part < len(node.parts) and node.parts[part][0] <= child:
-            run.append(node.parts[part][1])
-            part += 1
-        if run and keep and not loose:
-            block = " ".join(_html.unescape("".join(run)).split())
+    # a run of text stands before the child it precedes, or behind the last; of runs that end at one place the inner come first
+    blocks: list[tuple[int, int, str]] = []
+    within, depth = [False] * len(nodes), [0] * len(nodes)
+    for node in nodes:
+        i = node.index
+        above = node.parent.index if node.parent is not None else i
+        within[i], depth[i] = within[above] or i in regions, depth[above] + 1
+        says = verdict.get(i)
+        if not node.parts or not (says if says is not None else within[i] and not node.flagged):
+            continue
+        if says is None and not strong and node.links and node.tag == "li" and node.links * 10 >= 9 * sum([len(t) for _, t in node.parts]):
+            continue
+        for child, run in groupby(node.parts, key=itemgetter(0)):
+            block = " ".join(_html.unescape("".join([t for _, t in run])).split())
             if block:
-                blocks.append(block)
-        if child < len(node.children):
-            todo.append((node, within, child + 1, part))
-            c = node.children[child]
-            todo.append((c, within or c.index in regions, 0, 0))
-    return "\n\n".join(blocks)
+                blocks.append((node.children[child].index if child < len(node.children) else end[i], -depth[i], block))
+    blocks.sort()
+    return "\n\n".join([block for _, _, block in blocks])
 
 
 def host(url: Column) -> Column:
@@ -409,11 +452,11 @@ class _Wrappers:
     def __init__(self, references: dict[str, list[str]]):
         self.pages, self.parsed = references, {}
 
-    def __call__(self, of: str, given: list[str] | None) -> list[General]:
+    def __call__(self, of: str, given: list[str] | None) -> Wrapper:
         if of not in self.parsed:
-            if len(self.parsed) > 500:
+            if len(self.parsed) > 500 or sum(w.held for w in self.parsed.values()) > ALIGNED:
                 self.parsed.clear()
-            self.parsed[of] = [generalise(parse(p)) for p in (given if given is not None else self.pages.get(of, []))]
+            self.parsed[of] = Wrapper(given if given is not None else self.pages.get(of, []))
         return self.parsed[of]
 
 
