@@ -460,9 +460,13 @@ class _Wrappers:
         return self.parsed[of]
 
 
-def templates(observations: DataFrame) -> DataFrame:
-    """(host, fixed, varying, texts, slots) from (host, slot, text, article), a row for each text of a page's slot."""
-    by_text = observations.groupBy("host", "slot", "text").agg(F.count_distinct("article").alias("articles"), F.count("*").alias("n"))
+def by_slot_and_text(observations: DataFrame) -> DataFrame:
+    """(host, slot, text, articles, n) from (host, slot, text, article), a row for each text of a page's slot."""
+    return observations.groupBy("host", "slot", "text").agg(F.count_distinct("article").alias("articles"), F.count("*").alias("n"))
+
+
+def templates(by_text: DataFrame) -> DataFrame:
+    """(host, fixed, varying, texts, slots) from the rows of ``by_slot_and_text``, which are read three times."""
     all_ = by_text.filter("slot = 0").groupBy("host").agg(F.count("*").alias("all"))
     is_constant = (F.col("articles") > 2) & (F.col("articles") >= CONSTANT * F.col("all"))
     # a host's number of articles is joined salted, as one host may have most texts
@@ -508,7 +512,8 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True), seen, strict=True)], schema=seen)
 
-    found = templates(map_arrow(with_reference, observe, "host string, slot long, text long, article long"))
+    observations = map_arrow(with_reference, observe, "host string, slot long, text long, article long")
+    found = templates(cut_lineage(by_slot_and_text(observations)))
     if small:
         found = cut_lineage(found)
         small_too = bounded(found, BROADCAST_BYTES, F.lit(8) * (F.size("fixed") + F.size("varying") + 2 * F.size("texts")))
