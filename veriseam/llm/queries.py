@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, langid, licenses, minhash, secrets, sentencepiece_bpe, simhash, toxicity
+from . import centroids, chat, decontaminate, html_extract, langid, licenses, minhash, prefix_trie, secrets, sentencepiece_bpe, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,5 +85,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_html_text, op4_fingerprints, op5_chat_format, op6_secret_scan, op7_language_id, op8_toxicity, op9_simhash, op10_decontamination)}
-SQL: dict[str, str] = {"op5_chat_format": OP5_SQL}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_license_scan,
+        op3_html_text,
+        op4_fingerprints,
+        op5_chat_format,
+        op6_secret_scan,
+        op7_language_id,
+        op8_toxicity,
+        op9_simhash,
+        op10_decontamination,
+        op11_prefix_trie,
+        op12_centroids,
+    )
+}
+SQL: dict[str, str] = {"op5_chat_format": OP5_SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_centroids": centroids.SQL}
