@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import cut_lineage, map_arrow
 from ..sources.tables import table
 
-__all__ = ["ROWS_AT_A_TIME", "bounded", "cut_lineage", "keep_rows", "map_arrow", "map_rows", "table"]
+__all__ = ["ROWS_AT_A_TIME", "bounded", "cut_lineage", "keep_rows", "map_arrow", "map_rows", "member_test", "table"]
 
 #: Rows that a Python worker turns into Python objects at a time; bounds memory, never drops rows.
 ROWS_AT_A_TIME = 256
@@ -49,6 +50,34 @@ def keep_rows(docs: DataFrame, column: str, start: Callable[[], Callable[[list],
     return map_arrow(docs, run, docs.schema)
 
 
+#: Bits of a bitmap that tells which numbers are wanted.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
+
+
+def member_test(numbers: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A test that all longs of a column pass, and few others: a bitmap of LEAST_BITS to MOST_BITS bits.
+
+    It has eight bits for each row, up to its bound; beyond that numbers pass that needn't, which costs time and changes
+    nothing. The longs must be hashes: their low bits are the places.
+    """
+    from pyspark.sql import functions as F
+
+    size, n = LEAST_BITS, numbers.count()
+    while size < min(8 * n, MOST_BITS):
+        size *= 2
+    at = F.col(column).bitwiseAND(F.lit(size - 1).cast("long"))
+    words = numbers.select(at.alias("at")).selectExpr("int(at div 64) as word", "shiftleft(1L, int(at % 64)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MOST_BITS / 64 rows
+    bitmap = np.zeros(size // 64, dtype=np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    packed = bitmap.tobytes()
+
+    def held(values: np.ndarray) -> np.ndarray:
+        place = values & (size - 1)
+        return (np.frombuffer(packed, dtype=np.uint8)[place >> 3] >> (place & 7) & 1).astype(bool)
+
+    return held
+
+
 def bounded(df: DataFrame, limit_bytes: int, size_of) -> bool:
     """Whether the rows of ``df`` measure at most ``limit_bytes`` by the expression ``size_of``; scans ``df`` once."""
     from pyspark.sql import functions as F

@@ -60,6 +60,11 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """32-bit values of the shingles of a text, repeats included, as uint64."""
+    return wide_shingles(text, words) >> np.uint64(32)
+
+
+def wide_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """64-bit values of the shingles of a text, repeats included."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.empty(0, dtype=np.uint64)
@@ -69,7 +74,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     for i in range(min(words, len(h))):
         x = x * _MIX + h[i : i + n]
     x ^= x >> np.uint64(29)
-    return (x * _MIX) >> np.uint64(32)
+    return x * _MIX
 
 
 def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontaminate, html_extract, langid, licenses, minhash, prefix_trie, secrets, sentencepiece_bpe, simhash, toxicity
+from . import centroids, chat, decontaminate, html_extract, jaccard_join, langid, licenses, minhash, prefix_trie, secrets, sentencepiece_bpe, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -108,6 +112,7 @@ QUERIES: dict[str, Query] = {
         op10_decontamination,
         op11_prefix_trie,
         op12_centroids,
+        op13_jaccard_join,
     )
 }
 SQL: dict[str, str] = {"op5_chat_format": OP5_SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_centroids": centroids.SQL}
