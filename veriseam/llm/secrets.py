@@ -44,26 +44,47 @@ LEAST = 3.6
 #: Characters of a candidate looked at in one piece, besides the window that overlaps.
 PIECE = 256
 KINDS = ("assign", "access", "hex", "entropy")
+#: Matches that are folded in one go.
+CHUNK = 256
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """array<struct<start, rank, kind, end>> of the matches of a pattern; keep: an array of booleans, one for each match."""
     pieces = F.transform(F.split(text, pattern, -1), F.char_length)
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
-    return F.filter(
-        F.aggregate(
-            F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("gap"), found.alias("size"), (keep if keep is not None else F.transform(found, lambda _: F.lit(True))).alias("keep")),
-            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)").alias("out")),
+    matches = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("gap"), found.alias("size"), (keep if keep is not None else F.transform(found, lambda _: F.lit(True))).alias("keep"))
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
+
+    def run(part: Column) -> Column:
+        """Places of the matches of one chunk, counted from its start, and its length."""
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
             lambda a, x: F.struct(
                 (a["at"] + x["gap"] + x["size"]).alias("at"),
-                F.when(x["keep"], F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["size"]).alias("end"))))).otherwise(a["out"]).alias("out"),
+                F.concat(a["out"], F.when(x["keep"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["size"]).alias("end")))).otherwise(none)).alias("out"),
             ),
-            lambda a: a["out"],
-        ),
-        lambda s: s.isNotNull(),
+        )
+
+    moved = lambda s, by: F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (s["end"] + by).alias("end"))
+    return F.aggregate(
+        F.transform(_let(matches, _chunks), run),
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,rank:int,kind:string,end:int>>>)").alias("out")),
+        lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(F.transform(x["out"], lambda s: moved(s, a["at"])))).alias("out")),
+        lambda a: F.flatten(a["out"]),
     )
 
 
+def _chunks(values: Column) -> Column:
+    """An array cut into arrays of CHUNK values, so that what a fold has gathered is copied a bounded number of times."""
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.transform(F.slice(values, 1, 0), lambda v: F.array(v)))
+
+
+def _let(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once."""
+    return F.transform(F.array(value), of)[0]
+
+
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy (bits) of the windows of an ASCII string, by incremental counts; whole if shorter."""
     # S is the sum of c*log2(c) over the counts c; entropy = log2(n) - S/n. What two neighbouring windows share are the
@@ -146,12 +167,26 @@ def redact(docs: DataFrame, *, text_col: str = "text", by: str = "[SECRET]", cha
     text = F.col(text_col)
     spans = _free(docs)
     found = with_spans(docs, text_col=text_col, to=spans)
+
+    def rewritten(section: Column, start: Column, part: Column) -> Column:
+        """(at, out): where the last span of a chunk ends, and the section of the text up to there with spans replaced."""
+        cut = lambda lo, hi: F.substring(section, lo - start + 1, F.greatest(F.lit(0), hi - lo))
+        return F.aggregate(
+            part,
+            F.struct(start.alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
+            lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(cut(a["at"], s["start"]), F.when(s["start"] >= a["at"], F.lit(by)).otherwise(F.lit("")))).alias("out"))),
+            lambda a: F.struct(a["at"].alias("at"), F.array_join(a["out"], "").alias("out")),
+        )
+
+    def step(a: Column, part: Column) -> Column:
+        last = F.greatest(a["at"], F.array_max(F.transform(part, lambda s: s["end"])))
+        made = _let(F.substring(text, a["at"] + 1, last - a["at"]), lambda section: rewritten(section, a["at"], part))
+        return _let(made, lambda x: F.struct(x["at"].alias("at"), F.concat(a["out"], F.array(x["out"])).alias("out")))
+
     kept = F.aggregate(
-        spans,
+        _chunks(F.col(spans)),
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
-        lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.when(s["start"] >= a["at"], F.lit(by)).otherwise(F.lit("")))).alias("out"))
-        ),
+        step,
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))),
     )
     new = found.withColumn(text_col, F.when(F.size(spans) > 0, kept).otherwise(text)).drop(spans)
