@@ -8,8 +8,9 @@ how many different articles each text of a slot stands (pages that share the blo
 article, so a page that stands in many copies is no template):
 
 - a text that stands in CONSTANT of a host's articles is template wherever it is in the slot;
-- a slot of which the share RECURS or more of the other texts stand in several articles is template as a whole: menus,
-  adverts and footers that alternate;
+- a slot of which the share RECURS or more of the other texts stand in several articles (AGAIN, or CONSTANT of them on a
+  small host) is template as a whole: menus, adverts and footers that alternate. Versions of an article recur, too, so
+  this never deletes what the names call article, nor a slot with most of a page's text;
 - a slot with at least ENOUGH texts of which hardly any recur (VARIES) is content, whatever its names are;
 - of all other nodes, on hosts with few pages, elements, roles and class names decide.
 
@@ -18,7 +19,8 @@ A page's text is its content slots, and of the undecided nodes those that stand
 element, role or class doesn't say menu, header, footer, sidebar, notice, advert, form or comment.
 
 Null or empty pages give an empty text; a null or malformed url has the empty host, like all such pages. Repeated rows
-stay, other columns are ignored. Trees may be of any depth. References and templates are broadcast if they measure at
+stay, other columns are ignored. Trees may be of any depth and width: nodes of a generalised tree have few children, and
+an alignment of more than CELLS cells is given up, which leaves the page its own paths. References and templates are broadcast if they measure at
 most BROADCAST_BYTES, which is checked; beyond that pages are joined with them by host, salted, so that a host with
 many pages isn't one task.
 """
@@ -27,11 +29,12 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
-from operator import itemgetter
+from operator import itemgetter, ne
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,7 +44,13 @@ from .common import bounded, cut_lineage, map_arrow
 
 TYPICAL, REFERENCES = 3000, 4
 CONSTANT, RECURS, VARIES, ENOUGH = 0.3, 0.4, 0.08, 20
+#: A text recurs if it stands in so many articles: a share of the host's, two at least and AGAIN at most.
+AGAIN = 6
+#: From so many articles of a host on, class names alone keep no recurring text.
+MANY = 40
 BROADCAST_BYTES, SALTS = 32 << 20, 32
+#: Siblings are told apart by their runs up to so many; alignments by so many table cells; scans of tags that never close.
+RUNS, CELLS, SCANS = 32, 500_000, 8
 #: What a worker remembers, for speed alone: start tags of up to so many characters, and alignments of so many nodes.
 REMEMBERED, ALIGNED = 500, 200_000
 
@@ -56,13 +65,15 @@ CLASSES = frozenset(
 )
 #: Words that may stand beside a telling one in a class name, and telling words that say little inside an article.
 BESIDE = frozenset("block box wrap wrapper wrapping container section list area bar links link buttons button form item items unit slot top bottom left right site page inner outer main primary secondary js col column panel zone region group row icon icons icn btn btns nav header footer".split())
-VAGUE = frozenset("legal notice notices notification alert side more tags skip rail hidden paging search banner pager menu menus teaser popup modal overlay reply replies respond aside consent login signup toolbar copyright disclaimer widget widgets".split())
+VAGUE = frozenset("legal notice notices notification alert side more tags skip rail hidden discussion paging search banner pager menu menus teaser popup modal overlay reply replies respond aside consent login signup toolbar copyright disclaimer widget widgets".split())
 HEADS = frozenset(("header", "head", "heading"))
 MAIN = frozenset("article post entry content story main articlebody maincontent posting".split())
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 STOPS = frozenset("html body div ul ol dl table td th article main section header footer nav aside form blockquote figure fieldset details".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|(\Z))", re.DOTALL)
+_QUOTED = re.compile(r"=\s*(\"[^\"]*\"|'[^']*')|>|\Z", re.DOTALL)
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _NONE_OPEN = dict.fromkeys((*BLOCK, *(tag for tags in CLOSES.values() for tag in tags)), 0)
@@ -105,14 +116,54 @@ def _said(tag: str, attributes: str, above: bool, flagged: bool) -> tuple[str, b
     return label, main, above or main, flagged or hidden or tag in BOILERPLATE or role in ROLES or named or (head and not above)
 
 
+class _Tokens:
+    """Tags and comments of a page, in order.
+
+    A tag that nothing closes is text, and a later tag may stand inside what looked like one of its quoted values. What
+    such a scan passed outside of quotes can't start a closed tag either, so it is not looked at again; after SCANS of
+    them a tag ends at the next ``>``, quotes or not. So a page of quotes without ends takes linear time, too.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.dead: list[tuple[int, list[int], list[int]]] = []
+
+    def __call__(self, at: int) -> re.Match | None:
+        page = self.page
+        if not self.dead:
+            m = _TOKEN.search(page, at)
+            if m is None or m[4] is None:
+                return m
+            self._died(m)
+            at = m.start() + 1
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith(("<!", "<?"), at):
+                return _TOKEN.match(page, at)
+            if len(self.dead) > SCANS:
+                return _PLAIN.search(page, at)
+            if all(at < start or (k := bisect_right(lows, at)) and at < highs[k - 1] for start, lows, highs in self.dead):
+                m = _TOKEN.match(page, at)
+                if m is not None and m[4] is None:
+                    return m
+                if m is not None:
+                    self._died(m)
+            at += 1
+        return None
+
+    def _died(self, m: re.Match) -> None:
+        spans = [q.span(1) for q in _QUOTED.finditer(self.page, m.end(2)) if q[1]]
+        self.dead.append((m.start(), [a for a, _ in spans], [b for _, b in spans]))
+
+
 class Node:
-    __slots__ = ("tag", "label", "flagged", "inside", "main", "parent", "children", "parts", "links", "index")
+    __slots__ = ("tag", "label", "flagged", "inside", "held", "main", "parent", "children", "parts", "links", "index")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.parts: list[tuple[int, str]] = []  # own text and where it stands among the children
         self.links, self.index = 0, -1
         above, flagged = (parent.inside, parent.flagged) if parent is not None else (False, False)
+        self.held = tag in ("article", "main") or parent is not None and parent.held
         said = _said if len(attributes) <= REMEMBERED else _said.__wrapped__
         self.label, self.main, self.inside, self.flagged = said(tag, attributes, above, flagged)
 
@@ -123,7 +174,7 @@ def parse(page: str) -> Node:
     open_: list[Node] = [root]
     count = _NONE_OPEN.copy()
     at, anchor = 0, 0
-    search = _TOKEN.search
+    search = _Tokens(page)
 
     def text(piece: str) -> None:
         node = open_[-1]
@@ -142,12 +193,12 @@ def parse(page: str) -> Node:
         return found.end() if found else None
 
     missing: set[str] = set()  # tags without an end in the rest of the page
-    while (m := search(page, at)) is not None:
+    while (m := search(at)) is not None:
         start, end = m.span()
         if start > at:
             text(page[at:start])
         at = end
-        ends, tag, attributes = m.groups()
+        ends, tag, attributes = m[1], m[2], m[3]
         if not tag:
             continue
         tag = tag.lower()
@@ -217,12 +268,16 @@ def number(root: Node) -> list[Node]:
 def match(a, b) -> tuple[int, list[tuple]]:
     """Simple tree matching of two trees with equal labels at the root: the number of matched nodes and their pairs.
 
-    All pairs of nodes that can match (under pairs that can) are listed from the top, and solved from the bottom.
+    All pairs of nodes that can match (under pairs that can) are listed from the top, and solved from the bottom. If that
+    takes more than CELLS table cells, the trees count as unlike: no node is matched.
     """
     pairs, at = [(a, b)], {(id(a), id(b)): 0}
-    k = 0
+    k = cells = 0
     while k < len(pairs):
         x, y = pairs[k]
+        cells += (len(x.children) + 1) * (len(y.children) + 1)
+        if cells > CELLS:
+            return 0, []
         for u in x.children:
             for v in y.children:
                 if u.label == v.label:
@@ -264,7 +319,7 @@ def match(a, b) -> tuple[int, list[tuple]]:
 
 
 class General:
-    """A node of a generalised tree: a run of siblings with one label and like children."""
+    """A node of a generalised tree: a run of siblings with one label and like children, or all of them (see ``generalise``)."""
 
     __slots__ = ("label", "nodes", "children", "path")
 
@@ -282,25 +337,39 @@ def _hash(text: str, seed: int = 0) -> int:
 _path = lru_cache(maxsize=1 << 14)(_hash)
 
 
+def _kind(node: Node) -> tuple:
+    return node.label, tuple(sorted({c.tag for c in node.children})) if node.children else ()
+
+
 def generalise(root: Node) -> General:
-    """The generalised tree of a page; the path of a node is a hash of the labels and runs that lead to it."""
+    """The generalised tree of a page; the path of a node is a hash of the labels and runs that lead to it.
+
+    Under one parent a run of siblings of one kind (label and tags of the children) is a node. Where there are more than
+    RUNS runs, as in a list of headings and paragraphs by turns, all siblings of a kind are one node; where there are
+    more than RUNS kinds, as with a name for each paragraph, all of one tag. So no node has many children.
+    """
     top = General("root", _hash("root"))
     top.nodes.append(root)
     todo = [top]
     while todo:
         g = todo.pop()
+        lists = [[_kind(c) for c in node.children] for node in g.nodes]
+        by_run = max([sum(map(ne, kinds[1:], kinds)) for kinds in lists], default=0) < RUNS
+        by_kind = by_run or len({k for kinds in lists for k in kinds}) <= RUNS
         known: dict[tuple, General] = {}
-        for node in g.nodes:
+        ordinals: Counter[tuple] = Counter()
+        for node, kinds in zip(g.nodes, lists, strict=True):
             run, before = -1, None
-            for child in node.children:
-                kind = (child.label, tuple(sorted({c.tag for c in child.children})) if child.children else ())
+            for child, kind in zip(node.children, kinds, strict=True):
+                if not by_kind:
+                    kind = (child.tag, ())
                 if kind != before:
-                    run, before = run + 1, kind
+                    run, before = run + by_run, kind
                     found = known.get((kind, run))
                     if found is None:
-                        ordinal = sum([k == kind for k, _ in known])
                         label = f"{kind[0]}({','.join(kind[1])})"
-                        found = known[kind, run] = General(label, (_path if len(label) <= REMEMBERED else _hash)(f"{label}{ordinal}", g.path))
+                        found = known[kind, run] = General(label, (_path if len(label) <= REMEMBERED else _hash)(f"{label}{ordinals[kind]}", g.path))
+                        ordinals[kind] += 1
                         g.children.append(found)
                 found.nodes.append(child)
         todo += g.children
@@ -353,8 +422,8 @@ def slots_of(root: Node, wrapper: Wrapper) -> list[tuple[Node, int]]:
 class Template:
     """What is known of a host's slots: template slots, content slots, and template texts by slot (hashes)."""
 
-    def __init__(self, fixed=(), varying=(), texts=(), slots=()):
-        self.fixed, self.varying = frozenset(fixed), frozenset(varying)
+    def __init__(self, fixed=(), varying=(), texts=(), slots=(), articles=0):
+        self.fixed, self.varying, self.articles = frozenset(fixed), frozenset(varying), articles
         self.texts: dict[int, set[int]] = defaultdict(set)
         for slot, text in zip(slots, texts, strict=True):
             self.texts[slot].add(text)
@@ -380,6 +449,44 @@ def observed(page: str, wrapper: Wrapper) -> list[tuple[int, int]]:
     return [(0, article), *sorted(found)]
 
 
+def verdicts(slots: list[tuple[Node, int]], template: Template) -> dict[int, bool]:
+    """Whether the template says that a node is content, by index; it never deletes an article.
+
+    A slot that is template as a whole (its texts recur, which those of an article in several versions do as well)
+    is none in an article, nor if it holds most of the page's text; and if constant texts are more than half of the
+    article, they are versions of it and stay. The article is what elements say, on hosts of fewer than MANY articles
+    also what class names say; on others these may be wrong.
+    """
+    article = lambda node: (node.held or node.inside and template.articles < MANY) and not node.flagged
+    out: dict[int, bool] = {}
+    size: Counter[int] = Counter()
+    whole = gone = 0
+    constant = set()
+    for node, slot in slots:
+        n = sum([len(t) for _, t in node.parts])
+        named = article(node)
+        if slot in template.texts and _hash(own_text(node), slot) in template.texts[slot]:
+            constant.add(node.index)
+            gone += n * named
+        else:
+            size[slot] += n
+        whole += n * named
+    most = max(size, key=lambda k: (size[k], k)) if size else None
+    if most is not None and 2 * size[most] < sum(size.values()):
+        most = None
+    for node, slot in slots:
+        named = article(node)
+        if node.index in constant:
+            if not named or 2 * gone <= whole:
+                out[node.index] = False
+        elif slot in template.fixed:
+            if not named and (slot != most or node.flagged):
+                out[node.index] = False
+        elif slot in template.varying:
+            out[node.index] = True
+    return out
+
+
 def extract(page: str | None, wrapper: Wrapper | None = None, template: Template | None = None) -> str:
     """The main text of a page, by the template of its host where that decides."""
     if not page:
@@ -388,11 +495,7 @@ def extract(page: str | None, wrapper: Wrapper | None = None, template: Template
     nodes = number(root)
     verdict: dict[int, bool] = {}  # whether the template says that a node is content
     if template is not None and (template.fixed or template.varying or template.texts):
-        for node, slot in slots_of(root, wrapper or Wrapper([])):
-            if slot in template.fixed or slot in template.texts and _hash(own_text(node), slot) in template.texts[slot]:
-                verdict[node.index] = False
-            elif slot in template.varying:
-                verdict[node.index] = True
+        verdict = verdicts(slots_of(root, wrapper or Wrapper([])), template)
     undecided = [n for n in nodes if n.index not in verdict and not n.flagged]
     size = [0] * len(nodes)
     for n in nodes:
@@ -466,22 +569,24 @@ def by_slot_and_text(observations: DataFrame) -> DataFrame:
 
 
 def templates(by_text: DataFrame) -> DataFrame:
-    """(host, fixed, varying, texts, slots) from the rows of ``by_slot_and_text``, which are read three times."""
+    """(host, fixed, varying, texts, slots, articles) from the rows of ``by_slot_and_text``, which are read three times."""
     all_ = by_text.filter("slot = 0").groupBy("host").agg(F.count("*").alias("all"))
     is_constant = (F.col("articles") > 2) & (F.col("articles") >= CONSTANT * F.col("all"))
+    again = F.greatest(F.lit(2), F.least(F.lit(AGAIN), F.ceil(CONSTANT * F.col("all"))))
     # a host's number of articles is joined salted, as one host may have most texts
     salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
     salted = all_.withColumn("salt", F.explode(salts))
     by_text = by_text.filter("slot <> 0").withColumn("salt", F.pmod("text", F.lit(SALTS).cast("long"))).join(salted, ["host", "salt"]).withColumn("constant", is_constant)
-    by_slot = by_text.filter("not constant").groupBy("host", "slot").agg(F.max("all").alias("all"), F.sum("n").alias("n"), F.sum(F.when(F.col("articles") > 1, F.col("n")).otherwise(0)).alias("again"))
+    by_slot = by_text.filter("not constant").groupBy("host", "slot").agg(F.max("all").alias("all"), F.sum("n").alias("n"), F.sum(F.when(F.col("articles") >= again, F.col("n")).otherwise(0)).alias("again"))
     share = F.col("again") / F.col("n")
     kinds = by_slot.filter("all > 2").groupBy("host").agg(
+        F.max("all").alias("of_kinds"),
         F.array_sort(F.collect_list(F.when((share >= RECURS) & (F.col("n") >= 4), F.col("slot")))).alias("fixed"),
         F.array_sort(F.collect_list(F.when((share <= VARIES) & (F.col("n") >= ENOUGH), F.col("slot")))).alias("varying"),
     )
-    constant = by_text.filter("constant").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("text", "slot"))).alias("x")).select("host", F.col("x.text").alias("texts"), F.col("x.slot").alias("slots"))
+    constant = by_text.filter("constant").groupBy("host").agg(F.max("all").alias("of_constant"), F.array_sort(F.collect_list(F.struct("text", "slot"))).alias("x")).select("host", "of_constant", F.col("x.text").alias("texts"), F.col("x.slot").alias("slots"))
     none = F.array().cast("array<bigint>")
-    return kinds.join(constant, "host", "full").select("host", *(F.coalesce(c, none).alias(c) for c in ("fixed", "varying", "texts", "slots")))
+    return kinds.join(constant, "host", "full").select("host", *(F.coalesce(c, none).alias(c) for c in ("fixed", "varying", "texts", "slots")), F.coalesce("of_kinds", "of_constant").alias("articles"))
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -518,26 +623,26 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
         found = cut_lineage(found)
         small_too = bounded(found, BROADCAST_BYTES, F.lit(8) * (F.size("fixed") + F.size("varying") + 2 * F.size("texts")))
     if small and small_too:
-        by_host = {r["host"]: Template(r["fixed"], r["varying"], r["texts"], r["slots"]) for r in found.collect()}
-        full = with_reference.select("*", *(F.lit(None).cast("array<bigint>").alias(c) for c in ("fixed", "varying", "texts", "slots")))
+        by_host = {r["host"]: Template(r["fixed"], r["varying"], r["texts"], r["slots"], r["articles"]) for r in found.collect()}
+        full = with_reference.select("*", *(F.lit(None).cast("array<bigint>").alias(c) for c in ("fixed", "varying", "texts", "slots")), F.lit(None).cast("long").alias("articles"))
     else:
         by_host = {}
         salted = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        full = with_reference.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS).cast("long"))).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "reference", "fixed", "varying", "texts", "slots")
+        full = with_reference.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS).cast("long"))).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "reference", "fixed", "varying", "texts", "slots", "articles")
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers = _Wrappers(known)
         held: dict[str, Template] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                columns = [batch.slice(at, 256).column(c).to_pylist() for c in ("page_id", "url", "html", "host", "reference", "fixed", "varying", "texts", "slots")]
+                columns = [batch.slice(at, 256).column(c).to_pylist() for c in ("page_id", "url", "html", "host", "reference", "fixed", "varying", "texts", "slots", "articles")]
                 texts = []
-                for _, _, page, of, given, fixed, varying, constant, slots in zip(*columns, strict=True):
+                for _, _, page, of, given, fixed, varying, constant, slots, articles in zip(*columns, strict=True):
                     template = by_host.get(of)
                     if fixed is not None:
                         if len(held) > 500:
                             held.clear()
-                        template = held.setdefault(of, Template(fixed, varying, constant, slots))
+                        template = held.setdefault(of, Template(fixed, varying, constant, slots, articles))
                     texts.append(extract(page, wrappers(of, given) if template else None, template))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((*columns[:2], texts, [len(t) for t in texts]), out, strict=True)], schema=out)
 
