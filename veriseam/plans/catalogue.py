@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, passages, provisions, ranking, structures, texts
+from . import conditions, evaluation, passages, provisions, ranking, structures, texts
 
-_PARTS = (ranking, texts, structures, evaluation, passages, provisions)
+_PARTS = (ranking, texts, structures, evaluation, passages, provisions, conditions)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _part in _PARTS:
