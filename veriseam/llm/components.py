@@ -18,8 +18,8 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
     links = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    before = None if not links.isEmpty() else (0, None)
+    while before != (0, None):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
