@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from veriseam.llm import minhash, simhash
+from veriseam.llm import jaccard_join, minhash, simhash
 
 from .test_documents import groups_of, words
 
@@ -78,25 +78,14 @@ def test_rows_that_share_an_id(spark):
 
 def test_profiles_bound_what_is_shared():
     rng = np.random.default_rng(25)
+    profile, bound = jaccard_join.profile, jaccard_join.overlap_bound
     for n, m in ((0, 5), (1, 1), (10, 300), (300, 310), (5000, 4500), (20, 40_000)):
-        pool = rng.choice(1 << 32, size=n + m, replace=False).astype(np.uint32)
-        x, y = np.unique(pool[:n]), np.unique(np.r_[pool[n // 2 : n], pool[n:]][:m])
-        assert simhash.shared_at_most(simhash._profile(x), simhash._profile(y)) >= len(np.intersect1d(x, y))
-    crowd = (np.arange(300, dtype=np.uint32) << np.uint32(16)) + np.uint32(3)
-    assert simhash._profile(crowd) == b"" and simhash.shared_at_most(b"", simhash._profile(crowd[:8])) >= 300
-
-
-def test_numbers_of_keys_that_collide(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    keys = [bytes([k]) * 16 for k in range(6)]
-    table = spark.createDataFrame([(k,) for k in keys] * 2, "key binary")
-    column, again = simhash._numbered(table)
-    assert not again and table.select(column.alias("n")).distinct().count() == 6
-    monkeypatch.setattr(F, "xxhash64", lambda c: F.length(c).cast("long"))
-    column, again = simhash._numbered(table)
-    monkeypatch.undo()
-    assert set(again) == set(keys[1:]) and table.select(column.alias("n")).distinct().count() == 6
+        pool = np.unique(rng.integers(0, 1 << 63, size=2 * (n + m), dtype=np.uint64))
+        rng.shuffle(pool)
+        x, y = np.unique(pool[:n]), np.unique(np.r_[pool[n // 2 : n], pool[n : n + m]][:m])
+        assert bound(profile(x), profile(y)) >= len(np.intersect1d(x, y))
+    crowd = (np.arange(300, dtype=np.uint64) << np.uint64(20)) + np.uint64(3)
+    assert profile(crowd) == b"" and bound(b"", profile(crowd[:8])) >= 300
 
 
 def test_recall_of_planted_pairs(spark):

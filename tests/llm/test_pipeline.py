@@ -71,8 +71,8 @@ def test_stages_give_what_brute_force_gives(spark, duck, tmp_path):
         docs = made
 
 
-def test_queries_cover_the_ten():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+def test_queries_cover_the_thirteen():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert corpus_pipeline.ORACLE_SQL is None
 
 

@@ -21,15 +21,15 @@ exact copies. Null ids take part and come last among the smallest: a component's
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard_join
 from .common import cut_lineage, map_arrow, map_rows
 from .components import connected
 
@@ -40,11 +40,6 @@ SAMPLE = 20_000
 NEAR = 3
 #: Rows to drop (an id and a digest of 16 bytes each) that are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 250_000
-#: Bits that tell which documents are in links.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
-#: Documents whose shingles are counted, how many of the commonest are remembered, and pairs made at a time. They steer
-#: cost, never the result.
-COUNTED, COMMON, PAIRS = 8192, 1_000_000, 500_000
 #: Seconds for a probe row and a candidate pair; only their ratio matters.
 ROW_COST, PAIR_COST = 1e-6, 5e-9
 
@@ -279,102 +274,39 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return prints.join(of, "fp").select(id_col, "fp", "component_id")
 
 
-def _profile(values: np.ndarray) -> bytes:
-    """How many shingle values fall to each of a power of two of places, about one a place; a byte each.
-
-    Two profiles bound from above how many values two sets share. Empty if some place holds 255 or more: no bound.
-    """
-    places = 8
-    while places < len(values):
-        places *= 2
-    counts = np.bincount((values & np.uint32(places - 1)).astype(np.int64), minlength=places)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 255 else b""
-
-
-def shared_at_most(x: bytes, y: bytes) -> int:
-    """A bound from above of the number of values that the sets of two profiles share."""
-    if not x or not y:
-        return 1 << 62
-    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
-    if len(a) > len(b):
-        a, b = b, a
-    if len(a) < len(b):  # the places of the larger are folded on those of the smaller
-        b = b.reshape(-1, len(a)).sum(axis=0, dtype=np.int64)
-    return int(np.minimum(a, b).sum(dtype=np.int64))
-
-
-def _key(values: np.ndarray) -> bytes:
-    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-
-
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text): mark is a digest of the text; with the id it tells one row from others."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), _mark(text_col).alias("mark"), text.alias("text"))
-
-
 def _mark(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
+def fingerprint_labels(nodes: DataFrame, distance: int) -> DataFrame:
+    """(node, one, two): the least node of a like fingerprint (column also), and the least under half of the bands."""
+    first = cut_lineage(nodes.groupBy(F.col("also").alias("fp")).agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    near = links(first.select("fp"), distance, join=nearest_links)
+    ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = ends.join(first.select(F.col("fp").alias("b"), "node"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("node").alias("near"))
+    of = first.join(best, "fp", "left").filter("near is not null or n > 1").select("fp", F.least("node", "near").alias("one"))
+    bands = jaccard_join.band_labels(nodes).select("node", "two")
+    return nodes.select("node", F.col("also").alias("fp")).join(of, "fp", "left").join(bands, "node", "left").select("node", "one", "two")
+
+
 def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 12, words: int = 5, least: float = 0.8) -> DataFrame:
     """(id, mark, root, group_id) of every row with an id: that, its text's digest, its group, the smallest id in the group.
 
     A link is a pair whose sets of shingles of ``words`` words have a Jaccard likeness of ``least`` or more; all such
-    pairs count. Rows of equal sets (texts without words are alike, too) are one node before anything is joined; a node
-    is known by the digest of its set, never by an id, which rows may share. Two rounds find links. In the first,
-    fingerprints of at most ``distance`` bits are candidates (general pigeonhole); that joins most groups cheaply and
-    may miss pairs. The second compares all that can still be alike across the groups of the first (see ``_across``).
-    Candidates of either round are first compared by their profiles, which rule out pairs and never a link, then by the
-    sets, which are computed for the documents in question only (see ``_among``).
+    pairs count. Fingerprints of at most ``distance`` differing bits, found by the general pigeonhole, deal texts to
+    groups in which sets are compared; that joins most of what is alike, and might miss pairs. What can still be alike
+    across groups is found exactly by shared rare shingles and bounds (see ``jaccard_join``). Texts without words are
+    alike. Rows are told apart by id and digest, never by an id alone, which rows may share.
     """
-    from . import minhash
-
-    rows = _marked(docs, id_col, text_col).filter("id is not null")
-    common, n_common = _counts(rows, words)
 
-    def start() -> Callable:
-        def step(keys, marks, texts):
-            fps, digests, sizes, profiles, heads = [], [], [], [], []
-            for t in texts:
-                f = fingerprint(t)
-                fps.append(f - (1 << 64) if f >> 63 else f)
-                own = np.unique(minhash.shingles(t, words)).astype(np.uint32)
-                digests.append(_key(own))
-                sizes.append(len(own))
-                profiles.append(_profile(own))
-                own = own.view(np.int32)
-                n = np.zeros(len(own), dtype=np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    n = np.where(common[at] == own, n_common[at], 0)
-                heads.append(own[np.lexsort((own, n))][: len(own) - int(np.ceil(least * len(own) - 1e-6)) + 1] if len(own) else own)
-            return [keys, marks, fps, digests, sizes, profiles, heads]
-
-        return step
+    def signed(text: str) -> int:
+        f = fingerprint(text)
+        return f - (1 << 64) if f >> 63 else f
 
-    schema = pa.schema([("id", pa.int64()), ("mark", pa.binary()), ("fp", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("profile", pa.binary()), ("head", pa.list_(pa.int32()))])
-    prints = cut_lineage(map_rows(rows, ["id", "mark", "text"], start, schema, "id long, mark binary, fp long, key binary, size int, profile binary, head array<int>"))
-    node, taken = _numbered(prints)
-    prints = prints.withColumn("node", node)
-    one = prints.groupBy("node").agg(F.min(F.struct("fp", "size", "profile", "head")).alias("x"))
-    nodes = cut_lineage(one.select("node", "x.*"))
-
-    first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    between = links(first.select("fp"), distance, join=nearest_links)
-    end = lambda n: first.select(F.col("fp").alias(n), F.col("node").alias(f"{n}_node"))
-    pairs = between.join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    within = nodes.select("fp", F.col("node").alias("b")).join(first.withColumnRenamed("node", "a"), "fp").filter("a <> b").select("a", "b")
-    roots = connected(_alike(rows, nodes, cut_lineage(pairs.unionByName(within)), words, least, taken))
-    of = cut_lineage(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group")))
-    more = _alike(rows, nodes, _across(nodes, of, least), words, least, taken)
-    end = lambda n: of.select(F.col("node").alias(n), F.col("group").alias(f"{n}_group"))
-    more = more.join(end("a"), "a").join(end("b"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
-    roots = connected(more).withColumnRenamed("node", "group")
-    of = of.join(roots, "group", "left").select("node", F.coalesce("root", "group").alias("root"))
-    labelled = cut_lineage(prints.select("id", "mark", "node").join(of, "node").select("id", "mark", "root"))
-    ids = labelled.groupBy("root").agg(F.min("id").alias("group_id"))
-    return labelled.join(ids, "root")
+    rows = docs.filter(F.col(id_col).cast("long").isNotNull())
+    found = jaccard_join.join(rows, id_col=id_col, text_col=text_col, words=words, least=least, labels=lambda nodes: fingerprint_labels(nodes, distance), also=signed)
+    found = cut_lineage(found.select("id", "mark", F.coalesce("root", F.lit(-1)).alias("root")))
+    return found.join(found.groupBy("root").agg(F.min("id").alias("group_id")), "root").select("id", "mark", "root", "group_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -382,179 +314,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return grouped(docs, id_col=id_col, text_col=text_col, **how).select(F.col("id").alias(id_col), "group_id")
 
 
-def _numbered(prints: DataFrame) -> tuple:
-    """A column that numbers the values of column key with 64 bits, and what ``_alike`` needs to number them likewise.
-
-    The number is a hash. Should two keys share one, which some may among many billions, all but the smallest of them
-    get another number from a list; there are as many in it as collisions, none as a rule.
-    """
-    again: dict[bytes, int] = {}
-    clash = prints.groupBy(F.xxhash64("key").alias("h")).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
-    # min and max of a hash are compared by their first 8 bytes as integers first, which combine before the shuffle
-    half = lambda at: F.conv(F.hex(F.substring("key", at, 7)), 16, 10).cast("long")
-    apart = prints.groupBy(F.xxhash64("key").alias("h")).agg(F.min(half(1)).alias("a"), F.max(half(1)).alias("b"), F.min(half(8)).alias("c"), F.max(half(8)).alias("d"))
-    if not apart.filter("a <> b or c <> d").isEmpty():
-        found = prints.join(clash.select("h", "lo"), F.xxhash64("key") == F.col("h")).filter(F.col("key") != F.col("lo")).select("key").distinct().collect()
-        for k, (key,) in enumerate(sorted(found)):
-            again[bytes(key)] = int.from_bytes(hashlib.blake2b(bytes(key), digest_size=8, salt=b"%d" % k).digest(), "little", signed=True)
-    column = F.xxhash64("key")
-    for key, number in again.items():
-        column = F.when(F.col("key") == F.lit(bytearray(key)), F.lit(number)).otherwise(column)
-    return column, again
-
-
-def _alike(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, least: float, taken: dict[bytes, int]) -> DataFrame:
-    """Those of ``candidates`` (a, b), nodes, whose sets of shingles have a Jaccard likeness of ``least`` or more."""
-    from . import minhash
-
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("size").alias(f"n_{n}"), F.col("profile").alias(f"p_{n}"))
-    sized = candidates.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-6)
-
-    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                total = (np.asarray(part.column(2)) + np.asarray(part.column(3))).astype(np.float64)
-                most = np.array([shared_at_most(x, y) for x, y in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)], dtype=np.float64)
-                kept = part.filter(pa.array(most * (1 + least) >= least * total - 1e-6))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
-
-    candidates = cut_lineage(map_arrow(sized.select("a", "b", "n_a", "n_b", "p_a", "p_b"), may, "a long, b long"))
-    held = _among(candidates)
-
-    def sets_of() -> Callable:
-        import xxhash
-
-        def number(key: bytes) -> int:
-            h = xxhash.xxh64_intdigest(key, 42)
-            return taken.get(key, h - (1 << 64) if h >> 63 else h)
-
-        def step(texts):
-            own = [np.unique(minhash.shingles(t, words)).astype(np.uint32) for t in texts]
-            own = [(n, s.tobytes()) for n, s in ((number(_key(s)), s) for s in own) if held(n)]
-            return [[n for n, _ in own], [s for _, s in own]]
-
-        return step
-
-    sets = map_rows(rows, ["text"], sets_of, pa.schema([("node", pa.int64()), ("set", pa.binary())]), "node long, set binary")
-    sets = cut_lineage(sets.groupBy("node").agg(F.min("set").alias("set")))
-    both = candidates.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, keep = batch.slice(at, 256), []
-                for x, y in zip(part.column(2), part.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(shared >= least * (len(x) + len(y) - shared))
-                kept = part.filter(pa.array(keep, type=pa.bool_()))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
-
-    return map_arrow(both, alike, "a long, b long")
-
-
-def _counts(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several of some COUNTED documents, in order, and in how many they stand."""
-    from . import minhash
-
-    of = F.pmod(F.xxhash64("mark"), F.lit(max(1, rows.count() // COUNTED))) == 0
-
-    def start() -> Callable:
-        def step(texts):
-            found, n = np.unique(np.concatenate([np.unique(minhash.shingles(t, words)) for t in texts]).astype(np.uint32).view(np.int32), return_counts=True)
-            return [found, n]
-
-        return step
-
-    made = map_rows(rows.filter(of), ["text"], start, pa.schema([("shingle", pa.int32()), ("n", pa.int64())]), "shingle int, n long")
-    table = made.groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
-    found, n = table.column("shingle").to_numpy(), table.column("n").to_numpy()
-    most = np.argsort(-n, kind="stable")[:COMMON]
-    most = most[np.argsort(found[most])]
-    return found[most], n[most]
-
-
-def _across(nodes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of nodes of different ``groups`` (node, group) that hold all whose likeness is ``least`` or more.
-
-    The shingles of all sets are put in one order, the rare ones by a sample first; a node's column head has the first
-    of its own. Of two sets of n and m shingles that are so alike, at least least / (1 + least) * (n + m) are shared.
-    Hence the first n - ceil(least * n) + 1 of each have one in common, and after the first that they share both have
-    enough left. Only shingles that stand in several groups meet, and only rows of different groups are paired.
-    """
-    dealt = nodes.join(groups, "node").select(F.posexplode("head").alias("at", "shingle"), "node", "group", "size")
-    under = Window.partitionBy("shingle")
-    several = dealt.withColumn("low", F.min("group").over(under)).withColumn("high", F.max("group").over(under)).filter("low <> high")
-    several = several.select("shingle", "group", "node", "size", "at").sortWithinPartitions("shingle", "group")
-
-    def pair(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        shingle, group, node, size, at = x
-        ends = np.searchsorted(shingle, shingle, side="right")
-        starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (group[1:] != group[:-1])])
-        after = np.repeat(np.r_[starts[1:], len(shingle)], np.diff(np.r_[starts, len(shingle)]))
-        n = ends - after  # rows of other groups that follow under the same shingle
-        total = np.cumsum(n)
-        lo = 0
-        while lo < len(n):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, side="right")))
-            part = n[lo:hi]
-            i = np.repeat(np.arange(lo, hi), part)
-            j = after[i] + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
-            left = np.minimum(size[i] - at[i], size[j] - at[j])  # ``at`` counts from 0
-            able = (left * (1 + least) >= least * (size[i] + size[j]) - 1e-6) & (node[i] != node[j])
-            i, j = node[i[able]], node[j[able]]
-            both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
-            if len(both):
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-            lo = hi
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # the rows under the last shingle so far
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = [np.asarray(c).astype(np.int64) for c in batch.columns]
-            if held and x[0][-1] == held[-1][0][-1]:
-                held.append(x)
-                continue
-            cut = int(np.searchsorted(x[0], x[0][-1]))
-            yield from pair([np.concatenate(c) for c in zip(*held, [c[:cut] for c in x], strict=True)])
-            held = [[c[cut:] for c in x]]
-        if held:
-            yield from pair([np.concatenate(c) for c in zip(*held, strict=True)])
-
-    return map_arrow(several, meet, "a long, b long").distinct()
-
-
-def _among(links: DataFrame) -> Callable[[int], bool]:
-    """A test that all ends of ``links`` pass, and few other numbers: a bitmap of LEAST_BITS to MOST_BITS bits.
-
-    It has eight bits for each link, up to its bound; beyond that numbers pass that needn't, which costs time and
-    changes nothing.
-    """
-    size = LEAST_BITS
-    n = links.count()
-    while size < min(8 * n, MOST_BITS):
-        size *= 2
-    at = F.pmod(F.xxhash64("id"), F.lit(size))
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).select(at.alias("at"))
-    ends = ends.selectExpr("int(at div 64) as word", "shiftleft(1L, int(at % 64)) as bit")
-    bitmap = np.zeros(size // 64, dtype=np.int64)
-    words = ends.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MOST_BITS / 64 rows
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    packed = bitmap.tobytes()
-
-    def held(key: int) -> bool:
-        import xxhash
-
-        h = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
-        place = (h - (1 << 64) if h >> 63 else h) % size
-        return bool(packed[place >> 3] >> (place & 7) & 1)
-
-    return held
-
-
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: of the smallest id, then of the smallest digest.
 
