@@ -33,14 +33,16 @@ def test_codes_and_their_categories(spark):
 
 
 def test_measurements(spark):
-    texts = ["W = 12 feet at 55 mph", "a 1,250.5 ft taper, 10 feet", "no number", "S=45, 3 miles per hour"]
-    assert [[tuple(x) for x in r] for r in column(spark, texts, P.named_values)] == [[("W", 12.0)], [], [], [("S", 45.0)]]
-    assert [[tuple(x) for x in r] for r in column(spark, texts, P.loose_values)] == [[(55.0, "mph")], [(1250.5, "ft"), (10.0, "ft")], [], [(3.0, "mph")]]
+    texts = ["W = 12 feet at 55 mph", "a 1,250.5 ft taper, 10 feet", "no number", "S=45, 3 miles per hour", "a 48-inch sign, 3 - METRES, -2 m", "900 veh/h, 12,000 AADT, 30% of, 40 %x, w = 3 ft", "W = 1,200-foot, L=30 percent"]
+    assert [[tuple(x) for x in r] for r in column(spark, texts, P.named_values)] == [[("W", 12.0, "ft")], [], [], [("S", 45.0, None)], [], [], [("W", 1200.0, "ft"), ("L", 30.0, "%")]]
+    assert [[tuple(x) for x in r] for r in column(spark, texts, P.loose_values)] == [[(55.0, "mph")], [(1250.5, "ft"), (10.0, "ft")], [], [(3.0, "mph")], [(48.0, "in"), (3.0, "m"), (-2.0, "m")], [(900.0, "vph"), (12000.0, "vpd"), (40.0, "%"), (3.0, "ft")], []]
 
 
 def test_error_kinds(spark):
     messages = ["InvalidParameter: no backend server", "InternalError.InvalidParameter", "Arrearage", "429 Too Many Requests", "x", None]
-    assert column(spark, messages, P.error_kind) == ["passing", "request", "account", "passing", "other", "other"]
+    assert column(spark, messages, P.error_kind) == ["passing", "request", "account", "passing", "", ""]
+    more = ["InternalError", "insufficient_quota", "OUT_OF_SERVICE", "limit_requests", "DataInspectionFailed", "RateLimit exceeded", "AllocationQuota.FreeTierOnly", "InternalError.Algo.InvalidParameter", "ResourceExhausted", "Unpurchased"]
+    assert column(spark, more, P.error_kind) == ["passing", "passing", "account", "passing", "request", "passing", "account", "request", "passing", "account"]
 
 
 def test_longest_spans(spark):

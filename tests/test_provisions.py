@@ -14,6 +14,9 @@ def test_list_modes(spark):
         ("It is", "a or", None, 1, "NOT STATED"),
         ("It is", "a", "b and", 2, "ALL"),
         ("All the following", "floor", "a", 2, "ALL"),
+        ("All of", "a", None, 1, "NOT STATED"),
+        ("Each of", "a and", "a and", 1, "NOT STATED"),
+        ("Any of", "a", None, 1, "ANY"),
         ("It is", "floor", "sand", 2, "NOT STATED"),
         (None, None, None, 0, "NOT STATED"),
     ]
@@ -24,15 +27,22 @@ def test_list_modes(spark):
 
 def test_replies_that_cannot_be_read_are_unknown(spark):
     rows = [
-        (0, '{"status": "true", "confidence": 7, "cites": ["a", "x", "a"]}'),
+        (0, '{"status": "true", "confidence": 7, "evidence": ["a", "x", " a ", ""]}'),
         (1, '{"status": "certainly", "confidence": -1}'),
         (2, "FALSE"),
         (3, None),
         (4, ""),
+        (5, '```json\n{"status": "FALSE", "confidence": "0.5", "evidence": ["b"]}\n```'),
+        (6, 'I looked at it. {"status": " unknown ", "evidence": null} That is all.'),
+        (7, '{"status": "TRUE"} or {"status": "FALSE"}'),
+        (8, '{"status": "NOT_APPLICABLE", "confidence": 1, "evidence": ["a"]}'),
+        (9, '{"status": "TRUE", "confidence": "high", "evidence": ["a"]'),
+        (10, '{"status": "TRUE", "confidence": "high", "evidence": ["a"]}'),
+        (11, "[]"),
     ]
     df = spark.createDataFrame(rows, "id int, reply string")
     got = {r["id"]: tuple(r)[1:] for r in df.select("id", *V.verdict(F.col("reply"), F.array(F.lit("a"), F.lit("b")))).collect()}
-    assert got == {0: ("TRUE", 1.0, "a", "x"), 1: ("UNKNOWN", 0.0, "", ""), **{i: ("UNKNOWN", 0.0, "", "") for i in (2, 3, 4)}}
+    assert got == {0: ("TRUE", 1.0, "a,a", "x"), 5: ("FALSE", 0.5, "b", ""), 10: ("TRUE", 0.0, "a", ""), **{i: ("UNKNOWN", 0.0, "", "") for i in (1, 2, 3, 4, 6, 7, 8, 9, 11)}}
 
 
 def test_facts_by_name_then_by_the_only_ending(spark):

@@ -48,7 +48,7 @@ SQL["q45_calibration"] = """with r as (select least(1.0::double, value / 100) as
 b as (select least(floor(p * 10), 9) as bin, count(*) as n, avg(p) as conf, avg(y) as acc, sum((p - y) ** 2) as se from r group by bin)
 select sum(n)::bigint as n, round(sum(se) / sum(n), 6) as brier, round(sum(n * abs(acc - conf)) / sum(n), 6) as ece from b"""
 
-REPLICATES = 200
+REPLICATES = 800
 
 
 def q46_bootstrap_ci(spark, sf_dir):

@@ -23,7 +23,7 @@ def q61_note_prose(spark, sf_dir):
 
 SQL["q61_note_prose"] = r"""with l as (select lang, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
 w as (select lang, regexp_extract_all(line, '[^ \t\n\x0B\f\r]+') as ws from l)
-select lang, count(*) as n_lines, count(*) filter (where len(ws) >= 6 and len(list_filter(ws, lambda w: regexp_matches(w, '^[a-z]'))) >= 3) as n_prose from w group by lang"""
+select lang, count(*) as n_lines, count(*) filter (where len(ws) >= 6 and len(list_filter(ws, lambda w: regexp_matches(w, '^\p{Ll}'))) >= 3) as n_prose from w group by lang"""
 
 
 def q62_stems(spark, sf_dir):
@@ -67,29 +67,32 @@ select code, case when code like 'OM%' then 'ObjectMarker' when code like 'EM%'
 def _claims(spark, sf_dir):
     k = F.col("p_partkey")
     named = F.when(k % 4 == 0, F.concat(F.lit(" with W = "), F.col("p_size").cast("string"), F.lit(" feet"))).otherwise("")
-    more = F.when(k % 5 == 0, " and 10 feet").when(k % 5 == 1, " and 1,250 feet or 30 Percent").otherwise("")
+    more = F.when(k % 5 == 0, " and 10 feet").when(k % 5 == 1, " and 1,250 feet or 30 Percent").when(k % 5 == 2, " and a 48-inch sign, 900 vph or 12,000 AADT").when(k % 5 == 3, " on 3 - metre lanes").otherwise("")
     text = F.concat(F.lit("A taper of "), F.col("p_size").cast("string"), F.lit(" feet at "), (k % 60 + 15).cast("string"), F.lit(" mph"), named, more)
     return table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
 
 
-_CLAIMS = """t as (select p_partkey, 'A taper of ' || p_size || ' feet at ' || (p_partkey % 60 + 15) || ' mph' || case when p_partkey % 4 = 0 then ' with W = ' || p_size || ' feet' else '' end
- || case when p_partkey % 5 = 0 then ' and 10 feet' when p_partkey % 5 = 1 then ' and 1,250 feet or 30 Percent' else '' end as text from part),
-r as (select p_partkey, text, regexp_replace(text, '\\b[A-Z]\\s*=\\s*-?[0-9][0-9,]*\\.?[0-9]*\\s*(?:(?:mph|miles per hour|feet|foot|ft|inches|inch|in|meters|meter|m|percent)\\b)?', ' ', 'g') as rest from t),
-loose as (select p_partkey, unnest(regexp_extract_all(rest, '(?i)(-?[0-9][0-9,]*\\.?[0-9]*)\\s*(mph|miles per hour|feet|foot|ft|inches|inch|in|meters|meter|m|percent)\\b', 1)) as v,
- unnest(regexp_extract_all(rest, '(?i)(-?[0-9][0-9,]*\\.?[0-9]*)\\s*(mph|miles per hour|feet|foot|ft|inches|inch|in|meters|meter|m|percent)\\b', 2)) as u from r),
-lv as (select p_partkey, replace(v, ',', '')::double as value, case when lower(u) in ('feet', 'foot', 'ft') then 'ft' when lower(u) in ('mph', 'miles per hour') then 'mph' when lower(u) = 'percent' then '%' end as unit from loose),
-nv as (select p_partkey, unnest(regexp_extract_all(text, '\\b([A-Z])\\s*=\\s*(-?[0-9][0-9,]*\\.?[0-9]*)', 1)) as name, replace(unnest(regexp_extract_all(text, '\\b([A-Z])\\s*=\\s*(-?[0-9][0-9,]*\\.?[0-9]*)', 2)), ',', '')::double as value from t)"""
+_AFTER = r"\s*[-\s]?\s*"
+_UNIT = r"(mph|miles per hour|feet|foot|ft|inches|inch|in|meters|metres|meter|metre|m|vph|veh/h|vpd|aadt|percent|%)\b"
+_VALUE = r"-?[0-9][0-9,]*\.?[0-9]*"
+_CLAIMS = rf"""t as (select p_partkey, 'A taper of ' || p_size || ' feet at ' || (p_partkey % 60 + 15) || ' mph' || case when p_partkey % 4 = 0 then ' with W = ' || p_size || ' feet' else '' end
+ || case p_partkey % 5 when 0 then ' and 10 feet' when 1 then ' and 1,250 feet or 30 Percent' when 2 then ' and a 48-inch sign, 900 vph or 12,000 AADT' when 3 then ' on 3 - metre lanes' else '' end as text from part),
+r as (select p_partkey, text, regexp_replace(text, '\b[A-Z]\s*=\s*{_VALUE}\b(?:{_AFTER}(?i:{_UNIT}))?', ' ', 'g') as rest from t),
+units(word, unit) as (values ('mph', 'mph'), ('feet', 'ft'), ('inch', 'in'), ('metre', 'm'), ('vph', 'vph'), ('aadt', 'vpd'), ('percent', '%')),
+loose as (select p_partkey, unnest(regexp_extract_all(rest, '(?i)({_VALUE}){_AFTER}{_UNIT}', 1)) as v, unnest(regexp_extract_all(rest, '(?i)({_VALUE}){_AFTER}{_UNIT}', 2)) as u from r),
+lv as (select p_partkey, replace(v, ',', '')::double as value, unit from loose left join units on word = lower(u)),
+nv as (select p_partkey, unnest(regexp_extract_all(text, '\b([A-Z])\s*=\s*({_VALUE})', 1)) as name, replace(unnest(regexp_extract_all(text, '\b([A-Z])\s*=\s*({_VALUE})', 2)), ',', '')::double as value from t)"""
 
 
 def q64_measurements(spark, sf_dir):
     """Named and loose measurements of claims, with their units."""
     text = _claims(spark, sf_dir)
-    named = text.select("p_partkey", F.inline(P.named_values(F.col("text")))).select("p_partkey", "name", "value", F.lit(None).cast("string").alias("unit"))
+    named = text.select("p_partkey", F.inline(P.named_values(F.col("text")))).select("p_partkey", "name", "value", "unit")
     loose = text.select("p_partkey", F.inline(P.loose_values(F.col("text")))).select("p_partkey", F.lit(None).cast("string").alias("name"), "value", "unit")
     return named.unionByName(loose)
 
 
-SQL["q64_measurements"] = f"with {_CLAIMS} select p_partkey, name, value, null::varchar as unit from nv union all select p_partkey, null, value, unit from lv"
+SQL["q64_measurements"] = f"with {_CLAIMS} select p_partkey, name, value, 'ft' as unit from nv union all select p_partkey, null, value, unit from lv"
 
 
 def q65_bindings(spark, sf_dir):
@@ -107,7 +110,7 @@ w as (select p_partkey, var, unit from part, (values ('W', 'ft'), ('S', 'mph'),
 select p_partkey, var, coalesce(n.value, loose) as value, case when n.value is not null then 'name' when loose is not null then 'unit' else 'missing' end as how
 from w left join (select p_partkey, name as var, max(value) as value from nv group by all) n using (p_partkey, var) left join o using (p_partkey, unit)"""
 
-MESSAGES = ("No backend server available: InvalidParameter", "Arrearage", "InternalError.Algo.InvalidParameter", "Throttling.RateQuota", "Too Many Requests", "data_inspection_failed", "Request timed out", "something else", "access_denied: busy")
+MESSAGES = ("InternalError", "insufficient_quota", "OUT_OF_SERVICE", "limit_requests", "DataInspectionFailed", "RateLimit exceeded", "FreeTierOnly", "No backend server available: InvalidParameter", "Arrearage", "InternalError.Algo.InvalidParameter", "Throttling.RateQuota", "Too Many Requests", "data_inspection_failed", "Request timed out", "something else", "access_denied: busy")
 
 
 def q66_error_kinds(spark, sf_dir):
@@ -120,7 +123,7 @@ def q66_error_kinds(spark, sf_dir):
 
 _LADDER = " ".join("when " + " or ".join(f"contains(m, '{x}')" for x in marks) + f" then '{kind}'" for kind, marks in P.ERRORS)
 SQL["q66_error_kinds"] = f"""with e as (select hour(ts)::bigint as hour, coalesce(lower(case when event_type = 'error' then ([{", ".join(f"'{m}'" for m in MESSAGES)}])[(event_id % {len(MESSAGES)} + 1)::int] end), '') as m from events),
-k as (select hour, case {_LADDER} else 'other' end as kind from e)
+k as (select hour, case {_LADDER} else '' end as kind from e)
 select hour, kind, count(*) as n, count(*) filter (where kind = 'passing') as n_retried from k group by all"""
 
 
@@ -197,12 +200,13 @@ SQL["q73_sheets"] = "select l_partkey, count(*) as n_sheets, string_agg(l_suppke
 
 
 def q74_siblings(spark, sf_dir):
-    """Suppliers of the same nation; nations of more than 24 have none."""
-    return merges.siblings(table(spark, sf_dir, "supplier"), key="s_suppkey", parent="s_nationkey")
+    """Lines of the same part; parts of more than 24 lines have none."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("line"))
+    return merges.siblings(lines, key="line", parent="l_partkey").groupBy("line").agg(F.count("*").alias("n"), F.min("sibling").alias("first"), F.max("sibling").alias("last"))
 
 
-SQL["q74_siblings"] = """with g as (select s_nationkey from supplier group by s_nationkey having count(*) <= 24)
-select a.s_suppkey, b.s_suppkey as sibling from supplier a join supplier b using (s_nationkey) join g using (s_nationkey) where a.s_suppkey <> b.s_suppkey"""
+SQL["q74_siblings"] = """with l as (select l_partkey, l_orderkey * 1000 + l_linenumber as line from lineitem), g as (select l_partkey from l group by l_partkey having count(*) <= 24)
+select a.line, count(*) as n, min(b.line) as first, max(b.line) as last from l a join l b using (l_partkey) join g using (l_partkey) where a.line <> b.line group by a.line"""
 
 
 def q75_cited_by_winners(spark, sf_dir):
@@ -317,8 +321,8 @@ def q82_coverage_gate(spark, sf_dir):
 SQL["q82_coverage_gate"] = """with x as (select 'customers' as what, count(*) as n, count(c_custkey) as known from orders left join customer on o_custkey = c_custkey
  union all select 'orders', count(*), count(o_orderkey) from lineitem left join orders on l_orderkey = o_orderkey) select what, n, known, known >= 0.99 * n as passes from x"""
 
-# Prices a million tokens.
-PRICES = (("assistant", 6.0), ("system", 0.25), ("user", 2.0))
+#: Prices a million tokens, as an example.
+PRICES = (("assistant", 4.5), ("system", 0.5), ("user", 1.5))
 
 
 def q83_token_costs(spark, sf_dir):

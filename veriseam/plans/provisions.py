@@ -38,22 +38,29 @@ SQL["q86_list_modes"] = f"""with i as (select l_orderkey, l_linenumber, l_return
 g as (select l_orderkey, count(*) as n, list(item order by l_linenumber, item) as items, ({_sql_list(LEADS)})[(l_orderkey % 4 + 1)::int] as lead from i group by l_orderkey)
 select l_orderkey, n, case when regexp_matches(lead, '(?i)\\bexcept\\b[^.]*\\bfollowing\\b') then 'EXCEPTION CASES'
  when regexp_matches(lead, '(?i)\\bone or more of\\b') or n > 1 and regexp_matches(items[1], '(?i)\\bor *[.;,]? *$') then 'ANY'
- when regexp_matches(lead, '(?i)\\ball of\\b') or n > 1 and regexp_matches(items[-2], '(?i)\\band *[.;,]? *$') then 'ALL' else 'NOT STATED' end as mode from g"""
+ when n > 1 and (regexp_matches(lead, '(?i)\\ball of\\b') or regexp_matches(items[-2], '(?i)\\band *[.;,]? *$')) then 'ALL' else 'NOT STATED' end as mode from g"""
 
 
 def q87_reply_verdicts(spark, sf_dir):
-    """Verdicts of replies, some of which can't be read, doubt too much, or cite what they weren't given."""
+    """Verdicts of replies, in fences or behind a sentence or bare, some of which can't be read or cite what they weren't given."""
     k = F.col("event_id")
-    word = _pick(("true", "FALSE", "maybe", "not_applicable", "Unknown"), k)
-    reply = F.when(k % 7 == 0, F.lit("I think so")).otherwise(F.concat(F.lit('{"status": "'), word, F.lit('", "confidence": '), (k % 13 - 2).cast("string"), F.lit('.5, "cites": ["c'), (k % 4).cast("string"), F.lit('", "c'), (k % 6).cast("string"), F.lit('"]}')))
+    word = _pick(("true", "FALSE", "maybe", "not_applicable", " Unknown "), k)
+    object_ = F.concat(F.lit('{"status": "'), word, F.lit('", "confidence": '), F.when(k % 11 == 0, F.lit('"high"')).otherwise(F.concat((k % 13 - 2).cast("string"), F.lit(".5"))), F.lit(', "evidence": ["c'), (k % 4).cast("string"), F.lit('", " c'), (k % 6).cast("string"), F.lit('", ""]}'))
+    reply = (
+        F.when(k % 7 == 0, F.lit("I think so"))
+        .when(k % 7 == 1, F.concat(F.lit("```json\n"), object_, F.lit("\n```")))
+        .when(k % 7 == 2, F.concat(F.lit("Here is my answer: "), object_, F.lit(" Thanks.")))
+        .when(k % 7 == 3, F.concat(object_, F.lit(" or {}")))
+        .otherwise(object_)
+    )
     allowed = F.array(F.lit("c0"), F.lit("c1"), F.lit("c2"))
     return table(spark, sf_dir, "events").select("event_id", *V.verdict(reply, allowed))
 
 
-SQL["q87_reply_verdicts"] = """with e as (select event_id, event_id % 7 <> 0 as ok, upper((['true', 'FALSE', 'maybe', 'not_applicable', 'Unknown'])[(event_id % 5 + 1)::int]) as s,
- ((event_id % 13 - 2)::varchar || '.5')::double as p, 'c' || (event_id % 4) as a, 'c' || (event_id % 6) as b from events),
-c as (select *, case when not ok then [] when a = b then [a] else [a, b] end as cites from e)
-select event_id, case when ok and s in ('TRUE', 'FALSE', 'UNKNOWN', 'NOT_APPLICABLE') then s else 'UNKNOWN' end as status, case when ok then greatest(0.0, least(1.0, p)) else 0.0 end::double as confidence,
+SQL["q87_reply_verdicts"] = """with e as (select event_id, event_id % 7 not in (0, 3) and event_id % 5 in (0, 1, 4) as ok, (['TRUE', 'FALSE', '', '', 'UNKNOWN'])[(event_id % 5 + 1)::int] as s,
+ case when event_id % 11 = 0 then 0 else ((event_id % 13 - 2)::varchar || '.5')::double end as p, 'c' || (event_id % 4) as a, 'c' || (event_id % 6) as b from events),
+c as (select *, case when not ok then [] else [a, b] end as cites from e)
+select event_id, case when ok then s else 'UNKNOWN' end as status, case when ok then greatest(0.0, least(1.0, p)) else 0.0 end::double as confidence,
  array_to_string(list_filter(cites, lambda x: x in ('c0', 'c1', 'c2')), ',') as kept, array_to_string(list_filter(cites, lambda x: x not in ('c0', 'c1', 'c2')), ',') as dropped from c"""
 
 UNITS = ("ft", "in", "yd", "lb")
