@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import conditions, evaluation, networks, passages, provisions, ranking, structures, texts
+from . import conditions, evaluation, layouts, networks, passages, provisions, ranking, structures, texts
 
-_PARTS = (ranking, texts, structures, evaluation, passages, provisions, conditions, networks)
+_PARTS = (ranking, texts, structures, evaluation, passages, provisions, conditions, networks, layouts)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _part in _PARTS:
