@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import metrics, verify
+from ..operators import metrics, quotes, verify
 from ..sources.tables import table
 from .ranking import _CONTENT, _FIRSTS, TOKENS
 
@@ -103,6 +103,33 @@ SQL["q24_quote_verification"] = """with q as (select item_id, doc_id from docume
 select b.item_id, count(q.doc_id) as n_docs, min(q.doc_id) as first_doc, count(q.doc_id) = 1 as repairable from benchmark b left join q using (item_id) group by b.item_id"""
 
 
+def _quotes(spark, sf_dir):
+    """Sentences of the lines of each order as evidence, and a quote a line: whole, under a wrong id, altered, short, cut, turned round."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    number = lambda c: F.col(c).cast("string")
+    text = F.concat(F.lit("The “part” no. "), number("p"), F.lit(" comes from the shop of supplier "), number("s"), F.lit(" — as ordered in line "), number("l_linenumber"))
+    evidence = li.select(F.col("l_orderkey").alias("question"), F.concat(F.lit("e"), number("l_linenumber")).alias("id"), text.alias("text"), F.lit("piece").alias("kind"), F.lit(False).alias("image"))
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    first, last = F.concat(F.lit("the \"part\" no. "), number("p"), F.lit(" comes from")), F.concat(F.lit("shop of supplier "), number("s"), F.lit(" - as ordered"))
+    quote = (
+        F.when(k == 0, F.upper(text)).when(k == 1, F.concat(first, F.lit(" the "), last)).when(k == 2, F.concat(first, F.lit(" a "), last))
+        .when(k == 3, F.lit("comes from the shop")).when(k == 4, F.concat(first, F.lit(" … "), last)).otherwise(F.concat(last, F.lit(" [...] "), first))
+    )
+    source = F.when(k == 1, F.lit("[e99]")).otherwise(F.concat(F.lit("e"), number("l_linenumber")))
+    return li.select(F.col("l_orderkey").alias("question"), F.col("l_linenumber").alias("quote_id"), quote.alias("quote"), source.alias("source")), evidence
+
+
+def q108_quotes_put_right(spark, sf_dir):
+    """Whether quotes stand word for word in the evidence of their order, and under which id."""
+    return quotes.verify(*_quotes(spark, sf_dir))
+
+
+SQL["q108_quotes_put_right"] = """with l as (select l_orderkey as q, l_linenumber as n, min(l_partkey) as p, min(l_suppkey) as s from lineitem group by all),
+k as (select *, (q + n) % 6 as k, count(*) over (partition by q, p, s) as same from l)
+select q as question, n as quote_id, case when k in (0, 4) or k = 1 and same = 1 then 'text' else 'no' end as verified, case when k = 1 and same > 1 then 'e99' else 'e' || n end as id,
+ case when k in (0, 4) then '' when k = 1 then case when same = 1 then 'found under e' || n || ', not e99' else 'this id is missing from the evidence' end when k = 3 then 'quote too short' else 'the quote is not in this piece' end as why from k"""
+
+
 def q25_statements(spark, sf_dir):
     """Lines of conversations as statements: numbered, with their place and the last user line as heading."""
     turns = table(spark, sf_dir, "conversations")
