@@ -77,3 +77,16 @@ def test_markup_that_never_closes_takes_linear_time(piece):
 def test_a_tag_inside_an_unclosed_quote_is_read():
     assert html_extract.extract('<p>one <a href="x> two</p><p>three</p>') == 'one <a href="x> two\n\nthree' or "three" in html_extract.extract('<p>one <a href="x> two</p><p>three</p>')
     assert html_extract.extract('<p title="a > b">one</p><p>two</p>') == "one\n\ntwo"
+
+
+def test_footers_that_seldom_recur_stay_out(spark):
+    """Texts that stand on a few pages each are not content, though too rare to be template."""
+    rnd = random.Random(77)
+    feet = [" ".join(words(8, rnd)) for _ in range(25)]
+    rows, want = [], {}
+    for k in range(60):
+        own = [" ".join(words(20, rnd)) for _ in range(3)]
+        want[k] = "\n\n".join(own)
+        rows.append((k, "http://h.example/x", f"<body><article>{''.join(f'<p>{p}</p>' for p in own)}</article><footer>© h {feet[k % 25]}</footer></body>"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want

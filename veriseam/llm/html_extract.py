@@ -577,12 +577,12 @@ def templates(by_text: DataFrame) -> DataFrame:
     salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
     salted = all_.withColumn("salt", F.explode(salts))
     by_text = by_text.filter("slot <> 0").withColumn("salt", F.pmod("text", F.lit(SALTS).cast("long"))).join(salted, ["host", "salt"]).withColumn("constant", is_constant)
-    by_slot = by_text.filter("not constant").groupBy("host", "slot").agg(F.max("all").alias("all"), F.sum("n").alias("n"), F.sum(F.when(F.col("articles") >= again, F.col("n")).otherwise(0)).alias("again"))
-    share = F.col("again") / F.col("n")
+    by_slot = by_text.filter("not constant").groupBy("host", "slot").agg(F.max("all").alias("all"), F.sum("n").alias("n"), F.sum(F.when(F.col("articles") >= again, F.col("n")).otherwise(0)).alias("again"), F.sum(F.when(F.col("articles") > 1, F.col("n")).otherwise(0)).alias("twice"))
+    share, twice = F.col("again") / F.col("n"), F.col("twice") / F.col("n")
     kinds = by_slot.filter("all > 2").groupBy("host").agg(
         F.max("all").alias("of_kinds"),
         F.array_sort(F.collect_list(F.when((share >= RECURS) & (F.col("n") >= 4), F.col("slot")))).alias("fixed"),
-        F.array_sort(F.collect_list(F.when((share <= VARIES) & (F.col("n") >= ENOUGH), F.col("slot")))).alias("varying"),
+        F.array_sort(F.collect_list(F.when((twice <= VARIES) & (F.col("n") >= ENOUGH), F.col("slot")))).alias("varying"),
     )
     constant = by_text.filter("constant").groupBy("host").agg(F.max("all").alias("of_constant"), F.array_sort(F.collect_list(F.struct("text", "slot"))).alias("x")).select("host", "of_constant", F.col("x.text").alias("texts"), F.col("x.slot").alias("slots"))
     none = F.array().cast("array<bigint>")
