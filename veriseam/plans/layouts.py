@@ -76,7 +76,7 @@ def q106_call_plan(spark, sf_dir):
     """The lines of each order packed into calls by part family, two decisions a call."""
     rows = _lines(spark, sf_dir, "l_partkey", "l_returnflag")
     items = rows.select(F.col("l_orderkey").alias("question"), F.col("l_linenumber").alias("rank"), F.col("l_linenumber").alias("item"), F.concat(F.lit("s"), (F.col("l_partkey") % 4).cast("string")).alias("section"), (F.col("l_returnflag") != "N").alias("decided"), (-F.col("l_linenumber")).alias("place"))
-    return packing.plan_calls(items, cap=CAP)
+    return packing.plan_calls(items, cap=CAP).withColumn("call", F.col("call").cast("long"))
 
 
 SQL["q106_call_plan"] = f"""with recursive {_sql_lines("l_partkey", "l_returnflag")},

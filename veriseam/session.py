@@ -28,9 +28,26 @@ def ship_package(spark: SparkSession) -> None:
     sc._veriseam_shipped = True
 
 
+def give_back_memory() -> None:
+    """Return what a Python worker has freed to the system; workers outlive their tasks and stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl) -> DataFrame:
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, ddl)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back_memory()
+
+    return df.mapInArrow(whole, ddl)
 
 
 def spread(df: DataFrame) -> DataFrame:
