@@ -313,6 +313,15 @@ def q18_take_turns(spark, sf_dir):
     return rank.take_turns(_bm25(spark, sf_dir), _sparse(spark, sf_dir), qid="item_id", item="doc_id", want=8)
 
 
+_FREE = "list_filter({xs}, lambda v: not list_contains(taken, v))[1]"
+SQL["q18_take_turns"] = f"""with recursive {BM25.format(k=10)}, {SPARSE.format(k=10)},
+ids as (select item_id from bm25 union select item_id from sparse), la as (select item_id, list(doc_id order by rank) as xs from bm25 group by 1), lb as (select item_id, list(doc_id order by rank) as xs from sparse group by 1),
+turns as (select ids.item_id, 0 as t, coalesce(la.xs, []) as a, coalesce(lb.xs, []) as b, []::bigint[] as taken from ids left join la using (item_id) left join lb using (item_id)
+ union all select item_id, t + 1, a, b, case when x is null then taken else list_append(taken, x) end
+ from (select *, case when t % 2 = 0 then coalesce({_FREE.format(xs="a")}, {_FREE.format(xs="b")}) else coalesce({_FREE.format(xs="b")}, {_FREE.format(xs="a")}) end as x from turns where t < 8))
+select item_id, unnest(taken) as doc_id, generate_subscripts(taken, 1)::int as rank from turns where t = 8"""
+
+
 def q19_round_robin_budget(spark, sf_dir):
     """Documents of each language from all sources in turns, the longest first, 60 a language."""
     docs = _inputs(spark, sf_dir)[0].select("lang", "source", "doc_id", "n_chars")

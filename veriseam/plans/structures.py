@@ -92,6 +92,22 @@ def q32_closure_budget(spark, sf_dir):
     return made.select("start", "node", F.col("depth").cast("long").alias("depth"), "reason")
 
 
+def _closure_round(d: int, labels: str) -> str:
+    seen, before = " union all ".join(f"select start, node from k{i}" for i in range(d)), " union all ".join(f"select start from k{i}" for i in range(1, d)) or "select start from k0 where false"
+    return f"""f{d} as (select start, dst as node, min(label) as reason from k{d - 1} join ways on src = node where label in ({labels}) group by all),
+n{d} as (select * from f{d} anti join ({seen}) using (start, node)),
+t{d} as (select *, row_number() over (partition by start, reason order by node) as turn from n{d}),
+p{d} as (select *, row_number() over (partition by start order by turn, reason) as place from t{d} where turn <= 40),
+k{d} as (select start, node, {d} as depth, reason from p{d} left join (select start, count(*) as used from ({before}) group by start) using (start) where place + coalesce(used, 0) <= 40)"""
+
+
+SQL["q32_closure_budget"] = f"""with {GRAPH},
+ways as (select * from edges where label in ('placed', 'asks_for') union all select dst, 'supplied_by', src from edges where label = 'supplies'),
+k0 as (select 'customer:' || c_custkey as start, 'customer:' || c_custkey as node, 0 as depth, 'start' as reason from customer where c_custkey % 100 = 0),
+{_closure_round(1, "'placed', 'asks_for', 'supplied_by'")}, {_closure_round(2, "'asks_for', 'supplied_by'")}, {_closure_round(3, "'asks_for', 'supplied_by'")}
+select start, node, depth::bigint as depth, reason from (select * from k0 union all select * from k1 union all select * from k2 union all select * from k3)"""
+
+
 def q33_anchor_argmax(spark, sf_dir):
     """For each supplier the nation that orders most from it, one of its own region preferred; ties: the smaller key."""
     t = lambda n: table(spark, sf_dir, n)
