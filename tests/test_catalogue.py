@@ -36,4 +36,4 @@ def test_same_as_sql(spark, duck, name):
 
 def test_every_query_has_a_twin():
     assert set(catalogue.QUERIES) == set(catalogue.SQL)
-    assert len(catalogue.QUERIES) == 108
+    assert len(catalogue.QUERIES) == 110

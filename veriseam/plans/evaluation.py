@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import metrics, runs
+from ..operators import metrics, replies, runs
 from ..sources.tables import table
 from ..streaming.runs import windowed_state
 from .ranking import BM25, QRELS, SPARSE, _bm25, _qrels, _round, _sparse
@@ -195,6 +195,36 @@ SQL["q60_run_merge"] = """with p as (select o_orderkey, o_orderstatus = 'F' as v
 select coalesce(p.o_orderkey, r.o_orderkey) as o_orderkey, round(case when coalesce(valid, false) or r.o_orderkey is null then p.score else r.score end, 3) as score,
  case when coalesce(valid, false) or r.o_orderkey is null then 'primary' else 'retry' end as source from p full join r on p.o_orderkey = r.o_orderkey"""
 
+def q109_reply_streams(spark, sf_dir):
+    """Replies of conversations put together from event streams: a reply a conversation, a chunk a turn, some broken off."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    delta = F.when(F.col("role") == "assistant", F.struct(F.col("text").alias("content"), F.lit(None).cast("string").alias("reasoning_content"))).otherwise(F.struct(F.lit(None).cast("string").alias("content"), F.col("text").alias("reasoning_content")))
+    finish = F.when((F.col("turn") == F.col("last")) & (F.col("conv_id") % 5 != 0), "stop")
+    line = F.concat(F.lit("data: "), F.to_json(F.struct(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("id"), F.array(F.struct(delta.alias("delta"), finish.alias("finish_reason"))).alias("choices"))))
+    lines = turns.join(last, "conv_id").select(F.col("conv_id").alias("reply"), F.col("turn").alias("seq"), line.alias("line"))
+    lines = lines.unionByName(last.select(F.col("conv_id").alias("reply"), (F.col("last") + 1).alias("seq"), F.when(F.col("conv_id") % 7 == 0, F.lit('data: {"error": {"code": "Arrearage", "message": "overdue"}}')).otherwise("data: [DONE]").alias("line")))
+    made = replies.assemble(lines)
+    return made.select("reply", F.sha2("content", 256).alias("content"), F.char_length("reasoning").cast("long").alias("n_reasoning"), "finish_reason", "id", "events", "outcome")
+
+
+SQL["q109_reply_streams"] = """with t as (select conv_id, coalesce(turn, -1) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations)
+select conv_id as reply, sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as content, coalesce(sum(length(text)) filter (where role <> 'assistant'), 0)::bigint as n_reasoning,
+ case when conv_id % 5 <> 0 then 'stop' end as finish_reason, 'r' || conv_id as id, count(*) as events, case when conv_id % 7 = 0 then 'account' when conv_id % 5 <> 0 then 'complete' else 'broken' end as outcome from t group by conv_id"""
+
+
+def q110_retry_plan(spark, sf_dir):
+    """What follows a failed attempt, by its code, message and number, and how long the waits are in all."""
+    k = F.col("event_id")
+    pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), (k % len(values) + 1).cast("int"))
+    attempts = table(spark, sf_dir, "events").select((k % 9 + 1).cast("int").alias("attempt"), pick((429, 503, 400, 404, 200)).alias("http"), pick(("busy", "InvalidParameter", "Arrearage", "", "x", "timed out", "y")).alias("message"), pick((None, "7", "soon", "-1")).alias("retry_after"))
+    return replies.decisions(attempts).groupBy("kind", "action").agg(F.count("*").alias("n"), F.sum("pause").alias("pause"))
+
+
+SQL["q110_retry_plan"] = """with e as (select event_id % 9 + 1 as attempt, ([429, 503, 400, 404, 200])[(event_id % 5 + 1)::int] as http, (['passing', 'request', 'account', '', '', 'passing', ''])[(event_id % 7 + 1)::int] as kind, event_id % 4 as w from events),
+d as (select *, case when kind in ('account', 'request') then 'stop: ' || kind when http in (429, 503) or kind = 'passing' then case when attempt <= 6 then 'retry' else 'give up' end else 'fail' end as action from e)
+select kind, action, count(*) as n, sum(case when action = 'retry' then case w when 1 then 7 when 3 then 0 else least(120.0, 5.0 * 2 ** (attempt - 1)) end end)::double as pause from d group by all"""
+
 for _name, _f in list(globals().items()):
     if _name[:1] == "q" and _name[1:3].isdigit():
         QUERIES[_name] = _f
