@@ -23,12 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_rows
-from .components import connected
+from .common import map_arrow
 
 PERMUTATIONS, WORDS = 128, 5
-#: Bands times rows of the signature for candidates; at likeness 0.8 a pair meets in a band with probability 0.998.
-BANDS, BAND_ROWS = 21, 6
 REMEMBERED = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -199,59 +196,11 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """(``id_col``, class_id): the smallest id that each row reaches over pairs of at least ``threshold`` Jaccard likeness.
 
-    Texts with the same sequence of words are one before anything is joined. Signature bands deal the rest; under a
-    common band key the shingle sets themselves are compared, by a search that takes out of play what it has reached,
-    so that a group of g mutually like texts costs g comparisons and gives g - 1 links.
+    Bands of the signature, joined in Spark, deal texts to groups of bounded size, in which the likeness of shingle sets
+    is verified; pairs that no band brings together are found by shared rare shingles (see ``jaccard_join``), so none is
+    missed. No set is shipped for each of its bands. Texts without words are one class.
     """
+    from . import jaccard_join
 
-    def start():
-        def step(keys, texts):
-            sets = [np.unique(shingles(t)) for t in texts]
-            marks = [hashlib.blake2b(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest() for t in texts]
-            s = signatures(sets)[:, : BANDS * BAND_ROWS].reshape(len(sets), BANDS, BAND_ROWS)
-            bands = [[int.from_bytes(hashlib.blake2b(bytes([j]) + row[j].tobytes(), digest_size=8).digest(), "big", signed=True) for j in range(BANDS)] for row in s]
-            return [keys, marks, bands, [x.astype(np.int64) for x in sets]]
-
-        return step
-
-    schema = pa.schema([(id_col, pa.int64()), ("mark", pa.binary()), ("bands", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
-    made = map_rows(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), [id_col, text_col], start, schema, f"`{id_col}` long, mark binary, bands array<long>, shingles array<long>")
-    ids = made.groupBy("mark").agg(F.min(id_col).alias("least"))
-    one = made.select("mark", "bands", "shingles").dropDuplicates(["mark"])
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = one.select(F.explode("bands").alias("band"), "mark", "shingles").repartition(n, "band").sortWithinPartitions("band", "mark")
-
-    def verify(batches):
-        def links(group):
-            found = []
-            left = group
-            while len(left) > 1:
-                queue, left = [left[0]], left[1:]
-                while queue and left:
-                    mark, x = queue.pop()
-                    near, far = [], []
-                    for other, y in left:
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        (near if both >= threshold * (len(x) + len(y) - both) else far).append((other, y))
-                    found += [(mark, other) for other, _ in near]
-                    queue, left = queue + near, far
-            return found
-
-        group, of = [], None
-        for batch in batches:
-            bands, marks, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            found = []
-            for i, (band, mark) in enumerate(zip(bands, marks, strict=True)):
-                if band != of:
-                    found += links(group)
-                    group, of = [], band
-                group.append((mark, np.asarray(sets[i].values)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
-        if found := links(group):
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    roots = connected(map_arrow(dealt, verify, "a binary, b binary").select(F.hex("a").alias("a"), F.hex("b").alias("b")))
-    labelled = ids.withColumn("node", F.hex("mark")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("class_id"))
-    return made.select(id_col, "mark").join(labelled.join(least, "root").select("mark", "class_id"), "mark").select(id_col, "class_id")
+    found = jaccard_join.join(docs, id_col=id_col, text_col=text_col, words=WORDS, least=threshold).select("id", F.coalesce("root", F.lit(-1)).alias("root"))
+    return found.join(found.groupBy("root").agg(F.min("id").alias("class_id")), "root").select(F.col("id").alias(id_col), "class_id")
