@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 TOKEN = r"[A-Za-z0-9]+(?:[-.][A-Za-z0-9]+)*"
 FUNCTION_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 DASHES = "‐‑‒–—"
+#: What Unicode calls space separators.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 
 def tokens(text: Column) -> Column:
@@ -36,7 +38,7 @@ def no_none(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: cut behind '.', '!' or '?' before white space, and at line feeds; trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?])[ \n]+", "$1\n"), "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?])[ \n]+", "$1\n"), "\n"), lambda s: F.btrim(s, F.lit(SPACES))), lambda s: s != "")
 
 
 def informative(sents: Column, most: int, at_least: int = 3) -> Column:
