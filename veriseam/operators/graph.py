@@ -22,14 +22,25 @@ def references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return degree.groupBy("label").agg(F.sum("n").alias("n_edges"), F.sum("lost").alias("n_unresolved"), F.max("n").alias("max_degree"))
 
 
+#: A frontier of at most so many rows goes to the edges whole; a larger one meets them by a shuffle.
+SMALL_FRONTIER = 500_000
+
+
 def distances(edges: DataFrame, starts: DataFrame, cutoff: int, by: list[str] | None = None) -> DataFrame:
-    """(by..., node, depth): breadth-first distance from the nearest of ``starts`` (by..., node), up to ``cutoff``."""
+    """(by..., node, depth): breadth-first distance from the nearest of ``starts`` (by..., node), up to ``cutoff``.
+
+    Edges may repeat: what they reach is made distinct, not they. Only rounds with a large frontier shuffle them.
+    """
     by = by or []
-    both = undirected(edges)
-    frontier = starts.select(*by, "node").distinct().withColumn("depth", F.lit(0))
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    frontier = cut_lineage(starts.select(*by, "node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in range(1, cutoff + 1):
-        reached = frontier.join(both, frontier["node"] == both["a"]).select(*by, F.col("b").alias("node")).distinct()
+        n = frontier.count()
+        if not n:
+            break
+        side = frontier.select(*by, F.col("node").alias("a"))
+        reached = both.join(F.broadcast(side) if n <= SMALL_FRONTIER else side, "a").select(*by, F.col("b").alias("node")).distinct()
         frontier = cut_lineage(reached.join(seen.select(*by, "node"), [*by, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
@@ -61,13 +72,14 @@ def closure(edges: DataFrame, starts: DataFrame, *, by: str, reach: dict[str, in
 def levels(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> DataFrame:
     """(node, level): 1 for nodes that need nothing, else 1 + the largest level needed; edges are (node, needs).
 
-    A graph with a cycle never runs dry and is an error after ``limit`` rounds.
+    A graph with a cycle never runs dry and is an error after ``limit`` rounds. Layers meet the edges by a merge: a
+    broadcast would take each of them through the driver, round after round.
     """
     edges = cut_lineage(edges.select("node", "needs").distinct())
-    layer = cut_lineage(nodes.select("node").join(edges.select("node"), "node", "left_anti").distinct())
+    layer = cut_lineage(nodes.select("node").join(edges.select("node").hint("merge"), "node", "left_anti").distinct())
     out = layer.withColumn("level", F.lit(1))
     for level in range(2, limit + 2):
-        layer = cut_lineage(edges.join(layer.withColumnRenamed("node", "needs"), "needs", "left_semi").select("node").distinct())
+        layer = cut_lineage(edges.join(layer.withColumnRenamed("node", "needs").hint("merge"), "needs", "left_semi").select("node").distinct())
         if layer.isEmpty():
             return out.groupBy("node").agg(F.max("level").alias("level"))
         out = out.unionByName(layer.withColumn("level", F.lit(level)))
@@ -78,6 +90,6 @@ def slice_back(edges: DataFrame, terminal: DataFrame) -> DataFrame:
     """Nodes that feed ``terminal`` (itself included), over edges (node, needs); as many rounds as the graph is deep."""
     seen = frontier = cut_lineage(terminal.select("node").distinct())
     while not frontier.isEmpty():
-        frontier = cut_lineage(edges.join(frontier, "node").select(F.col("needs").alias("node")).distinct().join(seen, "node", "left_anti"))
+        frontier = cut_lineage(edges.join(frontier.hint("merge"), "node").select(F.col("needs").alias("node")).distinct().join(seen.hint("merge"), "node", "left_anti"))
         seen = seen.unionByName(frontier)
     return seen

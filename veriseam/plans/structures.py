@@ -16,15 +16,29 @@ def _id(kind: str, key: str):
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
-def _graph(spark, sf_dir):
-    """Nodes (id, kind) and edges (src, label, dst) of the star schema."""
+KINDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+
+
+def _number(kind: str, key: str):
+    """A node as a number: its key and, in the last three bits, its kind."""
+    return F.shiftleft(F.col(key).cast("long"), 3).bitwiseOR(F.lit(list(KINDS).index(kind)).cast("long"))
+
+
+def _named(number):
+    """The id of a node that is given as a number."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (number.bitwiseAND(F.lit(7)) + 1).cast("int"))
+    return F.concat(kind, F.lit(":"), F.shiftright(number, 3).cast("string"))
+
+
+def _graph(spark, sf_dir, ident=_id, repeats=False):
+    """Nodes (id, kind) and edges (src, label, dst) of the star schema; with ``repeats`` an edge comes once a row it is from."""
     t = lambda n: table(spark, sf_dir, n)
-    kinds = (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))
-    nodes = None
-    for kind, key in kinds:
+    _id, nodes = ident, None
+    for kind, key in KINDS.items():
         part = t(kind).select(_id(kind, key).alias("id"), F.lit(kind).alias("kind"))
         nodes = part if nodes is None else nodes.unionByName(part)
-    e = lambda df, src, label, dst: df.select(src.alias("src"), F.lit(label).alias("label"), dst.alias("dst")).distinct()
+    once = lambda df: df if repeats else df.distinct()
+    e = lambda df, src, label, dst: once(df.select(src.alias("src"), F.lit(label).alias("label"), dst.alias("dst")))
     edges = e(t("nation"), _id("region", "n_regionkey"), "contains", _id("nation", "n_nationkey"))
     edges = edges.unionByName(e(t("customer"), _id("nation", "c_nationkey"), "home_of", _id("customer", "c_custkey")))
     edges = edges.unionByName(e(t("supplier"), _id("nation", "s_nationkey"), "seat_of", _id("supplier", "s_suppkey")))
@@ -72,9 +86,9 @@ select start, node, min(depth)::bigint as depth from r group by all"""
 
 def q31_bfs_proximity(spark, sf_dir):
     """1 / (1 + distance) of every node from the first region, up to six steps, as many as lead to all that hangs together here."""
-    edges = _graph(spark, sf_dir)[1]
-    start = table(spark, sf_dir, "region").agg(F.min("r_regionkey").alias("r_regionkey")).select(_id("region", "r_regionkey").alias("node"))
-    return graph.distances(edges, start, 6).select("node", F.round(1 / (1 + F.col("depth")), 6).alias("proximity"))
+    edges = _graph(spark, sf_dir, _number, repeats=True)[1]
+    start = table(spark, sf_dir, "region").agg(F.min("r_regionkey").alias("r_regionkey")).select(_number("region", "r_regionkey").alias("node"))
+    return graph.distances(edges, start, 6).select(_named(F.col("node")).alias("node"), F.round(1 / (1 + F.col("depth")), 6).alias("proximity"))
 
 
 SQL["q31_bfs_proximity"] = f"""with recursive {GRAPH},
