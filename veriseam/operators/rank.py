@@ -20,6 +20,8 @@ from ..session import map_arrow, spread
 
 #: Queries that one pass over the stored rows answers.
 QUERY_BLOCK = 4096
+#: Scores of vectors that one call makes.
+CELLS = 1 << 19
 _TOKEN = re.compile(TOKEN.encode())
 
 
@@ -43,20 +45,39 @@ def bm25(docs: DataFrame, queries: DataFrame, *, did: str, dtext: Column, qid: s
     """
     stored = spread(docs.select(did, F.coalesce(dtext, F.lit("")).alias("text")))
     qt = query_terms(queries, qid, qtext).toArrow()
-    terms, weight_of = [t.encode() for t in qt.column("term").to_pylist()], qt.column("qtf").to_numpy()
-    vocabulary = {t: i for i, t in enumerate(sorted(set(terms)))}
+    vocabulary = _vocabulary(qt)
     n, avgdl, df = _document_frequencies(stored.select("text"), vocabulary)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    weights = qt.column("qtf").to_numpy() * idf[[vocabulary[t.encode()] for t in qt.column("term").to_pylist()]] if qt.num_rows else np.empty(0)
+
+    def values(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        doc, term, tf, dl = _counted(texts, vocabulary)
+        return doc, term, tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl)) if len(doc) else tf
+
+    return top(_best_scored(stored, queries, qt, vocabulary, weights, values, did=did, qid=qid, k=k), [qid], [F.round("score", 9).desc(), F.col(did).desc()], k)
+
+
+def _vocabulary(qt: pa.Table) -> dict[bytes, int]:
+    return {t: i for i, t in enumerate(sorted({t.encode() for t in qt.column("term").to_pylist()}))}
+
+
+def _best_scored(stored: DataFrame, queries: DataFrame, qt: pa.Table, vocabulary: dict[bytes, int], weights: np.ndarray, values: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], *, did: str, qid: str, k: int) -> DataFrame:
+    """(qid, did, score): all that can be among the k best of a query, by sums of query weight times document value.
+
+    ``qt`` has the terms of the queries, ``weights`` one for each of its rows; ``values`` gives (document, term, value)
+    of the vocabulary's terms in some texts.
+    """
+    terms = [t.encode() for t in qt.column("term").to_pylist()]
     keys, ids = qt.column(qid).to_pylist(), list(dict.fromkeys(qt.column(qid).to_pylist()))
     place = {q: i for i, q in enumerate(ids)}
-    ddl = f"`{qid}` {queries.schema[qid].dataType.simpleString()}, `{did}` {docs.schema[did].dataType.simpleString()}, score double"
+    ddl = f"`{qid}` {queries.schema[qid].dataType.simpleString()}, `{did}` {stored.schema[did].dataType.simpleString()}, score double"
     out = None
     for at in range(0, len(ids), QUERY_BLOCK):
         block = range(at, min(len(ids), at + QUERY_BLOCK))
         own = [i for i, q in enumerate(keys) if place[q] in block]
         term, query = np.array([vocabulary[terms[i]] for i in own]), np.array([place[keys[i]] - at for i in own])
         order = np.argsort(term, kind="stable")
-        term, query, weight = term[order], query[order], (weight_of[own] * idf[term])[order]
+        term, query, weight = term[order], query[order], weights[own][order]
         starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
         names = qt.schema.field(qid).type, ids[at : at + QUERY_BLOCK]
 
@@ -67,8 +88,7 @@ def bm25(docs: DataFrame, queries: DataFrame, *, did: str, dtext: Column, qid: s
                 for lo in range(0, batch.num_rows, 256):
                     part = batch.slice(lo, 256)
                     rows = part.num_rows
-                    doc, t, tf, dl = _counted(part.column(1).to_pylist(), vocabulary)
-                    value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl)) if len(doc) else tf
+                    doc, t, value = values(part.column(1).to_pylist())
                     size_of = starts[t + 1] - starts[t]
                     at_ = np.arange(size_of.sum()) + np.repeat(starts[t] - np.cumsum(size_of) + size_of, size_of)
                     cell = query[at_] * rows + np.repeat(doc, size_of)
@@ -81,9 +101,7 @@ def bm25(docs: DataFrame, queries: DataFrame, *, did: str, dtext: Column, qid: s
 
         part = map_arrow(stored, run, ddl)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], ddl)
-    return top(out, [qid], [F.round("score", 9).desc(), F.col(did).desc()], k)
+    return stored.sparkSession.createDataFrame([], ddl) if out is None else out
 
 
 def _counted(texts: list[str], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,19 +144,36 @@ def sparse_weights(rows: DataFrame, key: str, text: Column, stretch: int = 64) -
 
 
 def sparse_dot(docs: DataFrame, queries: DataFrame, *, did: str, dtext: Column, qid: str, qtext: Column, k: int) -> DataFrame:
-    """(qid, did, score, rank) by the dot product of sparse weights over shared terms; ties by id."""
-    q = sparse_weights(queries, qid, qtext).select(qid, "term", F.col("w").alias("qw"))
-    d = sparse_weights(docs, did, dtext).join(q.select("term").distinct(), "term", "left_semi")
-    scored = d.join(q, "term").groupBy(qid, did).agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    """(qid, did, score, rank) by the dot product of sparse weights over shared terms; ties by id.
+
+    Like ``bm25`` one pass over the documents for each block of queries: no pair of a common word leaves the scan.
+    """
+    stored = spread(docs.select(did, F.coalesce(dtext, F.lit("")).alias("text")))
+    qt = sparse_weights(queries, qid, qtext).toArrow()
+    vocabulary = _vocabulary(qt)
+    scored = _best_scored(stored, queries, qt, vocabulary, qt.column("w").to_numpy(), lambda texts: _placed(texts, vocabulary), did=did, qid=qid, k=k)
     return top(scored, [qid], [F.round("score", 9).desc(), F.col(did).asc()], k)
 
 
+def _placed(texts: list[str], vocabulary: dict[bytes, int], stretch: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, weight) of the vocabulary's terms, by the stretch of the text that each first stands in."""
+    size, term, first = [], [], []
+    for text in texts:
+        words = _TOKEN.findall(text.encode("utf-8", "surrogatepass").lower())
+        found = {w: i for w, i in zip(reversed(words), range(len(words) - 1, -1, -1), strict=True) if w in vocabulary}
+        size.append(len(found))
+        term += map(vocabulary.__getitem__, found)
+        first += found.values()
+    doc = np.repeat(np.arange(len(size)), size) if size else np.empty(0, dtype=np.int64)
+    return doc, np.array(term, dtype=np.int64), 1 / (1 + np.array(first, dtype=np.int64) // stretch)
+
+
 def search_vectors(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(query, item, score, rank): for every query vector the k stored ones of the highest score; ties by item.
 
-    Query vectors go to the executors in blocks of QUERY_BLOCK, a pass over the stored vectors each; a batch of stored
-    vectors is scored against a block by one numpy call and keeps its k best, so at most k rows a batch and query are
-    shuffled. ``score`` gets a block (q, d) and a batch (n, d) and returns (q, n).
+    Query vectors go to the executors in blocks of QUERY_BLOCK, a pass over the stored vectors each; as many stored
+    vectors as make CELLS scores are scored against a block by one numpy call, and a task passes on its k best a query.
+    ``score`` gets a block (q, d) and some stored vectors (n, d) and returns (q, n).
     """
     q = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
@@ -151,15 +186,31 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, *, key: str, vector:
         ids, block_vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, block_vectors=block_vectors) -> Iterator[pa.RecordBatch]:
+            size, least = len(ids), np.full(len(ids), -np.inf)  # the k-th best score of each query so far
+            kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+
+            def cut() -> None:
+                query, item, s = (np.concatenate(x) for x in zip(*kept, strict=True))
+                order = np.lexsort((item, -s, query))
+                query, item, s = query[order], item[order], s[order]
+                at = np.arange(len(query)) - np.searchsorted(query, query)
+                least[query[at == k - 1]] = s[at == k - 1]
+                kept[:] = [(query[at < k], item[at < k], s[at < k])]
+
             for batch in batches:
-                if not batch.num_rows:
-                    continue
                 items = np.asarray(batch.column(0))
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(items), -1)
-                order = np.argsort(items, kind="stable")
-                s = np.round(score(block_vectors, flat[order]), 9)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(items[order][best].ravel()), pa.array(np.take_along_axis(s, best, axis=1).ravel())], names=["query", "item", "score"])
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(items), -1) if len(items) else None
+                step = max(1, CELLS // size)
+                for lo in range(0, len(items), step):
+                    s = np.round(score(block_vectors, flat[lo : lo + step]), 9)
+                    query, row = np.nonzero(~(s < least[:, None]))
+                    kept.append((query, items[lo + row], s[query, row]))
+                    if sum(len(x[0]) for x in kept) > 2 * size * k + CELLS // 4:
+                        cut()
+            cut()
+            query, item, s = kept[0]
+            if len(query):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(item), pa.array(s)], names=["query", "item", "score"])
 
         part = map_arrow(stored, run, "query long, item long, score double")
         out = part if out is None else out.unionByName(part)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import metrics, rank
+from ..session import cut_lineage
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -107,8 +108,11 @@ def cosine(q: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 def maxsim(q: np.ndarray, d: np.ndarray, width: int = 8) -> np.ndarray:
     """Late interaction: vectors are rows of patches; for each query patch the best dot product, added up."""
-    dots = np.einsum("qxi,nyi->qnxy", q.reshape(len(q), -1, width), d.reshape(len(d), -1, width), optimize=True)
-    return dots.max(axis=3).sum(axis=2)
+    asked, best = q.reshape(-1, width), None
+    for at in range(0, d.shape[1], width):
+        dots = asked @ d[:, at : at + width].T
+        best = dots if best is None else np.maximum(best, dots, out=best)
+    return best.reshape(len(q), -1, len(d)).sum(axis=1)
 
 
 def hamming(q: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -287,9 +291,10 @@ from benchmark b left join f on f.item_id = b.item_id left join s on s.item_id =
 
 def q14_method_summary(spark, sf_dir):
     """Macro means over questions with relevant documents, micro recall, and how many questions can't be judged."""
-    items, qrels = _inputs(spark, sf_dir)[1], _qrels(spark, sf_dir)
+    # each list is used more than once and has few rows, so it is found once
+    items, qrels, lexical, sparse = _inputs(spark, sf_dir)[1], cut_lineage(_qrels(spark, sf_dir)), cut_lineage(_bm25(spark, sf_dir)), cut_lineage(_sparse(spark, sf_dir))
     out = None
-    for name, ranked in (("bm25", _bm25(spark, sf_dir)), ("rrf", _fused(spark, sf_dir)), ("sparse", _sparse(spark, sf_dir))):
+    for name, ranked in (("bm25", lexical), ("rrf", rank.rrf([lexical, sparse], qid="item_id", item="doc_id", k=10)), ("sparse", sparse)):
         m = metrics.at_rank(ranked, qrels, items, qid="item_id", item="doc_id", k=10)
         row = m.agg(
             F.lit(name).alias("method"),
