@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import map_arrow, spread
+from ..session import cut_lineage, map_arrow, spread
 
 
 #: Items whose texts one pass over the documents looks for.
 ITEM_BLOCK = 20_000
+#: Rows whose values go to the tasks of a bootstrap whole, and draws that one task makes.
+MOST_SHIPPED, DRAWS_A_TASK = 2_000_000, 4_000_000
 
 
 def contains_qrels(docs: DataFrame, items: DataFrame, *, did: str, dtext: Column, qid: str, qtext: Column) -> DataFrame:
@@ -96,15 +98,18 @@ def draw(key: Column, n: Column) -> Column:
 def bootstrap(deltas: DataFrame, *, value: str, order: list[str], replicates: int) -> DataFrame:
     """One row: mean and the percentile interval (95 %) of the mean under resampling of rows with replacement.
 
-    Draws are hashes of (replicate, place), so the result is the same anywhere. Rows get their place by range partition
-    and offset, and each replicate's mean needs counts and sums only.
+    Draws are hashes of (replicate, place), so the result is the same anywhere. They are spread over tasks by their own
+    number, not by where the few rows lie, and look their value up: a draw has 24 bits, so at most 2^24 rows are ever
+    drawn. Up to MOST_SHIPPED of them go to the tasks whole, beyond that draws and rows meet by a shuffle.
     """
-    placed = number_rows(deltas, order)
-    n = placed.agg(F.count("*").alias("n"))
-    drawn = placed.select("pos").crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.select("rep", draw(F.concat_ws(":", "rep", "pos"), F.col("n")).alias("pos"))
-    means = drawn.groupBy("rep", "pos").count().join(placed.select("pos", value), "pos").groupBy("rep").agg((F.sum(F.col("count") * F.col(value)) / F.sum("count")).alias("m"))
+    placed = cut_lineage(number_rows(deltas, order).select("pos", value).filter(F.col("pos") < 1 << 24))
     mean = deltas.agg(F.count("*").cast("long").alias("n"), F.avg(value).alias("mean"))
+    n = deltas.count()
+    spark = deltas.sparkSession
+    slices = max(spark.sparkContext.defaultParallelism, -(-n * replicates // DRAWS_A_TASK))
+    places = spark.range(0, n * replicates, 1, slices).select(F.expr(f"id div {max(n, 1)}").alias("rep"), (F.col("id") % max(n, 1)).alias("at"))
+    drawn = places.select("rep", draw(F.concat_ws(":", "rep", "at"), F.lit(n)).alias("pos"))
+    means = drawn.join(F.broadcast(placed) if n <= MOST_SHIPPED else placed, "pos").groupBy("rep").agg(F.avg(value).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")).crossJoin(mean)
 
 
