@@ -14,32 +14,43 @@ from ..functions import logic as L
 from ..session import cut_lineage
 
 
-def execute(ops: DataFrame, requires: DataFrame, checks: DataFrame, max_waves: int = 50) -> DataFrame:
-    """(net, op, status, wave) of every op; wave is null for ops that were never enabled."""
-    merges = ops.filter("merge <> 'check'").select("net", "op", "merge")
-    done = cut_lineage(ops.filter("merge = 'check'").select("net", "op").join(checks, ["net", "op"], "left").select("net", "op", F.coalesce("status", F.lit(L.UNKNOWN)).alias("status"), F.lit(0).alias("wave")))
-    waiting = cut_lineage(merges)
+def execute(ops: DataFrame, requires: DataFrame, checks: DataFrame, max_waves: int = 50, runs: tuple[str, ...] = ("status",)) -> DataFrame:
+    """(net, op, status, wave) of every op; wave is null for ops that were never enabled.
+
+    Several runs of the same networks go through the waves together: ``runs`` names the columns of ``checks`` with their
+    statuses, and of the result. A run whose merges differ has them in column merge_<run> of ``ops``. A wave takes only
+    what waiting ops need along to the next.
+    """
+    own = [c for c in ops.columns if c.startswith("merge_")]
+    done = cut_lineage(ops.filter("merge = 'check'").select("net", "op").join(checks, ["net", "op"], "left").select("net", "op", *(F.coalesce(r, F.lit(L.UNKNOWN)).alias(r) for r in runs), F.lit(0).alias("wave")))
+    merges = ops.filter("merge <> 'check'").select("net", "op", "merge", *own)
+    # what is needed, with the op that needs it; statuses are filled in as they come to be known
+    waiting = cut_lineage(merges.join(requires.select("net", "op", "needs", "part"), ["net", "op"]).select("*", *(F.lit(None).cast("string").alias(r) for r in runs)))
+    enabled, new = [], done
     for wave in range(1, max_waves + 1):
-        if waiting.isEmpty():
-            break
-        inputs = waiting.join(requires, ["net", "op"]).join(done.select("net", F.col("op").alias("needs"), "status"), ["net", "needs"], "left")
-        part = lambda p: F.when(F.col("part") == p, F.col("status"))
-        base = F.max(part("base"))
-        merged = inputs.groupBy("net", "op", "merge").agg(
-            F.count_if(F.col("status").isNull()).alias("open"),
-            L.conjunction(F.col("status")).alias("conjunction"),
-            L.alternative(F.col("status")).alias("alternative"),
-            base.alias("base"),
-            L.alternative(part("exception")).alias("exceptions"),
-        )
-        status = F.when(F.col("merge") == "conjunction", F.col("conjunction")).when(F.col("merge") == "alternative", F.col("alternative")).otherwise(L.exception(F.col("base"), F.col("exceptions")))
-        new = cut_lineage(merged.filter("open = 0").select("net", "op", status.alias("status"), F.lit(wave).alias("wave")))
+        late = waiting.filter(F.col(runs[0]).isNull()).drop(*runs)
+        known = waiting.filter(F.col(runs[0]).isNotNull())
+        filled = late.join(new.select("net", F.col("op").alias("needs"), *runs), ["net", "needs"], "left").select(*waiting.columns)
+        inputs = known.unionByName(filled)
+        aggregates = [F.count_if(F.col(runs[0]).isNull()).alias("open")]
+        status = {}
+        for r in runs:
+            part = lambda p, r=r: F.when(F.col("part") == p, F.col(r))
+            aggregates += [L.conjunction(F.col(r)).alias(f"{r}_conjunction"), L.alternative(F.col(r)).alias(f"{r}_alternative"), F.max(part("base")).alias(f"{r}_base"), L.alternative(part("exception")).alias(f"{r}_exceptions")]
+            kind = F.col(f"merge_{r}" if f"merge_{r}" in own else "merge")
+            status[r] = F.when(kind == "conjunction", F.col(f"{r}_conjunction")).when(kind == "alternative", F.col(f"{r}_alternative")).otherwise(L.exception(F.col(f"{r}_base"), F.col(f"{r}_exceptions")))
+        merged = inputs.groupBy("net", "op", "merge", *own).agg(*aggregates)
+        new = cut_lineage(merged.filter("open = 0").select("net", "op", *(status[r].alias(r) for r in runs), F.lit(wave).alias("wave")))
         if new.isEmpty():
             break
-        done = done.unionByName(new)
-        waiting = cut_lineage(waiting.join(new.select("net", "op"), ["net", "op"], "left_anti"))
-    never = waiting.select("net", "op", F.lit(L.UNKNOWN).alias("status"), F.lit(None).cast("int").alias("wave"))
-    return done.unionByName(never)
+        enabled.append(new)
+        waiting = cut_lineage(inputs.join(new.select("net", "op"), ["net", "op"], "left_anti"))
+        if waiting.isEmpty():
+            break
+    for part in enabled:
+        done = done.unionByName(part)
+    never = merges.select("net", "op").join(done.select("net", "op"), ["net", "op"], "left_anti")
+    return done.unionByName(never.select("net", "op", *(F.lit(L.UNKNOWN).alias(r) for r in runs), F.lit(None).cast("int").alias("wave")))
 
 
 def problems(ops: DataFrame, requires: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic as L
 from ..operators import bands, graph, network
+from ..session import cut_lineage
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -294,8 +295,9 @@ select user_id, hour, a, b, c, case when bool_and(truth) then 'OPEN' when not bo
 def _networks(spark, sf_dir, status):
     """A network for each order: its lines are checks, shipped and open lines merge apart, and the end excepts."""
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("net"), F.col("l_linenumber").alias("line")).agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"), F.min("l_discount").alias("l_discount"), F.min("l_tax").alias("l_tax"))
-    li = li.withColumn("op", F.concat(F.lit("line"), F.col("line").cast("string")))
-    checks = li.select("net", "op", status.alias("status"))
+    # lines are grouped once; all that follows is made of what is written here
+    li = cut_lineage(li.select("net", F.concat(F.lit("line"), F.col("line").cast("string")).alias("op"), "l_linestatus", status.alias("status")))
+    checks = li.select("net", "op", "status")
     nets = li.select("net").distinct()
     ops = li.select("net", "op", F.lit("check").alias("merge")).unionByName(nets.select("net", F.explode(F.array(F.struct(F.lit("shipped").alias("op"), F.lit("conjunction").alias("merge")), F.struct(F.lit("open").alias("op"), F.lit("alternative").alias("merge")), F.struct(F.lit("end").alias("op"), F.lit("exception").alias("merge")))).alias("x")).select("net", "x.*"))
     ops = ops.withColumn("authority", F.lit("Standard"))
@@ -339,18 +341,20 @@ _DRAW = "(('0x' || substr(md5(net || ':' || line), 1, 6))::bigint % 100)"
 _DRAWN = f"case when {_DRAW} < 70 then 'TRUE' when {_DRAW} < 85 then 'FALSE' else 'UNKNOWN' end"
 
 
-def _ends(done, name):
-    return done.filter("op = 'end'").select("net", F.col("status").alias(name))
+def _ends(done, names, called):
+    """The ends of networks, a row for each of the runs ``names``: its name as ``called``, its status, and all runs' columns."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias(called), F.col(n).alias("status")) for n in names))).alias("x")
+    return done.filter("op = 'end'").select("*", each).select("*", "x.*").drop("x")
 
 
 def q43_scenarios_ablations(spark, sf_dir):
     """Accuracy against the full run, and the share of unfounded TRUE, without exceptions and with unknown taken as TRUE."""
     ops, needs, checks = _networks(spark, sf_dir, _drawn())
-    full = _ends(network.execute(ops, needs, checks), "full")
-    plain_ops = ops.withColumn("merge", F.when(F.col("merge") == "exception", "conjunction").otherwise(F.col("merge")))
-    no_exception = _ends(network.execute(plain_ops, needs, checks), "status").withColumn("run", F.lit("no_exceptions"))
-    bold = _ends(network.execute(ops, needs, checks.withColumn("status", F.when(F.col("status") == L.UNKNOWN, L.TRUE).otherwise(F.col("status")))), "status").withColumn("run", F.lit("unknown_as_true"))
-    both = no_exception.unionByName(bold).unionByName(full.select("net", F.col("full").alias("status"), F.lit("full").alias("run"))).join(full, "net")
+    ops = ops.withColumn("merge_no_exceptions", F.when(F.col("merge") == "exception", "conjunction").otherwise(F.col("merge")))
+    bold = F.when(F.col("status") == L.UNKNOWN, L.TRUE).otherwise(F.col("status"))
+    checks = checks.select("net", "op", F.col("status").alias("full"), F.col("status").alias("no_exceptions"), bold.alias("unknown_as_true"))
+    names = ("full", "no_exceptions", "unknown_as_true")
+    both = _ends(network.execute(ops, needs, checks, runs=names), names, "run").select("run", "status", F.col("full"))
     return both.groupBy("run").agg(F.count("*").alias("n"), F.round(F.avg((F.col("status") == F.col("full")).cast("double")), 6).alias("accuracy"), F.round(F.avg(((F.col("status") == L.TRUE) & (F.col("full") != L.TRUE)).cast("double")), 6).alias("unfounded"))
 
 
@@ -370,13 +374,9 @@ select run, count(*) as n, round(avg((status = full_)::int), 6) as accuracy, rou
 def q44_fault_containment(spark, sf_dir):
     """The first line of each order loses its evidence, is distracted or flipped: how often the end abstains or stays."""
     ops, needs, checks = _networks(spark, sf_dir, _drawn())
-    clean = _ends(network.execute(ops, needs, checks), "clean")
-    out = None
-    for fault, status in (("removed", F.lit(L.UNKNOWN)), ("distracted", F.lit(L.TRUE)), ("flipped", F.when(F.col("status") == L.UNKNOWN, L.TRUE).otherwise(L.negation(F.col("status"))))):
-        broken = checks.withColumn("status", F.when(F.col("op") == "line1", status).otherwise(F.col("status")))
-        row = _ends(network.execute(ops, needs, broken), "status").withColumn("fault", F.lit(fault))
-        out = row if out is None else out.unionByName(row)
-    both = out.join(clean, "net")
+    faults = {"removed": F.lit(L.UNKNOWN), "distracted": F.lit(L.TRUE), "flipped": F.when(F.col("status") == L.UNKNOWN, L.TRUE).otherwise(L.negation(F.col("status")))}
+    broken = checks.select("net", "op", F.col("status").alias("clean"), *(F.when(F.col("op") == "line1", status).otherwise(F.col("status")).alias(fault) for fault, status in faults.items()))
+    both = _ends(network.execute(ops, needs, broken, runs=("clean", *faults)), tuple(faults), "fault")
     same = F.col("status") == F.col("clean")
     return both.groupBy("fault").agg(F.count("*").alias("n"), F.round(F.avg((same | (F.col("status") == L.UNKNOWN)).cast("double")), 6).alias("contained"), F.round(F.avg((same & (F.col("clean") != L.UNKNOWN)).cast("double")), 6).alias("preserved"))
 
