@@ -13,23 +13,33 @@ from ..functions import logic as L
 from ..functions import rules as R
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def _clauses(texts: DataFrame) -> DataFrame:
+    """The clauses of stripped texts (_text), each of which comes once."""
+    text = F.col("_text")
+    top = texts.select("_text", R.denied(text).alias("denied"), R.parts(R.affirmed(text)).alias("top"))
+    part = top.select("_text", F.col("top.kind").alias("kind"), "denied", F.posexplode("top.parts").alias("i", "text"))
+    again = F.col("kind") != "clause"
+    part = part.select("_text", "kind", "denied", "i", (again & R.denied(F.col("text"))).alias("inner_denied"), F.when(again, R.affirmed(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    inner = part.withColumn("inner", F.when(again, R.parts(F.col("text"))).otherwise(F.struct(F.lit("clause").alias("kind"), F.array("text").alias("parts"))))
+    clause = inner.select("_text", "kind", "denied", "i", F.col("inner.kind").alias("inner"), "inner_denied", F.posexplode("inner.parts").alias("j", "text"))
+    again = F.col("inner") != "clause"
+    clause = clause.select("_text", "kind", "denied", "i", "inner", "inner_denied", "j", (again & R.denied(F.col("text"))).alias("clause_denied"), F.when(again, R.affirmed(F.col("text"))).otherwise(F.col("text")).alias("clause"))
+    return clause.withColumn("found", R.comparison(F.col("clause"))).select("*", "found.subject", "found.op", "found.bound", "found.unit").drop("found")
+
+
 def parse(rules: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """A row for each clause of each rule: (id, kind, denied, i, inner, inner_denied, j, clause_denied, clause, subject, op, bound, unit).
 
     kind is how the rule's parts combine, inner how those of part i do (or, and, clause); a clause that is no comparison
     has null for subject, op and bound, and stays, as dropping it would change what the rule says. A null or empty rule is
-    one such clause.
+    one such clause. Each distinct text is read once.
     """
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"(?U)^\s+|\s+$", "")
-    top = rules.select(F.col(id_col).alias("id"), R.denied(text).alias("denied"), R.parts(R.affirmed(text)).alias("top"))
-    part = top.select("id", F.col("top.kind").alias("kind"), "denied", F.posexplode("top.parts").alias("i", "text"))
-    again = F.col("kind") != "clause"
-    part = part.select("id", "kind", "denied", "i", (again & R.denied(F.col("text"))).alias("inner_denied"), F.when(again, R.affirmed(F.col("text"))).otherwise(F.col("text")).alias("text"))
-    inner = part.withColumn("inner", F.when(again, R.parts(F.col("text"))).otherwise(F.struct(F.lit("clause").alias("kind"), F.array("text").alias("parts"))))
-    clause = inner.select("id", "kind", "denied", "i", F.col("inner.kind").alias("inner"), "inner_denied", F.posexplode("inner.parts").alias("j", "text"))
-    again = F.col("inner") != "clause"
-    clause = clause.select("id", "kind", "denied", "i", "inner", "inner_denied", "j", (again & R.denied(F.col("text"))).alias("clause_denied"), F.when(again, R.affirmed(F.col("text"))).otherwise(F.col("text")).alias("clause"))
-    return clause.withColumn("found", R.comparison(F.col("clause"))).select("*", "found.subject", "found.op", "found.bound", "found.unit").drop("found")
+    of = rules.select(F.col(id_col).alias("id"), _stripped(F.col(text_col)).alias("_text"))
+    return of.join(_clauses(of.select("_text").distinct()), "_text").drop("_text")
 
 
 def _endings(name: Column) -> Column:
@@ -68,13 +78,18 @@ def clause_status(value: Column, fact_unit: Column, op: Column, bound: Column, u
 
 
 def evaluate(rules: DataFrame, facts: DataFrame) -> DataFrame:
-    """(id, case, status) of rules (id, case, text) against the facts of their cases; a missing fact is UNKNOWN."""
-    of = rules.select("id", "case")
-    clauses = resolve(parse(rules).join(of, "id"), facts)
+    """(id, case, status) of rules (id, case, text) against the facts of their cases; a missing fact is UNKNOWN.
+
+    Each distinct text is read once, and decided once for each case that has it.
+    """
+    of = rules.select("id", "case", _stripped(F.col("text")).alias("_text"))
+    asked = of.select("case", "_text").distinct()
+    clauses = resolve(asked.join(_clauses(of.select("_text").distinct()), "_text"), facts)
     signed = lambda no, status: F.when(no, L.negation(status)).otherwise(status)
     status = clause_status(F.col("value"), F.col("fact_unit"), F.col("op"), F.col("bound"), F.col("unit"))
     clauses = clauses.withColumn("status", signed(F.col("clause_denied"), status))
-    inner = clauses.groupBy("id", "case", "kind", "denied", "i", "inner", "inner_denied").agg(L.alternative(F.col("status")).alias("any"), L.conjunction(F.col("status")).alias("all"))
+    inner = clauses.groupBy("_text", "case", "kind", "denied", "i", "inner", "inner_denied").agg(L.alternative(F.col("status")).alias("any"), L.conjunction(F.col("status")).alias("all"))
     inner = inner.withColumn("status", signed(F.col("inner_denied"), F.when(F.col("inner") == "or", F.col("any")).otherwise(F.col("all"))))
-    top = inner.groupBy("id", "case", "kind", "denied").agg(L.alternative(F.col("status")).alias("any"), L.conjunction(F.col("status")).alias("all"))
-    return top.select("id", "case", signed(F.col("denied"), F.when(F.col("kind") == "or", F.col("any")).otherwise(F.col("all"))).alias("status"))
+    top = inner.groupBy("_text", "case", "kind", "denied").agg(L.alternative(F.col("status")).alias("any"), L.conjunction(F.col("status")).alias("all"))
+    top = top.select("_text", F.col("case").alias("_case"), signed(F.col("denied"), F.when(F.col("kind") == "or", F.col("any")).otherwise(F.col("all"))).alias("status"))
+    return of.join(top, (of["_text"] == top["_text"]) & of["case"].eqNullSafe(top["_case"])).select("id", "case", "status")
