@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 # Quote marks, dashes and spaces that count as one, and the least words of a quote and of a part.
 SAME = {"‘": "'", "’": "'", "‛": "'", "′": "'", "“": '"', "”": '"', "‟": '"', "″": '"', "–": "-", "—": "-", "−": "-", "‐": "-", "‑": "-", "×": "x"}
 QUOTE_WORDS, PART_WORDS = 5, 3
+#: Marks that NFKC leaves as they are, also behind and before ASCII.
+STABLE = "‘’‛′“”‟–—−‐×"
 
 
 def composed(text: Column) -> Column:
-    """A text in Unicode's NFKC form. Spark has none; texts of ASCII alone are passed by, the rest go in Arrow batches."""
+    """A text in Unicode's NFKC form. Spark has none; texts of ASCII and common marks alone, which it leaves as they are, are passed by, the rest go in Arrow batches."""
 
     def nfkc(texts):
         return texts.str.normalize("NFKC")
 
-    other = F.when(text.rlike(r"[^\x00-\x7f]"), text)
+    other = F.when(text.rlike(rf"[^\x00-\x7f{STABLE}]"), text)
     return F.coalesce(F.pandas_udf(nfkc, "string")(other), text)
 
 

@@ -23,17 +23,19 @@ def verify(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
     asked = asked.select("question", "quote_id", "source", "_parts", Q.long_enough(F.col("_parts")).alias("_long"), Q.pattern(F.col("_parts")).alias("_pattern"))
     known = evidence.select("question", "id", Q.comparable(F.col("text")).alias("_text"), "kind", F.coalesce("image", F.lit(False)).alias("image"))
     words = lambda t: F.array_distinct(content_words(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0))))
-    mine = F.array_distinct(content_words(F.regexp_extract_all(F.array_join("_parts", " "), F.lit("[a-z0-9]+"), F.lit(0))))
-    met = asked.filter("_long").join(known, "question").select(
-        "question", "quote_id", "id", "kind", "image",
-        (F.col("id") == F.col("source")).alias("named"),
-        F.regexp_like("_text", "_pattern").alias("held"),
-        ((F.size(mine) > 0) & (F.size(F.array_intersect(mine, words(F.col("_text")))) >= 0.5 * F.size(mine))).alias("mostly"),
-    )
+    mine = words(F.array_join("_parts", " "))
+    mostly = (F.size(mine) > 0) & (F.size(F.array_intersect(mine, words(F.col("_text")))) >= 0.5 * F.size(mine))
+    whole = F.forall("_parts", lambda p: F.contains(F.col("_text"), p))
+    asked, known = asked.alias("asked"), known.alias("known")
+    met = asked.join(known, (F.col("asked.question") == F.col("known.question")) & F.col("_long"), "left")
+    met = met.select("asked.question", "quote_id", "source", "_long", "id", "kind", "image", "_parts", "_pattern", "_text", (F.col("id") == F.col("source")).alias("named"))
+    # a pattern is worked out where the text has all parts, words are compared on pictures of pages alone
+    met = met.withColumn("held", F.when(whole, F.regexp_like("_text", "_pattern")).otherwise(F.lit(False)))
+    met = met.withColumn("mostly", F.when(F.col("named") & F.col("image") & (F.col("kind") == "page"), mostly))
     named, other = F.col("named"), ~F.col("named") & (F.col("kind") != "figure") & F.col("held")
-    found = met.groupBy("question", "quote_id").agg(
+    found = met.groupBy("question", "quote_id", "source", "_long").agg(
         F.bool_or(named).alias("is_known"), F.bool_or(named & F.col("held")).alias("own"), F.count_if(other).alias("others"), F.min(F.when(other, F.col("id"))).alias("other"),
-        F.bool_or(named & F.col("image")).alias("seen"), F.bool_or(named & (F.col("kind") == "page") & F.col("mostly")).alias("misquoted"),
+        F.bool_or(named & F.col("image")).alias("seen"), F.bool_or(F.col("mostly")).alias("misquoted"),
     )
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     cases = (
@@ -46,4 +48,4 @@ def verify(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
         (F.lit(True), "no", F.col("source"), F.lit("the quote is not in this piece")),
     )
     pick = lambda at: F.coalesce(*(F.when(c[0], F.lit(c[at]) if isinstance(c[at], str) else c[at]) for c in cases))
-    return asked.join(found, ["question", "quote_id"], "left").select("question", "quote_id", pick(1).alias("verified"), pick(2).alias("id"), pick(3).alias("why"))
+    return found.select("question", "quote_id", pick(1).alias("verified"), pick(2).alias("id"), pick(3).alias("why"))
