@@ -1,9 +1,9 @@
 """What networks may come to: for every op the set of statuses that are possible, pushed through the levels of a DAG.
 
 A set is a mask of TRUE, FALSE, UNKNOWN and NOT_APPLICABLE. A merge of sets is the set of what it makes of all
-combinations of its inputs; that needs no enumeration, since which statuses can come out follows from counts of inputs
-that can be, must be or can avoid each status. Counts are kept for each waiting op, and a wave joins only what was just
-settled. Ops on a cycle, or behind something that nothing produces, are UNKNOWN.
+combinations of its inputs; that needs no enumeration, since which statuses can come out follows from whether some or
+every input can be, or some must be, each status. A bit each is kept of that for a waiting op, and a wave joins only what
+was just settled. Ops on a cycle, or behind something that nothing produces, are UNKNOWN.
 
 ``ops``: (net, op, merge) with merge one of check, conjunction, alternative, exception; ``requires``: (net, op, needs,
 part), part being input, or base and exception for exception merges, or guard with the status it wants in column want
@@ -46,15 +46,30 @@ def settled(of: Column) -> Column:
     return out
 
 
-#: Counts kept for the inputs of an op: how many there are, can be TRUE, can be FALSE, can be UNKNOWN, can be
-#: NOT_APPLICABLE, must be TRUE, must be FALSE, can be TRUE or not apply, can be FALSE or not apply, can be known.
-COUNTS = ("n", "t", "f", "u", "a", "must_t", "must_f", "t_or_a", "f_or_a", "known")
+# What is kept of the inputs of an op, in two numbers for all its parts. ``some``: that there is one, and what one can be
+# (T, N, U, A) or must be; ``every``: what all of them can be.
+GROUPS = ("input", "base", "exception")
+MUST_T, MUST_F, PRESENT, SOME_BITS = 16, 32, 64, 7
+ALL_A, ALL_T_OR_A, ALL_F_OR_A, ALL_KNOWN, EVERY_BITS = 1, 2, 4, 8, 4
+CLOSES, OPENS = 1 << SOME_BITS * len(GROUPS), 1 << EVERY_BITS * len(GROUPS)
+EVERY = 2 * OPENS - 1
 
 
-def _counts(of: Column, when: Column, name: str) -> list[Column]:
-    can = lambda bits: of.bitwiseAND(F.lit(bits)) != 0
-    tests = (F.lit(True), can(T), can(N), can(U), can(A), of == T, of == N, can(T | A), can(N | A), can(T | N | A))
-    return [F.when(when & test, 1).otherwise(0).alias(f"{name}_{c}") for c, test in zip(COUNTS, tests, strict=True)]
+def _some(of: Column) -> Column:
+    return of.bitwiseOR(F.when(of == T, MUST_T | PRESENT).when(of == N, MUST_F | PRESENT).otherwise(PRESENT))
+
+
+def _every(of: Column) -> Column:
+    out = F.lit(0)
+    for bit, can in ((ALL_A, A), (ALL_T_OR_A, T | A), (ALL_F_OR_A, N | A), (ALL_KNOWN, T | N | A)):
+        out = out.bitwiseOR(F.when(of.bitwiseAND(F.lit(can)) != 0, bit).otherwise(0))
+    return out
+
+
+def _of(group: str):
+    """Tests of one part's inputs: ``some`` and ``every`` of a bit."""
+    k = GROUPS.index(group)
+    return lambda name, bit: F.col(name).bitwiseAND(F.lit(bit << k * (SOME_BITS if name == "some" else EVERY_BITS))) != 0
 
 
 def _bits(**can: Column) -> Column:
@@ -65,11 +80,11 @@ def _bits(**can: Column) -> Column:
 
 
 def _conjunction(c) -> Column:
-    return F.when(c("n") == 0, A).otherwise(_bits(f=c("f") > 0, u=(c("u") > 0) & (c("must_f") == 0), t=(c("t_or_a") == c("n")) & (c("t") > 0), a=c("a") == c("n")))
+    return F.when(~c("some", PRESENT), A).otherwise(_bits(f=c("some", N), u=c("some", U) & ~c("some", MUST_F), t=c("every", ALL_T_OR_A) & c("some", T), a=c("every", ALL_A)))
 
 
 def _alternative(c) -> Column:
-    return F.when(c("n") == 0, A).otherwise(_bits(t=c("t") > 0, u=(c("u") > 0) & (c("must_t") == 0), f=(c("f_or_a") == c("n")) & (c("f") > 0), a=c("a") == c("n")))
+    return F.when(~c("some", PRESENT), A).otherwise(_bits(t=c("some", T), u=c("some", U) & ~c("some", MUST_T), f=c("every", ALL_F_OR_A) & c("some", N), a=c("every", ALL_A)))
 
 
 def _exception(base: Column, exceptions: Column) -> Column:
@@ -83,8 +98,8 @@ def _exception(base: Column, exceptions: Column) -> Column:
 
 def _checked(own: Column, c) -> Column:
     """A check with prerequisites: none of them known to be missing lets it speak, all not applicable leave it so."""
-    speaks = (c("known") == c("n")) & (c("t") + c("f") > 0)
-    return F.when(c("n") == 0, own).otherwise(F.when(speaks, own).otherwise(0).bitwiseOR(F.when(c("u") > 0, U).otherwise(0)).bitwiseOR(F.when(c("a") == c("n"), A).otherwise(0)))
+    speaks = c("every", ALL_KNOWN) & (c("some", T) | c("some", N))
+    return F.when(~c("some", PRESENT), own).otherwise(F.when(speaks, own).otherwise(0).bitwiseOR(F.when(c("some", U), U).otherwise(0)).bitwiseOR(F.when(c("every", ALL_A), A).otherwise(0)))
 
 
 def outcomes(ops: DataFrame, requires: DataFrame, checks: DataFrame) -> DataFrame:
@@ -97,35 +112,36 @@ def outcomes(ops: DataFrame, requires: DataFrame, checks: DataFrame) -> DataFram
     kinds = ops.select("net", "op", "merge").join(checks.select("net", "op", mask(F.col("possible")).alias("own")), ["net", "op"], "left").join(wanted, ["net", "op"], "left")
     kinds = cut_lineage(kinds.select("net", "op", "merge", F.coalesce("own", F.lit(U)).alias("own"), F.coalesce("wanted", F.lit(0)).alias("wanted")))
 
-    groups = ("input", "base", "exception")
-    names = [f"{g}_{c}" for g in groups for c in COUNTS]
-    sums = [*(F.sum(n).alias(n) for n in names), F.bit_or("base").alias("base"), F.bool_and("can_open").alias("can_open"), F.bool_or("can_close").alias("can_close"), F.sum("got").alias("got")]
+    sums = [F.bit_or("some").alias("some"), F.bit_and("every").alias("every"), F.sum("got").alias("got")]
 
     def result() -> Column:
-        of = lambda g: lambda c: F.coalesce(F.col(f"{g}_{c}"), F.lit(0))
+        base = F.shiftright("some", SOME_BITS * GROUPS.index("base")).bitwiseAND(F.lit(T | N | U | A))
         merged = (
-            F.when(F.col("merge") == "conjunction", _conjunction(of("input")))
-            .when(F.col("merge") == "alternative", _alternative(of("input")))
-            .when(F.col("merge") == "exception", _exception(F.coalesce(F.when(F.col("base") > 0, F.col("base")), F.lit(A)), _alternative(of("exception"))))
-            .otherwise(_checked(F.col("own"), of("input")))
+            F.when(F.col("merge") == "conjunction", _conjunction(_of("input")))
+            .when(F.col("merge") == "alternative", _alternative(_of("input")))
+            .when(F.col("merge") == "exception", _exception(F.when(base > 0, base).otherwise(A), _alternative(_of("exception"))))
+            .otherwise(_checked(F.col("own"), _of("input")))
         )
-        opened = F.when(F.coalesce("can_open", F.lit(True)), merged).otherwise(0)
-        return opened.bitwiseOR(F.when(F.coalesce("can_close", F.lit(False)), A).otherwise(0))
+        opened = F.when(F.col("every").bitwiseAND(F.lit(OPENS)) != 0, merged).otherwise(0)
+        return opened.bitwiseOR(F.when(F.col("some").bitwiseAND(F.lit(CLOSES)) != 0, A).otherwise(0))
 
     def passed_on(new: DataFrame) -> DataFrame:
-        """What just settled, as counts of the ops that need it."""
+        """What just settled, as bits of the ops that need it."""
         met = needs.join(new.select("net", F.col("op").alias("needs"), "mask"), ["net", "needs"])
         of, want = F.col("mask"), F.col("want")
         bits = F.when(want == "RESOLVED", T | N)
         for status, bit in BITS.items():
             bits = F.when(want == status, bit).otherwise(bits)
         bits = F.coalesce(bits, F.lit(T))
-        counts = [c for g in groups for c in _counts(of, F.col("part") == g, g)]
-        row = met.select("net", "op", *counts, F.when(F.col("part") == "base", of).otherwise(0).alias("base"), F.when(guards, of.bitwiseAND(bits) != 0).alias("can_open"), F.when(guards, of.bitwiseAND(F.lit(15) - bits) != 0).alias("can_close"), F.lit(1).alias("got"))
+        some = F.when(guards & (of.bitwiseAND(F.lit(15) - bits) != 0), CLOSES)
+        every = F.when(guards & (of.bitwiseAND(bits) == 0), EVERY - OPENS)
+        for k, g in enumerate(GROUPS):
+            some = some.when(F.col("part") == g, F.shiftleft(_some(of), k * SOME_BITS))
+            every = every.when(F.col("part") == g, F.shiftleft(_every(of), k * EVERY_BITS).bitwiseOR(F.lit(EVERY - (15 << k * EVERY_BITS))))
+        row = met.select("net", "op", some.otherwise(0).alias("some"), every.otherwise(EVERY).alias("every"), F.lit(1).alias("got"))
         return row.groupBy("net", "op").agg(*sums)
 
-    empty = [F.lit(None).cast("long").alias(n) for n in names] + [F.lit(None).cast("int").alias("base"), F.lit(None).cast("boolean").alias("can_open"), F.lit(None).cast("boolean").alias("can_close")]
-    first = kinds.filter("wanted = 0").select("*", *empty)
+    first = kinds.filter("wanted = 0").select("*", F.lit(0).alias("some"), F.lit(EVERY).alias("every"))
     new = cut_lineage(first.select("net", "op", result().alias("mask"), F.lit(0).alias("wave")))
     done, waiting, wave = [new], None, 0
     while True:
@@ -137,7 +153,7 @@ def outcomes(ops: DataFrame, requires: DataFrame, checks: DataFrame) -> DataFram
         if new.isEmpty():
             break
         done.append(new)
-        waiting = counted.filter("not ready").select("net", "op", *names, "base", "can_open", "can_close", "got")
+        waiting = counted.filter("not ready").select("net", "op", "some", "every", "got")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
