@@ -30,15 +30,19 @@ def scored(wanted: DataFrame, made: DataFrame, weights: DataFrame, *, floor: flo
 
 def greedy(pairs: DataFrame) -> DataFrame:
     """(group, wanted, made, score): the pairs (group, wanted, made, score) that are made when rows choose in order."""
-    left = cut_lineage(pairs)
+    left, out = pairs, None
     while True:
+        left = cut_lineage(left)
         best = left.groupBy("group", "wanted").agg(F.min(F.struct((-F.col("score")).alias("score"), "made")).alias("x")).select("group", "wanted", F.col("x.made").alias("made"))
-        held = best.groupBy("group", "made").agg(F.min("wanted").alias("holder"), F.count("*").alias("askers"))
-        judged = left.join(held, ["group", "made"], "left")
-        after = cut_lineage(judged.filter(F.col("holder").isNull() | (F.col("wanted") <= F.col("holder"))).select("group", "wanted", "made", "score"))
-        if held.filter("askers > 1").isEmpty():
-            return best.join(left, ["group", "wanted", "made"])
-        left = after
+        held = cut_lineage(best.groupBy("group", "made").agg(F.min("wanted").alias("holder"), F.count("*").alias("askers")))
+        busy = held.filter("askers > 1").select("group").distinct()
+        # where no row was asked twice all have theirs, and the group is done
+        made = cut_lineage(held.join(busy, "group", "left_anti").select("group", F.col("holder").alias("wanted"), "made").join(left, ["group", "wanted", "made"]).select("group", "wanted", "made", "score"))
+        out = made if out is None else out.unionByName(made)
+        judged = left.join(busy, "group", "left_semi").join(held, ["group", "made"], "left")
+        if busy.isEmpty():
+            return out
+        left = judged.filter(F.col("holder").isNull() | (F.col("wanted") <= F.col("holder"))).select("group", "wanted", "made", "score")
 
 
 def agreement(wanted: DataFrame, made: DataFrame, pairs: DataFrame, by: str | None = None) -> DataFrame:
