@@ -14,6 +14,7 @@ Null texts count as empty; an empty text has no ids. Repeated rows give repeated
 
 from __future__ import annotations
 
+import copy
 import functools
 import hashlib
 import re
@@ -95,7 +96,7 @@ class Model:
 
 
 class Encoder:
-    """Encodes and decodes whole texts; one instance for each worker."""
+    """Encodes and decodes whole texts; what it remembers of them is a task's own (see ``renewed``)."""
 
     def __init__(self, path: str):
         import ahocorasick
@@ -123,6 +124,12 @@ class Encoder:
             self.surface[i] = bytes([b])
         self.decimal = [str(i) for i in range(len(m.pieces))]
 
+    def renewed(self) -> Encoder:
+        """This vocabulary with nothing remembered, for one task; workers outlive that, and other stages need their memory."""
+        out = copy.copy(self)
+        out.words, out.pieces, out.fits = {}, {}, {}
+        return out
+
     def _merged(self, text: str) -> list[str]:
         """The encoding by its definition: join the two neighbours with the best score, the leftmost first, again and again."""
         parts, score = list(text), self.score
@@ -243,7 +250,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process, kept from task to task."""
+    """One vocabulary for each worker process, kept from task to task."""
     return Encoder(path)
 
 
@@ -275,7 +282,7 @@ def tokenize(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_c
         fields += [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())]
 
     def start():
-        coder = encoder(model_path)
+        coder = encoder(model_path).renewed()
 
         def step(keys, texts):
             out: list[list] = [[] for _ in fields]

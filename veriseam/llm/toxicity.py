@@ -96,16 +96,34 @@ class Model:
         self.matrix = np.zeros((len(often), self.blocks * BLOCK))
         of, at = self.common[term], rank[row]
         self.matrix[of[of >= 0], at[of >= 0]] = value[of >= 0]
-        # postings of the others by term and example; runs of one term and block, each with its largest value
+        # postings of the others by term and example
         rare = np.flatnonzero(of < 0)
         by = rare[np.lexsort((at[rare], term[rare]))]
-        self.rows, self.values, term = at[by].astype(np.int32), value[by], term[by]
+        self.rows, self.values, self.postings = at[by].astype(np.int32), value[by], np.bincount(term[by], minlength=len(place)).astype(np.int32)
+        self._runs()
+
+    def _runs(self) -> None:
+        """Runs of postings of one term and block, each with its largest value."""
+        term = np.repeat(np.arange(len(self.postings)), self.postings)
         run = term * max(1, self.blocks) + self.rows // BLOCK
-        self.run_starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, dtype=np.int64)
-        self.run_ends = np.r_[self.run_starts[1:], len(run)] if len(run) else self.run_starts
+        self.run_starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]).astype(np.int32) if len(run) else np.empty(0, dtype=np.int32)
+        self.run_ends = np.r_[self.run_starts[1:], np.int32(len(run))] if len(run) else self.run_starts
         self.run_block = (run[self.run_starts] % max(1, self.blocks)).astype(np.int32)
         self.run_most = np.maximum.reduceat(self.values, self.run_starts) if len(run) else self.values
-        self.term_starts = np.searchsorted(term[self.run_starts], np.arange(len(place) + 1))
+        self.term_starts = np.searchsorted(term[self.run_starts], np.arange(len(self.postings) + 1))
+
+    def __getstate__(self) -> dict:
+        """What the rest follows from: a worker holds the pickled model beside the model."""
+        state = {k: v for k, v in vars(self).items() if not k.startswith("run_") and k != "term_starts"}
+        at = np.flatnonzero(self.matrix)
+        return state | {"matrix": (self.matrix.shape, at.astype(np.int32) if self.matrix.size < 1 << 31 else at, self.matrix.ravel()[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        shape, at, values = state["matrix"]
+        self.matrix = np.zeros(shape)
+        self.matrix.ravel()[at] = values
+        self._runs()
 
     def vector(self, counts: dict[str, int], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and their values, of unit length."""
