@@ -74,6 +74,36 @@ def owners(items: DataFrame, captions: DataFrame, *, key: str, pad: float) -> Da
     return found.filter(F.col("at") <= F.col("y") + pad).select(key, F.col("span").alias("item"), "caption")
 
 
+def crowded(rows: DataFrame, *, key: str, at: str, within: float, bucket: float = BUCKET) -> DataFrame:
+    """Those of ``rows`` that may have another row of their key less than ``within`` from ``at``.
+
+    The neighbours in order decide; rows that near to the edge of a bucket all stay.
+    """
+    b = F.floor(F.col(at) / bucket)
+    w = Window.partitionBy(key, "_b").orderBy(at)
+    edge = (F.col(at) - F.col("_b") * bucket < within) | ((F.col("_b") + 1) * bucket - F.col(at) <= within)
+    beside = lambda other: F.coalesce(F.abs(F.col(at) - other) < within, F.lit(False))
+    placed = rows.filter(F.col(at).isNotNull()).withColumn("_b", b)
+    return placed.withColumn("_near", edge | beside(F.lag(at).over(w)) | beside(F.lead(at).over(w))).filter("_near").select(*rows.columns)
+
+
+def followed(rows: DataFrame, *, key: str, mark: Column, at: Column, bucket: float = BUCKET) -> DataFrame:
+    """``rows`` with next: the first place ``mark`` of a row of the same key that lies strictly after their own ``at``.
+
+    Places are read backwards, bucket by bucket; what follows a bucket is carried into it. Rows without a key or ``at``
+    are left out.
+    """
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != key]
+    own = [F.col(f.name) for f in rows.schema if f.name != key]
+    place = lambda of, kind, value, columns: F.struct(of.cast("double").alias("_at"), F.lit(kind).alias("_kind"), value.cast("double").alias("_mark"), *columns)
+    both = rows.filter(F.col(key).isNotNull()).select(key, F.inline(F.array(place(mark, 1, mark, none), place(at, 0, F.lit(None), own)))).filter("_at is not null").withColumn("_b", F.floor(F.col("_at") / bucket))
+    first = both.groupBy(key, "_b").agg(F.min("_mark").alias("_mark"))
+    later = F.min("_mark").over(Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    carried = first.withColumn("_mark", later).filter("_mark is not null").withColumn("_at", F.lit(float("inf"))).withColumn("_kind", F.lit(1))
+    so_far = F.min("_mark").over(Window.partitionBy(key, "_b").orderBy(F.col("_at").desc(), "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    return both.unionByName(carried, allowMissingColumns=True).withColumn("next", so_far).filter("_kind = 0").select(*rows.columns, "next")
+
+
 def regions(captions: DataFrame, *, key: str, width: float, height: float, below: float = 2.0, above: float = 4.0, bottom: float = 40.0, side: float = 36.0, least_height: float = 40.0, least_width: float = 80.0, row: float = 6.0) -> DataFrame:
     """(key, caption, x0, y0, x1, y1): what each caption heads, down to the next caption strictly below it.
 
@@ -81,14 +111,12 @@ def regions(captions: DataFrame, *, key: str, width: float, height: float, below
     counts. Captions less than ``row`` apart in height share the width. Regions too small to hold anything are left out.
     """
     best = captions.groupBy(key, "caption").agg(F.min(F.struct("inset", "top", "foot", "left")).alias("x")).select(key, "caption", "x.*")
-    tops = best.select(key, F.col("top").alias("at"))
-    asks = best.select("*", (F.col("foot") + 1.0).alias("at"), F.lit(True).alias("own"))
-    following = numbered(tops.distinct(), key=key).select(key, (F.col("number") - 1).alias("n"), F.col("at").alias("next"))
-    placed = counted(tops, asks, key=key).join(following, [key, "n"], "left")
-    # captions of one row: same or neighbouring strip of its height
+    placed = followed(best, key=key, mark=F.col("top"), at=F.col("foot") + 1.0)
+    # captions of one row: same or neighbouring strip of its height; most have no other so near
+    rows = crowded(best, key=key, at="top", within=row)
     strip = F.floor(F.col("top") / row)
-    near = best.select(key, F.col("caption").alias("other"), F.col("top").alias("other_top"), F.col("left").alias("other_left"), F.explode(F.array(strip - 1, strip, strip + 1)).alias("strip"))
-    beside = best.select(key, "caption", "top", "left", strip.alias("strip")).join(near, [key, "strip"]).filter((F.col("caption") != F.col("other")) & (F.abs(F.col("top") - F.col("other_top")) < row))
+    near = rows.select(key, F.col("caption").alias("other"), F.col("top").alias("other_top"), F.col("left").alias("other_left"), F.explode(F.array(strip - 1, strip, strip + 1)).alias("strip"))
+    beside = rows.select(key, "caption", "top", "left", strip.alias("strip")).join(near, [key, "strip"]).filter((F.col("caption") != F.col("other")) & (F.abs(F.col("top") - F.col("other_top")) < row))
     sides = beside.groupBy(key, "caption").agg(F.min(F.when(F.col("other_left") > F.col("left"), F.col("other_left"))).alias("right"), F.coalesce(F.bool_or(F.col("other_left") < F.col("left")), F.lit(False)).alias("has_left"))
     whole = placed.join(sides, [key, "caption"], "left")
     own = F.col("left") - 10.0
