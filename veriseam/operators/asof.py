@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 4096.0
+#: Rows that a task sorts, where the number of rows is known.
+TASK_ROWS = 1_000_000
 
 
 def counted(marks: DataFrame, asks: DataFrame, *, key: str, at: str = "at", bucket: float = BUCKET) -> DataFrame:
@@ -74,7 +76,14 @@ def owners(items: DataFrame, captions: DataFrame, *, key: str, pad: float) -> Da
     return found.filter(F.col("at") <= F.col("y") + pad).select(key, F.col("span").alias("item"), "caption")
 
 
-def crowded(rows: DataFrame, *, key: str, at: str, within: float, bucket: float = BUCKET) -> DataFrame:
+def dealt(rows: DataFrame, n: int | None, *columns: str) -> DataFrame:
+    """``rows`` dealt by ``columns``, so that about TASK_ROWS of ``n`` go to a task; left as they are if that isn't known."""
+    if n is None:
+        return rows
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS)), *columns)
+
+
+def crowded(rows: DataFrame, *, key: str, at: str, within: float, bucket: float = BUCKET, n: int | None = None) -> DataFrame:
     """Those of ``rows`` that may have another row of their key less than ``within`` from ``at``.
 
     The neighbours in order decide; rows that near to the edge of a bucket all stay.
@@ -83,11 +92,11 @@ def crowded(rows: DataFrame, *, key: str, at: str, within: float, bucket: float
     w = Window.partitionBy(key, "_b").orderBy(at)
     edge = (F.col(at) - F.col("_b") * bucket < within) | ((F.col("_b") + 1) * bucket - F.col(at) <= within)
     beside = lambda other: F.coalesce(F.abs(F.col(at) - other) < within, F.lit(False))
-    placed = rows.filter(F.col(at).isNotNull()).withColumn("_b", b)
+    placed = dealt(rows.filter(F.col(at).isNotNull()).withColumn("_b", b), n, key, "_b")
     return placed.withColumn("_near", edge | beside(F.lag(at).over(w)) | beside(F.lead(at).over(w))).filter("_near").select(*rows.columns)
 
 
-def followed(rows: DataFrame, *, key: str, mark: Column, at: Column, bucket: float = BUCKET) -> DataFrame:
+def followed(rows: DataFrame, *, key: str, mark: Column, at: Column, bucket: float = BUCKET, n: int | None = None) -> DataFrame:
     """``rows`` with next: the first place ``mark`` of a row of the same key that lies strictly after their own ``at``.
 
     Places are read backwards, bucket by bucket; what follows a bucket is carried into it. Rows without a key or ``at``
@@ -101,24 +110,25 @@ def followed(rows: DataFrame, *, key: str, mark: Column, at: Column, bucket: flo
     later = F.min("_mark").over(Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1))
     carried = first.withColumn("_mark", later).filter("_mark is not null").withColumn("_at", F.lit(float("inf"))).withColumn("_kind", F.lit(1))
     so_far = F.min("_mark").over(Window.partitionBy(key, "_b").orderBy(F.col("_at").desc(), "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    return both.unionByName(carried, allowMissingColumns=True).withColumn("next", so_far).filter("_kind = 0").select(*rows.columns, "next")
+    return dealt(both.unionByName(carried, allowMissingColumns=True), n and 2 * n, key, "_b").withColumn("next", so_far).filter("_kind = 0").select(*rows.columns, "next")
 
 
-def regions(captions: DataFrame, *, key: str, width: float, height: float, below: float = 2.0, above: float = 4.0, bottom: float = 40.0, side: float = 36.0, least_height: float = 40.0, least_width: float = 80.0, row: float = 6.0) -> DataFrame:
+def regions(captions: DataFrame, *, key: str, width: float, height: float, below: float = 2.0, above: float = 4.0, bottom: float = 40.0, side: float = 36.0, least_height: float = 40.0, least_width: float = 80.0, row: float = 6.0, n: int | None = None) -> DataFrame:
     """(key, caption, x0, y0, x1, y1): what each caption heads, down to the next caption strictly below it.
 
     ``captions``: (key, caption, top, foot, left, inset); of a caption seen twice the one not inset, then the topmost,
     counts. Captions less than ``row`` apart in height share the width. Regions too small to hold anything are left out.
+    ``n``: how many captions there are at most, if known; it steers the number of tasks alone.
     """
     best = captions.groupBy(key, "caption").agg(F.min(F.struct("inset", "top", "foot", "left")).alias("x")).select(key, "caption", "x.*")
-    placed = followed(best, key=key, mark=F.col("top"), at=F.col("foot") + 1.0)
+    placed = followed(best, key=key, mark=F.col("top"), at=F.col("foot") + 1.0, n=n)
     # captions of one row: same or neighbouring strip of its height; most have no other so near
-    rows = crowded(best, key=key, at="top", within=row)
+    rows = crowded(best, key=key, at="top", within=row, n=n)
     strip = F.floor(F.col("top") / row)
     near = rows.select(key, F.col("caption").alias("other"), F.col("top").alias("other_top"), F.col("left").alias("other_left"), F.explode(F.array(strip - 1, strip, strip + 1)).alias("strip"))
     beside = rows.select(key, "caption", "top", "left", strip.alias("strip")).join(near, [key, "strip"]).filter((F.col("caption") != F.col("other")) & (F.abs(F.col("top") - F.col("other_top")) < row))
     sides = beside.groupBy(key, "caption").agg(F.min(F.when(F.col("other_left") > F.col("left"), F.col("other_left"))).alias("right"), F.coalesce(F.bool_or(F.col("other_left") < F.col("left")), F.lit(False)).alias("has_left"))
-    whole = placed.join(sides, [key, "caption"], "left")
+    whole = dealt(placed, n, key, "caption").join(dealt(sides, n, key, "caption"), [key, "caption"], "left")
     own = F.col("left") - 10.0
     x0 = F.when(F.col("inset"), F.greatest(F.lit(side), own)).otherwise(F.lit(side))
     x0 = F.when(F.col("has_left"), F.greatest(x0, own)).otherwise(x0)

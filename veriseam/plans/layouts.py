@@ -58,10 +58,12 @@ def q105_caption_regions(spark, sf_dir):
     """What each caption of an order heads on its page."""
     flag = F.col("l_returnflag")  # the least of a line as a number: least strings are found by sorting
     flags = F.when(flag < "R", 0).when(flag == "R", 1).when(flag > "R", 2)
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.min(flags).alias("flag"))
+    lines = table(spark, sf_dir, "lineitem")
+    n = lines.count()
+    rows = asof.dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), n, "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.min(flags).alias("flag"))
     top = ((F.col("l_partkey") % 140) * 5).cast("double")
     captions = rows.select("l_orderkey", F.col("l_linenumber").alias("caption"), top.alias("top"), (top + 12.0).alias("foot"), ((F.col("l_suppkey") % 5) * 110 + 40).cast("double").alias("left"), (F.col("flag") == 1).alias("inset"))
-    return asof.regions(captions, key="l_orderkey", width=612.0, height=792.0)
+    return asof.regions(captions, key="l_orderkey", width=612.0, height=792.0, n=n)
 
 
 SQL["q105_caption_regions"] = f"""with {_sql_lines("l_partkey", "l_suppkey", "l_returnflag")},
