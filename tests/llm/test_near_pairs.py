@@ -108,3 +108,12 @@ def test_recall_of_planted_pairs(spark):
                     near[at] = "changed"
             texts[len(texts)] = " ".join(near)
     assert found(spark, texts) == by_jaccard(texts)
+
+
+def test_texts_that_meet_under_a_band_are_dealt_together(spark):
+    """Fingerprints of these are near in pairs alone, so each pair would be asked for a passage that all share."""
+    far = [0, 1, -1, -2, 0x5555555555555555, 0x5555555555555554]
+    rows = [(i, f, [7 if j == 5 else 100 * i + j for j in range(jaccard_join.BANDS)]) for i, f in enumerate(far)]
+    nodes = spark.createDataFrame([*rows, (6, 0x0F0F0F0F0F0F0F0F, list(range(1000, 1000 + jaccard_join.BANDS))), (7, 0x0F0F0F0F0F0F0F0E, list(range(2000, 2000 + jaccard_join.BANDS)))], "node long, also long, bands array<long>")
+    labels = {r["node"]: r["one"] for r in simhash.fingerprint_labels(nodes, 12).collect()}
+    assert labels == {i: 0 for i in range(6)} | {6: 6, 7: 6}

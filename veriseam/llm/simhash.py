@@ -217,8 +217,9 @@ def links(distinct: DataFrame, distance: int = 3, *, join: Callable[[np.ndarray,
     groups, thresholds = allocate(sample, rows, distance)
     masks = _masks(groups, thresholds)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * len(masks) // 2_000_000)
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("mask", "keep")).select(F.col("mask").cast("short").alias("mask"), F.col("fp").bitwiseAND(F.col("keep")).alias("key"), "fp")
-    dealt = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
+    probes = distinct.select(F.explode(F.array(*(F.lit(k).cast("short") for k in range(len(masks))))).alias("mask"), "fp")
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*(F.lit(m).cast("long") for m in masks)), F.col("mask") + 1))  # made again after the shuffle
+    dealt = probes.repartition(n, "mask", key).select("mask", key.alias("key"), "fp").sortWithinPartitions("mask", "key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -279,22 +280,28 @@ def _mark(text_col: str):
 
 
 def fingerprint_labels(nodes: DataFrame, distance: int) -> DataFrame:
-    """(node, one, two): the least node of a like fingerprint (column also), and the least under half of the bands."""
+    """(node, one, two): the least node met under any of the bands, or where none is that of a like fingerprint; and the
+    least under half of the bands.
+
+    Fingerprints join in small groups what is nearest. Texts that share a passage, and no more, are many and hardly near;
+    by bands they come to few groups, and what asks for the passage meets those and not each text.
+    """
     first = cut_lineage(nodes.groupBy(F.col("also").alias("fp")).agg(F.min("node").alias("node"), F.count("*").alias("n")))
-    near = links(first.select("fp"), distance, join=nearest_links)
+    near = cut_lineage(links(first.select("fp"), distance, join=nearest_links))
     ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     best = ends.join(first.select(F.col("fp").alias("b"), "node"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("node").alias("near"))
     of = first.join(best, "fp", "left").filter("near is not null or n > 1").select("fp", F.least("node", "near").alias("one"))
-    bands = jaccard_join.band_labels(nodes).select("node", "two")
-    return nodes.select("node", F.col("also").alias("fp")).join(of, "fp", "left").join(bands, "node", "left").select("node", "one", "two")
+    bands = jaccard_join.band_labels(nodes).select("node", F.least("one", "two").alias("met"), "two")
+    return nodes.select("node", F.col("also").alias("fp")).join(of, "fp", "left").join(bands, "node", "left").select("node", F.coalesce("met", "one").alias("one"), "two")
 
 
 def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 12, words: int = 5, least: float = 0.8) -> DataFrame:
     """(id, mark, root, group_id) of every row with an id: that, its text's digest, its group, the smallest id in the group.
 
     A link is a pair whose sets of shingles of ``words`` words have a Jaccard likeness of ``least`` or more; all such
-    pairs count. Fingerprints of at most ``distance`` differing bits, found by the general pigeonhole, deal texts to
-    groups in which sets are compared; that joins most of what is alike, and might miss pairs. What can still be alike
+    pairs count. Min-hash bands and, for what meets none, fingerprints of at most ``distance`` differing bits, found by
+    the general pigeonhole, deal texts to groups in which sets are compared; that joins most of what is alike, and might
+    miss pairs. What can still be alike
     across groups is found exactly by shared rare shingles and bounds (see ``jaccard_join``). Texts without words are
     alike. Rows are told apart by id and digest, never by an id alone, which rows may share.
     """
